@@ -150,28 +150,35 @@ def moments(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, flo
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair as (col_a, col_b, corr), one pass.
+    """Pearson correlation of every pair as (col_a, col_b, corr).
 
     Rows missing one of a pair do not count for that pair; a constant column
-    gives NULL. ``col_a`` comes after ``col_b`` in ``cols``.
+    gives NULL. ``col_a`` comes after ``col_b`` in ``cols``. A first pass
+    takes counts, means and deviations; pairs of columns without NULLs then
+    need one plain sum each, only the other pairs their own deviations.
     """
-    aggregates, entries = [], []
-    for n, (b, a) in enumerate(combinations(cols, 2)):
-        both = _q(a).isNotNull() & _q(b).isNotNull()
-        x, y = (F.when(both, _q(c).cast("double")) for c in (a, b))
-        aggregates += [
-            F.covar_pop(x, y).alias(f"c{n}"),
-            F.stddev_pop(x).alias(f"x{n}"),
-            F.stddev_pop(y).alias(f"y{n}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                F.try_divide(F.col(f"c{n}"), F.col(f"x{n}") * F.col(f"y{n}")).alias("corr"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    names = [f"CAST(`{c}` AS DOUBLE)" for c in cols]
+    stats = df.agg(
+        F.expr("count(*)"),
+        *[F.expr(f"struct(count({x}), avg({x}), stddev_pop({x}))") for x in names],
+    ).first()
+    rows, per_column = stats[0], stats[1:]
+    sums, results = [], []
+    for n, (i, j) in enumerate(combinations(range(len(cols)), 2)):
+        (x, (nx, mx, dx)), (y, (ny, my, dy)) = (names[i], per_column[i]), (names[j], per_column[j])
+        if rows and nx == ny == rows:
+            sums.append(f"sum(({x} - CAST('{mx!r}' AS DOUBLE)) * ({y} - CAST('{my!r}' AS DOUBLE))) AS c{n}")
+            corr = f"try_divide(c{n}, CAST('{dx * dy * rows!r}' AS DOUBLE))"
+        else:
+            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+            sums += [
+                f"covar_pop({x}, {y}) AS c{n}",
+                f"stddev_pop(CASE WHEN {both} THEN {x} END) AS x{n}",
+                f"stddev_pop(CASE WHEN {both} THEN {y} END) AS y{n}",
+            ]
+            corr = f"try_divide(c{n}, x{n} * y{n})"
+        results.append(f"named_struct('col_a', '{cols[j]}', 'col_b', '{cols[i]}', 'corr', {corr})")
+    return df.agg(*[F.expr(e) for e in sums]).select(F.expr(f"inline(array({', '.join(results)}))"))
 
 
 def correlated_columns(df: DataFrame, cols: list[str], threshold: float = 0.8, keep=()) -> list[str]:
