@@ -1 +1,210 @@
-"""Placeholder."""
+"""Walks, embeddings and models.
+
+Trained results have no SQL; where a property of the result can be stated in
+SQL, a query returns that property.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.catalog.products import _REGIONS, _given_embeddings
+from ledgerloom.catalog.registry import query, table
+from ledgerloom.catalog.standins import (
+    CHURN_SQL,
+    COVIEW_SQL,
+    churn_customers,
+    product_events,
+    products,
+    raw_payables,
+    raw_receivables,
+)
+from ledgerloom.operators import embeddings as E, features as L, walks as W
+from ledgerloom.plans import capital, churn, coview, recommend as R
+from ledgerloom.session import materialize, scratch_path
+from ledgerloom.sinks.writers import save_model
+from ledgerloom.sources.readers import load_model
+
+# Boosting rounds on the test tables, whose delays have little to learn.
+_ROUNDS = 20
+
+_made: dict[tuple, object] = {}
+
+
+def _once(spark, d, name, make):
+    """Fitted models and walks are shared by the queries of one session and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _edges(spark, d):
+    return _once(spark, d, "edges", lambda: materialize(coview.coview_graph(product_events(spark, d)), "edges"))
+
+
+def _walks(spark, d):
+    return _once(spark, d, "walks", lambda: materialize(W.random_walks(_edges(spark, d)), "walks"))
+
+
+def _embeddings(spark, d):
+    return _once(
+        spark, d, "embeddings", lambda: materialize(E.embedding_table(E.fit_embeddings(_walks(spark, d))), "vectors")
+    )
+
+
+def _churn(spark, d):
+    return _once(spark, d, "churn", lambda: churn.fit_churn(churn_customers(spark, d)))
+
+
+def _receivables(spark, d):
+    return _once(
+        spark, d, "ar", lambda: capital.fit_receivables(raw_receivables(spark, d), _ROUNDS, regions=_REGIONS)
+    )
+
+
+def _payables(spark, d):
+    return _once(spark, d, "ap", lambda: capital.fit_payables(raw_payables(spark, d), _ROUNDS))
+
+
+@query()
+def random_walks(spark, d):
+    """Ten walks of fifty products from every product."""
+    return _walks(spark, d)
+
+
+@query(f"""
+WITH {COVIEW_SQL}, n AS (SELECT pid_1 AS node FROM edges UNION SELECT pid_2 FROM edges)
+SELECT node, 10 AS walks, 50 AS shortest, 50 AS longest, 490 AS steps_on_edges FROM n
+""")
+def walk_properties(spark, d):
+    """Per start: number and length of walks, and how many of their steps follow an edge."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(
+        F.greatest(F.get("path", i), F.get("path", i - 1)).alias("pid_1"),
+        F.least(F.get("path", i), F.get("path", i - 1)).alias("pid_2"),
+    ))
+    walks = _walks(spark, d)
+    shape = walks.groupBy(F.col("start").alias("node")).agg(
+        F.count("*").alias("walks"), F.min(F.size("path")).alias("shortest"), F.max(F.size("path")).alias("longest")
+    )
+    taken = walks.select(F.col("start").alias("node"), F.inline(steps)).groupBy("node", "pid_1", "pid_2").count()
+    on_edges = taken.join(_edges(spark, d), ["pid_1", "pid_2"], "left_semi").groupBy("node").agg(
+        F.sum("count").alias("steps_on_edges")
+    )
+    return shape.join(on_edges, "node")
+
+
+@query()
+def item_embeddings(spark, d):
+    return _embeddings(spark, d)
+
+
+@query()
+def recommend(spark, d):
+    """Most similar product of every product, by the trained embeddings."""
+    return R.recommend(_embeddings(spark, d), products(spark, d))
+
+
+@query()
+def embedding_map(spark, d):
+    """Categorised products with plane coordinates."""
+    return R.embedding_map(_embeddings(spark, d), products(spark, d))
+
+
+@query()
+def project_embeddings(spark, d):
+    """Given vectors on their first three principal axes."""
+    return E.project_embeddings(_given_embeddings(spark, d), 3).drop("embedding_vector")
+
+
+@query()
+def churn_scores(spark, d):
+    """Every customer with the predicted flag."""
+    return churn.score_churn(churn_customers(spark, d), _churn(spark, d).model)
+
+
+@query(f"WITH {CHURN_SQL} SELECT count(*) AS customers, count(DISTINCT \"CustomerID\") AS flagged_once FROM churners")
+def churn_score_shape(spark, d):
+    """Scoring keeps every customer once and sets the flag on each."""
+    scored = churn.score_churn(churn_customers(spark, d), _churn(spark, d).model)
+    return scored.where(F.col("churn").isNotNull()).agg(
+        F.count("*").alias("customers"), F.countDistinct("CustomerID").alias("flagged_once")
+    )
+
+
+@query()
+def churn_accuracy(spark, d):
+    """Accuracy on training and test rows, class counts before and after oversampling."""
+    fit = _churn(spark, d)
+    row = (fit.train_accuracy, fit.test_accuracy, *fit.before, *fit.after)
+    names = "train_accuracy double, test_accuracy double, churn_before bigint, stay_before bigint, churn_after bigint, stay_after bigint"
+    return spark.createDataFrame([row], names)
+
+
+@query(f"WITH {CHURN_SQL} SELECT count(*) AS customers, 0 AS differing FROM churners")
+def saved_model_scores(spark, d):
+    """A saved and loaded pipeline predicts what the fitted one does."""
+    model, path = _churn(spark, d).model, scratch_path(spark, "model")
+    save_model(model, path)
+    rows = churn_customers(spark, d)
+    a = model.transform(rows).select("CustomerID", F.col("prediction").alias("a"))
+    b = load_model(path).transform(rows).select("CustomerID", F.col("prediction").alias("b"))
+    return a.join(b, "CustomerID").agg(
+        F.count("*").alias("customers"), F.count_if(F.col("a") != F.col("b")).cast("int").alias("differing")
+    )
+
+
+@query(f"""
+WITH {CHURN_SQL}, c AS (SELECT "Churn" AS label, count(*) AS n FROM churners GROUP BY 1)
+SELECT label, (SELECT max(n) FROM c) AS rows FROM c
+""")
+def smote_balance(spark, d):
+    """Both classes have the same number of rows after oversampling."""
+    rows = churn_customers(spark, d).na.fill(0).select(
+        F.array("CashbackAmount", "OrderCount", "Balance").alias("x"), F.col("Churn").alias("label")
+    )
+    rows = materialize(rows, "smote")
+    return rows.unionByName(L.smote(rows, "x", "label")).groupBy("label").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT count(*) AS rows, 0 AS in_both, TRUE AS about_share FROM orders")
+def hash_split(spark, d):
+    """The two parts hold every row once and the first has about its share."""
+    orders = table(spark, d, "orders")
+    a, b = L.hash_split(orders, "o_orderkey", 0.7)
+    parts = a.select("o_orderkey", F.lit(1).alias("a")).unionByName(b.select("o_orderkey", F.lit(0).alias("a")))
+    per_key = parts.groupBy("o_orderkey").agg(F.sum("a").alias("a"), F.count("*").alias("n"))
+    return per_key.agg(
+        F.sum("n").alias("rows"),
+        F.count_if((F.col("a") > 0) & (F.col("a") < F.col("n"))).cast("int").alias("in_both"),
+        (F.abs(F.sum("a") / F.sum("n") - 0.7) < 0.02).alias("about_share"),
+    )
+
+
+@query()
+def delay_models(spark, d):
+    """R2 and squared error of both delay models on training and test rows."""
+    rows = [(side, *fit.scores.values()) for side, fit in
+            (("receivables", _receivables(spark, d)), ("payables", _payables(spark, d)))]
+    names = [k + " double" for k in _receivables(spark, d).scores]
+    return spark.createDataFrame(rows, "side string, " + ", ".join(names))
+
+
+@query()
+def delay_importances(spark, d):
+    """Feature importances of both delay models."""
+    rows = [
+        (side, f, i)
+        for side, fit in (("receivables", _receivables(spark, d)), ("payables", _payables(spark, d)))
+        for f, i in zip(fit.features, fit.importances)
+    ]
+    return spark.createDataFrame(rows, "side string, feature string, importance double")
+
+
+@query()
+def working_capital_forecast(spark, d):
+    """Net amount by predicted week of payment."""
+    return capital.working_capital(
+        raw_receivables(spark, d), raw_payables(spark, d),
+        _receivables(spark, d).model, _payables(spark, d).model, regions=_REGIONS,
+    )

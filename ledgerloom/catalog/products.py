@@ -1 +1,122 @@
-"""Placeholder."""
+"""Data products that SQL can state in full."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.catalog.registry import query, table
+from ledgerloom.catalog.standins import (
+    COVIEW_SQL,
+    PAYABLES_SQL,
+    PRODUCTS_SQL,
+    RECEIVABLES_SQL,
+    product_events,
+    products,
+    raw_payables,
+    raw_receivables,
+)
+from ledgerloom.operators.aggregates import sum_by_week
+from ledgerloom.operators.embeddings import similar_items as find_similar
+from ledgerloom.operators.joins import net_by_week
+from ledgerloom.plans import capital, coview, recommend as R
+
+
+@query(f"WITH {COVIEW_SQL} SELECT pid_1, pid_2, occurrence_ct FROM edges")
+def coview_graph(spark, d):
+    return coview.coview_graph(product_events(spark, d))
+
+
+@query(f"WITH {COVIEW_SQL} SELECT pid_1, pid_2, occurrence_ct FROM edges")
+def coview_graph_large_sessions(spark, d):
+    """The same graph with sessions above a few events cut into ranges."""
+    return coview.coview_graph(product_events(spark, d), hot_rows=8)
+
+
+@query(f"""
+WITH {RECEIVABLES_SQL}, {PAYABLES_SQL},
+     a AS (SELECT weekofyear(due_date) AS week, sum(amount) AS amount_ar FROM ar WHERE is_open = 1 GROUP BY 1),
+     b AS (SELECT weekofyear(due_date) AS week, sum(amount) AS amount_ap FROM ap WHERE status = 'Unpaid' GROUP BY 1)
+SELECT a.week, round(amount_ar, 1) AS amount_ar, round(amount_ap, 1) AS amount_ap,
+       round(amount_ar - amount_ap, 1) AS working_capital FROM a JOIN b ON a.week = b.week
+""")
+def working_capital_by_week(spark, d):
+    """Net amount by the week invoices are due."""
+    ar = capital.clean_receivables(raw_receivables(spark, d)).where(F.col("is_open") == 1)
+    ap = capital.clean_payables(raw_payables(spark, d)).where(F.col("status") == "Unpaid")
+    net = net_by_week(
+        sum_by_week(ar, "due_date", "amount", "amount_ar"), sum_by_week(ap, "due_date", "amount", "amount_ap")
+    )
+    return net.select("week", *[F.round(c, 1).alias(c) for c in ("amount_ar", "amount_ap", "working_capital")])
+
+
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query(f"""
+WITH {RECEIVABLES_SQL}, s AS (SELECT * FROM ar WHERE is_open = 0),
+     f AS (SELECT customer_number, count(invoice_id) AS inv_count, avg(credit_limit) AS credit_limit_mean
+           FROM s GROUP BY customer_number)
+SELECT s.invoice_id, s.amount, s.payterm, s.credit_limit, round(f.credit_limit_mean, 4) AS credit_limit_mean, f.inv_count,
+       CAST(s.due_date - s.payment_date AS INTEGER) AS delay, CAST(s.posting_date - s.baseline_date AS INTEGER) AS diff_pb,
+       {", ".join(f"CAST(region = '{r}' AS INTEGER) AS {r.replace(' ', '_')}" for r in _REGIONS)}
+FROM s LEFT JOIN f ON s.customer_number = f.customer_number
+""")
+def receivable_training_rows(spark, d):
+    """Closed invoices with the columns the delay model is trained on."""
+    rows = capital.receivable_rows(capital.clean_receivables(raw_receivables(spark, d)), 0, _REGIONS)
+    return rows.select(
+        "invoice_id", "amount", "payterm", "credit_limit", F.round("credit_limit_mean", 4).alias("credit_limit_mean"),
+        "inv_count", "delay", "diff_pb", *[F.col(r).alias(r.replace(" ", "_")) for r in _REGIONS],
+    )
+
+
+def _given_embeddings(spark, d):
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("pid"), F.col("embedding").alias("embedding_vector")
+    )
+
+
+def _similar_sql(k):
+    # Unit vectors in double precision; the rounded cosine ranks, the smaller id wins a tie.
+    return f"""
+u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> x / sqrt(list_dot_product(
+             CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS pid, b.vec_id AS "similar", round(list_dot_product(a.v, b.v), 6) AS cosine
+      FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cosine DESC, "similar") AS rank FROM s
+      QUALIFY rank <= {k})
+"""
+
+
+@query(f"WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r")
+def similar_items(spark, d):
+    """Three most similar vectors of every vector, by cosine."""
+    return find_similar(_given_embeddings(spark, d), k=3)
+
+
+@query(f"WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r")
+def similar_items_by_cells(spark, d):
+    """The same by the way that serves many vectors."""
+    return find_similar(_given_embeddings(spark, d), k=3, small_rows=10, block_rows=100)
+
+
+@query(f"""
+WITH {PRODUCTS_SQL}, {_similar_sql(1)}
+SELECT pid AS product_id, CAST("similar" AS VARCHAR) AS prod_id, category_code, rank
+FROM r LEFT JOIN prod ON "similar" = product_id
+""")
+def recommend_given(spark, d):
+    """Most similar product and its category, from the embeddings table."""
+    return R.recommend(_given_embeddings(spark, d), products(spark, d))
+
+
+@query("""
+SELECT product_id, min(category_code) AS category_code FROM
+  (SELECT p_size AS product_id, concat(p_type, '.', p_brand) AS category_code FROM part) GROUP BY product_id
+""")
+def first_categories(spark, d):
+    """One category per product out of many rows."""
+    rows = table(spark, d, "part").select(
+        F.col("p_size").alias("product_id"), F.concat_ws(".", "p_type", "p_brand").alias("category_code")
+    )
+    return R.first_categories(rows)
