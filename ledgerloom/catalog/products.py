@@ -88,13 +88,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cosine DESC, "simil
 """
 
 
-@query(f"WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r")
+@query(f'WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r')
 def similar_items(spark, d):
     """Three most similar vectors of every vector, by cosine."""
     return find_similar(_given_embeddings(spark, d), k=3)
 
 
-@query(f"WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r")
+@query(f'WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r')
 def similar_items_by_cells(spark, d):
     """The same by the way that serves many vectors."""
     return find_similar(_given_embeddings(spark, d), k=3, small_rows=10, block_rows=100)
