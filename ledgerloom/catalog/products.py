@@ -77,11 +77,10 @@ def _given_embeddings(spark, d):
 
 
 def _similar_sql(k):
-    # Unit vectors in double precision; the rounded cosine ranks, the smaller id wins a tie.
+    # The rounded cosine ranks; the smaller id wins a tie.
     return f"""
-u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> x / sqrt(list_dot_product(
-             CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS pid, b.vec_id AS "similar", round(list_dot_product(a.v, b.v), 6) AS cosine
+u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS pid, b.vec_id AS "similar", round(list_cosine_similarity(a.v, b.v), 6) AS cosine
       FROM u a JOIN u b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cosine DESC, "similar") AS rank FROM s
       QUALIFY rank <= {k})
