@@ -39,6 +39,11 @@ def _once(spark, d, name, make):
     return _made[key]
 
 
+def forget() -> None:
+    """Fit again at the next use."""
+    _made.clear()
+
+
 def _edges(spark, d):
     return _once(spark, d, "edges", lambda: materialize(coview.coview_graph(product_events(spark, d)), "edges"))
 

@@ -21,14 +21,13 @@ def parse_us_date(c: Column, strict: bool = True) -> Column:
     return F.to_date(text, "M/d/yyyy") if strict else F.try_to_date(text, "M/d/yyyy")
 
 
-# Tried in this order by parse_any_date.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d-MMM-yyyy", "yyyy/M/d")
+# Tried in this order by parse_any_date when the text is no ISO date.
+DATE_FORMATS = ("M/d/yyyy", "d-MMM-yyyy", "yyyy/M/d")
 
 
 def parse_any_date(c: Column, formats=DATE_FORMATS) -> Column:
-    """First format that reads the text; NULL when none does."""
-    text = F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    """ISO date, else the first format that reads the text; NULL when none does."""
+    return F.coalesce(c.try_cast("date"), *[F.try_to_date(F.trim(c), f) for f in formats])
 
 
 def payment_delay(due: Column, paid: Column) -> Column:

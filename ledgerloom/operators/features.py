@@ -57,6 +57,15 @@ def hash_split(df: DataFrame, key: str, frac: float, seed: int = 42) -> tuple[Da
     return df.where(first), df.where(~first)
 
 
+def _reach(near: Column) -> Column:
+    """Neighbours in order, each with the number of rows up to and including it."""
+
+    def upto(i: Column) -> Column:
+        return F.aggregate(F.slice(near, 1, i + 1), F.lit(0).cast("bigint"), lambda a, z: a + z["m"])
+
+    return F.transform(near, lambda e, i: F.struct(e["y"].alias("y"), upto(i).alias("upto")))
+
+
 def smote(
     df: DataFrame, features: str, label: str, k: int = 5, seed: int = 33, block_rows: int = 4096
 ) -> DataFrame:
@@ -91,6 +100,7 @@ def smote(
         near.join(vectors.select(F.col("vid").alias("pid"), F.col("x").alias("y"), F.col("n").alias("m")), "pid")
         .groupBy(F.col("qid").alias("vid"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "m", "y"))).alias("near"))
+        .select("vid", _reach(F.col("near")).alias("near"))
     )
     spread = running_total(vectors, ["vid"], "n", "upto")
     # Whole-number proportional shares: they add up to exactly major - minor.
@@ -110,14 +120,7 @@ def smote(
     # Which of the k neighbours: the own copies come first, then the others by distance.
     place = F.pmod(F.xxhash64("vid", "copy", F.lit(seed)), F.lit(max(usable, 1)))
     beyond = place - (F.col("n") - 1)
-    reach = F.transform(
-        "near",
-        lambda e, i: F.struct(
-            e["y"].alias("y"),
-            F.aggregate(F.slice("near", 1, i + 1), F.lit(0).cast("bigint"), lambda a, z: a + z["m"]).alias("upto"),
-        ),
-    )
-    other = F.get(F.filter(reach, lambda e: e["upto"] > F.col("beyond")), F.lit(0))["y"]
+    other = F.get(F.filter("near", lambda e: e["upto"] > F.col("beyond")), F.lit(0))["y"]
     mate = F.when((F.col("beyond") < 0) | F.col("near").isNull(), F.col("x")).otherwise(other)
     u = unit_interval(F.col("vid"), F.col("copy"), F.lit(seed + 1))
     return (

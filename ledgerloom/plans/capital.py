@@ -27,7 +27,7 @@ from ledgerloom.operators.aggregates import entity_features, pivot_sums, row_per
 from ledgerloom.operators.features import hash_split
 from ledgerloom.operators.joins import attach_features, net_by_week
 from ledgerloom.operators.profile import correlated_columns
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, spread
 
 # Input column names, and the levels the models are trained with.
 RECEIVABLE_NAMES = {
@@ -129,9 +129,12 @@ def vendor_features(invoices: DataFrame) -> DataFrame:
 
 
 def receivable_rows(clean: DataFrame, is_open: int, regions=REGIONS) -> DataFrame:
-    """Open or closed invoices with customer features, region columns and posting gap."""
+    """Open or closed invoices with customer features, region columns and posting gap.
+
+    The parsed rows feed both the aggregate and the join, so they are written once.
+    """
     rows = clean.where(F.col("is_open") == is_open)
-    rows = rows if is_open else with_delay(rows)
+    rows = materialize(rows if is_open else with_delay(rows), "receivables")
     joined = attach_features(rows, customer_features(rows), "customer_number")
     return joined.select(
         "*", *one_hot("region", regions), F.datediff("posting_date", "baseline_date").alias("diff_pb")
@@ -144,6 +147,7 @@ def payable_rows(clean: DataFrame, unpaid: bool) -> DataFrame:
         rows = clean.where(F.col("status") == "Unpaid")
     else:
         rows = with_delay(clean.where(ne_or_null(F.col("status"), "Unpaid")))
+    rows = materialize(rows, "payables")
     joined = attach_features(rows, vendor_features(rows), "supplier_id")
     return joined.select(
         "*",
@@ -189,7 +193,7 @@ def fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, s
         key, F.coalesce("delay", F.lit(0)).cast("double").alias("label"), "features"
     )
     train, test = hash_split(materialize(ready, "delay"), key, 0.7, seed)
-    trees = GBTRegressor(maxIter=iterations, maxDepth=3, stepSize=0.1, seed=seed).fit(train)
+    trees = GBTRegressor(maxIter=iterations, maxDepth=3, stepSize=0.1, seed=seed).fit(spread(train))
     fit = DelayFit(
         PipelineModel(stages=[*stages, trees]), features, [float(x) for x in trees.featureImportances.toArray()]
     )
@@ -207,7 +211,7 @@ def fit_receivables(raw: DataFrame, iterations: int = 100, seed: int = 42, regio
 
 def fit_payables(raw: DataFrame, iterations: int = 100, seed: int = 42, threshold: float = 0.8) -> DelayFit:
     """Columns that repeat an earlier one are dropped here, and the choice stays with the model."""
-    rows = materialize(payable_rows(clean_payables(raw), unpaid=False), "payables")
+    rows = materialize(payable_rows(clean_payables(raw), unpaid=False), "payable-features")
     dropped = correlated_columns(rows, PAYABLE_COLUMNS, threshold, keep=("delay",))
     features = [c for c in PAYABLE_COLUMNS if c not in dropped and c not in ("inv_count", "delay")]
     return fit_delay(rows, features, "invoice_number", iterations, seed)
