@@ -54,7 +54,7 @@ def _walks(spark, d):
 
 def _embeddings(spark, d):
     return _once(
-        spark, d, "embeddings", lambda: materialize(E.embedding_table(E.fit_embeddings(_walks(spark, d))), "vectors")
+        spark, d, "embeddings", lambda: materialize(E.embed_walks(_walks(spark, d)), "vectors")
     )
 
 
@@ -104,6 +104,24 @@ def item_embeddings(spark, d):
     return _embeddings(spark, d)
 
 
+@query()
+def item_embeddings_by_factors(spark, d):
+    """The way that serves more items than a driver can hold."""
+    return E.embed_walks(_walks(spark, d), max_items=0)
+
+
+@query(f"""
+WITH {COVIEW_SQL}, n AS (SELECT pid_1 AS node FROM edges UNION SELECT pid_2 FROM edges)
+SELECT count(*) AS items, 64 AS shortest, 64 AS longest FROM n
+""")
+def embedding_shape(spark, d):
+    """Every product of the graph has one vector of 64 numbers."""
+    size = F.size("embedding_vector")
+    return _embeddings(spark, d).agg(
+        F.countDistinct("pid").alias("items"), F.min(size).alias("shortest"), F.max(size).alias("longest")
+    )
+
+
 @query()
 def recommend(spark, d):
     """Most similar product of every product, by the trained embeddings."""

@@ -6,13 +6,17 @@ from math import ceil
 
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators.joins import attach_features
 from ledgerloom.operators.neighbours import nearest
+from ledgerloom.operators.sequence import with_row_id
+from ledgerloom.session import materialize
 
-# The skip-gram trainer keeps one vector per item on the driver; above this it must not run.
-MAX_ITEMS = 10_000_000
+# The skip-gram trainer keeps one vector per item on the driver; above this the
+# vectors come from the distributed factorisation.
+MAX_ITEMS = 5_000_000
 TOKENS_PER_PARTITION = 2_000_000
 
 
@@ -23,9 +27,7 @@ def fit_embeddings(
 
     Walks are trained in partitions of a bounded number of tokens.
     """
-    tokens, items = walks.agg(F.sum(F.size("path")), F.approx_count_distinct("start")).first()
-    if items > MAX_ITEMS:
-        raise ValueError(f"about {items} items: more vectors than the trainer's driver can hold")
+    tokens = walks.agg(F.sum(F.size("path"))).first()[0]
     word2vec = Word2Vec(
         vectorSize=size,
         windowSize=window,
@@ -48,6 +50,55 @@ def embedding_table(model) -> DataFrame:
     )
 
 
+def cooccurrences(walks: DataFrame, window: int = 10) -> DataFrame:
+    """(a, b, n): how often ``b`` follows ``a`` within the window, in both directions."""
+    size = F.size("path")
+    near = F.flatten(
+        F.transform(
+            "path",
+            lambda a, i: F.transform(
+                F.slice("path", i + 2, F.least(F.lit(window), size - i - 1)),
+                lambda b: F.struct(a.alias("a"), b.alias("b")),
+            ),
+        )
+    )
+    ahead = walks.select(F.inline(near)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    back = ahead.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    return ahead.union(back).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def factor_embeddings(walks: DataFrame, size: int = 64, window: int = 10, iterations: int = 10, seed: int = 1) -> DataFrame:
+    """(pid, embedding_vector) for any number of items; no vector is held on the driver.
+
+    Skip-gram factorises the mutual information of items and their contexts;
+    here its positive part is factorised by alternating least squares, whose
+    factors stay in partitions.
+    """
+    pairs = materialize(cooccurrences(walks, window), "pairs")
+    totals = materialize(pairs.groupBy("a").agg(F.sum("n").alias("total")), "totals")
+    numbered = materialize(with_row_id(totals, ["a"], "no"), "items")
+    everything = totals.agg(F.sum("total")).first()[0]
+    left = numbered.select("a", F.col("no").cast("int").alias("item"), F.col("total").alias("of_a"))
+    right = numbered.select(F.col("a").alias("b"), F.col("no").cast("int").alias("context"), F.col("total").alias("of_b"))
+    share = F.col("n") * F.lit(float(everything)) / (F.col("of_a").cast("double") * F.col("of_b"))
+    weighed = pairs.join(left, "a").join(right, "b").withColumn("weight", F.log(share)).where("weight > 0")
+    als = ALS(
+        rank=size, maxIter=iterations, implicitPrefs=True, alpha=1.0, seed=seed, checkpointInterval=-1,
+        userCol="item", itemCol="context", ratingCol="weight",
+    )
+    factors = als.fit(materialize(weighed.select("item", "context", "weight"), "weights")).userFactors
+    return factors.join(numbered.select(F.col("no").cast("int").alias("id"), F.col("a").alias("pid")), "id").select(
+        "pid", F.col("features").alias("embedding_vector")
+    )
+
+
+def embed_walks(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 1, max_items: int = MAX_ITEMS) -> DataFrame:
+    """(pid, embedding_vector): skip-gram, or beyond ``max_items`` the distributed factorisation."""
+    if walks.select("start").distinct().count() <= max_items:
+        return embedding_table(fit_embeddings(walks, size, window, seed=seed))
+    return factor_embeddings(walks, size, window, seed=seed)
+
+
 def similar_items(embeddings: DataFrame, ids: DataFrame | None = None, k: int = 1, **options) -> DataFrame:
     """(pid, similar, cosine, rank) for the ids asked for, or for all items.
 

@@ -1,9 +1,18 @@
-"""Joins with a measured side, flags, enrichment."""
+"""Joins with a measured side, flags, enrichment.
+
+The side with one row per key is written before the join. Its size is then
+known, so a small one is broadcast and the rows do not move. A large one is
+shuffled from its own scan, which lets adaptive execution split a hot key; an
+aggregate that feeds the join directly shares its partitioning with it, and
+such a join is never split.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ledgerloom.session import materialize
+
 # Bounds under which a side may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -15,14 +24,8 @@ def _row_bytes(schema: T.StructType) -> int:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is within both bounds; reads no more rows than the bound."""
-    bound = min(rows, size // _row_bytes(df.schema))
-    return df.limit(bound + 1).count() <= bound
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after a count; otherwise the planner chooses by size."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """Whether ``df`` is within both bounds; a count needs no columns and combines per task."""
+    return df.count() <= min(rows, size // _row_bytes(df.schema))
 
 
 def salted(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
@@ -48,19 +51,19 @@ def sessions_with(df: DataFrame, session: str, value: str, where: Column) -> Dat
         .where(F.col("_lo") != F.col("_hi"))
         .select(session)
     )
-    return df.join(qualifying, session, "left_semi")
+    return df.join(materialize(qualifying, "sessions"), session, "left_semi")
 
 
 def attach_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Left join of rows to one feature row per key."""
-    return rows.join(features, key, "left")
+    return rows.join(materialize(features, "features"), key, "left")
 
 
 def flag_members(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
     """True where the row's key occurs in ``keys``; every row of a repeated key is flagged."""
-    members = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    members = materialize(keys.select(key).where(F.col(key).isNotNull()).distinct(), "members")
     return (
-        df.join(members, key, "left")
+        df.join(members.withColumn("_hit", F.lit(True)), key, "left")
         .withColumn(name, F.coalesce("_hit", F.lit(False)))
         .select(*df.columns, name)
     )

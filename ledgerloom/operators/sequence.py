@@ -73,7 +73,7 @@ def next_in_session(
     """
     df = df.where(F.col(session).isNotNull())
     sizes = df.groupBy(session).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    if sizes.isEmpty():
+    if df.count() <= hot_rows or sizes.isEmpty():
         return lead_in_group(df, session, order, value, default, out)
     hot = materialize(sizes, "hot-sessions")
     cold, large = split_hot(df, session, hot)

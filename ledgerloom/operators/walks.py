@@ -205,6 +205,7 @@ def random_walks(
     State is written every ``steps_per_block`` joins; it holds only the nodes
     of that block, and the paths are put together once at the end.
     """
+    edges = materialize(edges.select("pid_1", "pid_2", "occurrence_ct"), "edges")
     tables = _Tables(edges, fan, num_walks, hot_walkers)
     step = _Stepper(tables, length, p, q, seed)
     state = tables.nodes.select(

@@ -56,7 +56,7 @@ def coview_graph(
             .select("product_id", "next_product_id")
         )
 
-    if hot.isEmpty():
+    if rows.count() <= hot_rows or hot.isEmpty():
         return edges_of(sequence(rows))
     hot = materialize(hot, "hot-sessions")
     cold, _ = split_hot(rows, "user_session", hot)

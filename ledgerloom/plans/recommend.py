@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.columns import category_levels
 from ledgerloom.operators.embeddings import (
-    embedding_table,
-    fit_embeddings,
+    embed_walks,
     project_embeddings,
     similar_items,
     with_category,
 )
 from ledgerloom.operators.walks import random_walks
+from ledgerloom.session import materialize
 
 
 def item_embeddings(edges: DataFrame, num_walks: int = 10, length: int = 50, p: float = 2.0, q: float = 1.0,
                     size: int = 64, seed: int = 1) -> DataFrame:
     """(pid, embedding_vector) of every product of the co-view graph."""
-    walks = random_walks(edges, num_walks, length, p, q, seed)
-    return embedding_table(fit_embeddings(walks, size=size, seed=seed))
+    walks = materialize(random_walks(edges, num_walks, length, p, q, seed), "walks")
+    return embed_walks(walks, size=size, seed=seed)
 
 
 def first_categories(products: DataFrame, order: str | None = None) -> DataFrame:
