@@ -61,14 +61,20 @@ class _Search:
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     """One round: bracket each rank by approximate percentiles, then count exactly."""
+    brackets: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        brackets.setdefault((s.col, s.lo, s.hi), []).append(s)
     picks = []
-    for i, s in enumerate(searches):
-        at, slack = (s.rank - s.below) / s.inside, 3.0 / _ACCURACY
-        bounds = [max(0.0, at - slack), min(1.0, at + slack)]
-        picks.append(F.percentile_approx(s.rows(), bounds, _ACCURACY).alias(f"b{i}"))
+    for i, group in enumerate(brackets.values()):
+        bounds = []
+        for s in group:
+            at, slack = (s.rank - s.below) / s.inside, 3.0 / _ACCURACY
+            bounds += [max(0.0, at - slack), min(1.0, at + slack)]
+        picks.append(F.percentile_approx(group[0].rows(), bounds, _ACCURACY).alias(f"b{i}"))
     found = df.agg(*picks).first()
-    for i, s in enumerate(searches):
-        s.new = found[f"b{i}"]
+    for i, group in enumerate(brackets.values()):
+        for j, s in enumerate(group):
+            s.new = found[i][2 * j : 2 * j + 2]
     counts = []
     for i, s in enumerate(searches):
         x, (lo, hi) = s.rows(), s.new

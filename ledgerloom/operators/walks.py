@@ -10,7 +10,7 @@ from ledgerloom.functions.columns import unit_interval
 from ledgerloom.session import materialize
 
 # Neighbour lists above this length are cut into pieces.
-FAN = 512
+FAN = 2048
 # A node where more walkers than this are expected at a time has its list repeated per salt.
 HOT_WALKERS = 500_000
 HOT_SALTS = 64
@@ -28,7 +28,8 @@ class _Tables:
     """Neighbour lists of a graph, cut so that no row and no join key grows with a hub.
 
     ``leaves(node, piece, salt, entries)`` holds up to FAN (or the square root
-    of the degree) neighbours with running weights. ``roots`` holds, for hubs
+    of the degree) neighbours with running weights, in groups of about the
+    square root of their number, so a draw looks at few of them. ``roots`` holds, for hubs
     only, the running weights of their pieces, repeated per salt. An entry
     carries the salt count of its neighbour, so a walker that moves there
     knows how to spread itself.
@@ -61,14 +62,25 @@ class _Tables:
         else:
             links = links.withColumns({"pieces": F.lit(1), "salts": F.lit(1), "nbr_salts": F.lit(1)})
         links = links.withColumn("piece", F.pmod(F.xxhash64("nbr"), F.col("pieces")).cast("int"))
-        running = Window.partitionBy("node", "piece").orderBy("nbr").rowsBetween(Window.unboundedPreceding, 0)
+        piece = Window.partitionBy("node", "piece")
+        running = piece.orderBy("nbr").rowsBetween(Window.unboundedPreceding, 0)
+        placed = links.withColumns(
+            {"upto": F.sum("w").over(running), "_place": F.count("*").over(running) - 1, "_all": F.count("*").over(piece)}
+        )
+        entry = F.struct("upto", "nbr", "nbr_salts")
         leaves = (
-            links.withColumn("upto", F.sum("w").over(running))
+            placed.withColumn("group", F.floor(F.col("_place") / F.ceil(F.sqrt("_all"))))
+            .groupBy("node", "piece", "group")
+            .agg(
+                F.max("upto").alias("upto"),
+                F.max(F.when(F.col("pieces") > 1, 1).otherwise(F.col("salts"))).alias("salts"),
+                F.sort_array(F.collect_list(entry)).alias("items"),
+            )
             .groupBy("node", "piece")
             .agg(
                 F.max("upto").alias("weight"),
-                F.max(F.when(F.col("pieces") > 1, 1).otherwise(F.col("salts"))).alias("salts"),
-                F.sort_array(F.collect_list(F.struct("upto", "nbr", "nbr_salts"))).alias("entries"),
+                F.max("salts").alias("salts"),
+                F.sort_array(F.collect_list(F.struct("upto", "items"))).alias("entries"),
             )
         )
         leaves = materialize(leaves, "neighbours")
@@ -93,12 +105,21 @@ class _Tables:
         self.pairs = links.select(F.col("node").alias("prev"), F.col("nbr").alias("_cand"), F.lit(True).alias("_near"))
 
 
-def _pick(entries: Column, u: Column) -> Column:
-    """Entry that the point ``u`` of the running weights falls on."""
-    r = u * F.element_at(entries, -1)["upto"]
+def _first_above(entries: Column, r: Column) -> Column:
     return F.get(F.filter(entries, lambda e: e["upto"] > r), F.lit(0))
 
 
+def _pick_part(parts: Column, u: Column) -> Column:
+    """Part that the point ``u`` of the running weights falls on."""
+    return _first_above(parts, u * F.element_at(parts, -1)["upto"])
+
+
+def _pick(groups: Column, u: Column) -> Column:
+    """Neighbour that the point ``u`` falls on: first its group, then within the group."""
+    r = u * F.element_at(groups, -1)["upto"]
+    return _first_above(_first_above(groups, r)["items"], r)
+
+
 def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that the optimizer cannot copy into later join conditions.
 
@@ -134,12 +155,13 @@ class _Stepper:
         at_hub = F.col("parts").isNotNull()
         self.hub_columns = {
             "_hub": at_hub,
-            "piece": F.when(at_hub, _pick(F.col("parts"), u(0))["piece"]).otherwise(0),
+            "piece": F.when(at_hub, _pick_part(F.col("parts"), u(0))["piece"]).otherwise(0),
             "leaf_salt": F.when(at_hub, 0).otherwise(F.col("leaf_salt")),
         }
         if self.first_order:
             # A rejected draw is repeated; within a hub the piece must be drawn again as well.
-            single = F.when(~hub & (F.size(entries) == 1), entries[0])
+            items = entries[0]["items"]
+            single = F.when(~hub & (F.size(entries) == 1) & (F.size(items) == 1), items[0])
             again = F.when(~hub, F.coalesce(*[attempt(i) for i in range(1, _TRIES)]))
             self.drawn = F.coalesce(single, attempt(0), again)
         else:
