@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +16,7 @@ FAN = 2048
 HOT_WALKERS = 500_000
 HOT_SALTS = 64
 STEPS_PER_BLOCK = 7
+WALKERS_PER_TASK = 100_000
 _TRIES = 4
 
 
@@ -45,7 +47,7 @@ class _Tables:
         crowd = F.col("weight") / F.lit(total or 1.0) * (nodes * num_walks)
         hub = F.col("degree") > fan
         root = F.ceil(F.sqrt("degree")).cast("int")
-        self.nodes = stats.select("node")
+        self.nodes, self.walkers = stats.select("node"), nodes * num_walks
         self.hot = stats.where(hub | (crowd > hot_walkers)).select(
             "node",
             F.when(hub, root).otherwise(1).alias("pieces"),
@@ -250,6 +252,9 @@ def random_walks(
         F.lit(1).alias("t"),
         F.array("cur").alias("hops"),
     )
+    # Broadcast steps keep the partitions of the walkers, so these decide the parallelism.
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    state = state.repartition(max(cores, ceil(tables.walkers / WALKERS_PER_TASK)), "start", "walk_no")
     blocks = []
     while True:
         for _ in range(steps_per_block):
