@@ -192,7 +192,7 @@ def smote_balance(spark, d):
 
 @query("SELECT count(*) AS rows, 0 AS in_both, TRUE AS about_share FROM orders")
 def hash_split(spark, d):
-    """The two parts hold every row once and the first has about its share."""
+    """The two parts hold every row once; the first has its share within five standard deviations."""
     orders = table(spark, d, "orders")
     a, b = L.hash_split(orders, "o_orderkey", 0.7)
     parts = a.select("o_orderkey", F.lit(1).alias("a")).unionByName(b.select("o_orderkey", F.lit(0).alias("a")))
@@ -200,7 +200,7 @@ def hash_split(spark, d):
     return per_key.agg(
         F.sum("n").alias("rows"),
         F.count_if((F.col("a") > 0) & (F.col("a") < F.col("n"))).cast("int").alias("in_both"),
-        (F.abs(F.sum("a") / F.sum("n") - 0.7) < 0.02).alias("about_share"),
+        (F.abs(F.sum("a") / F.sum("n") - 0.7) < 5 * F.sqrt(0.7 * 0.3 / F.sum("n"))).alias("about_share"),
     )
 
 
