@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import pow2_pack, superkmer
+from ledgerloom.llm import near_dedup, pow2_pack, superkmer, warc_store
+from ledgerloom.session import scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    """Components of documents whose shingle sets are similar to 85 in 100."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("_hash")
+
+
+@query
+def op4_warc_archive(spark, sf_dir):
+    """Records of all pages, written to an archive and read back."""
+    path = scratch_path(spark, "warc")
+    warc_store.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc_store.read_records(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op9_pow2_packing(spark, sf_dir):
     """Pieces of power-of-two length, each a sequence of its own."""
