@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import near_dedup, pow2_pack, superkmer, warc_store
+from ledgerloom.llm import near_dedup, pow2_pack, quality_sketch, superkmer, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
@@ -42,6 +42,15 @@ def op4_warc_archive(spark, sf_dir):
     )
 
 
+@query
+def op6_sketch_quality(spark, sf_dir):
+    """Measures of all texts, and whether they lie within the fences of their language and source."""
+    judged = quality_sketch.adaptive_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query
 def op9_pow2_packing(spark, sf_dir):
     """Pieces of power-of-two length, each a sequence of its own."""
