@@ -23,11 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.words import chunks, split_words
+from ledgerloom.llm.words import chunks, ragged, split_words
 
 MAX_LENGTH = 2048
 END = 1
-_CHUNK = 4 << 20
 
 
 @functools.cache
@@ -44,6 +43,68 @@ def binary_pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (tokens // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _encode(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all strings, one after another, and how many each has."""
+    tokenizer = _tokenizer(path)
+    coded = [e.ids for e in tokenizer.encode_batch_fast(strings.to_pylist(), add_special_tokens=False)]
+    return np.array([t for ids in coded for t in ids], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+
+
+def _encode_letters(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same for strings of letters only, many to a call: the last id of each is one that ends a word."""
+    words = strings.to_pylist()
+    lines = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+    ids, _ = _encode(pa.array(lines, pa.string()), path)
+    ends = np.flatnonzero(_ends_word(path)[ids])
+    if len(ends) != len(words):
+        return _encode(strings, path)
+    return ids, np.diff(ends, prepend=-1)
+
+
+@functools.cache
+def _ends_word(path: str) -> np.ndarray:
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
+def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after another, and how many each has.
+
+    Words that differ only in A-Z or in one full stop or comma at the end share
+    the encoding of their stem: the tokenizer lower-cases, and it cuts between
+    a letter or digit and such a mark. Words that may hold a special token, or the one
+    capital whose lower case ends in a mark, stay as they are.
+    """
+    plain = pc.invert(pc.match_substring_regex(vocabulary, "<[|]|\u0130"))
+    lower = pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
+    marked = pc.and_(plain, pc.match_substring_regex(lower, r"[\pL\pN][.,]$"))
+    stem = pc.if_else(marked, pc.utf8_slice_codeunits(lower, 0, -1), lower)
+    coded = pa.concat_arrays([stem, pa.array([".", ","], stem.type)]).dictionary_encode()
+    strings, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    simple = pc.match_substring_regex(strings, r"^\pL+$")
+    simple = pc.and_(simple, pc.invert(pc.match_substring(strings, "\u0130"))).to_numpy(zero_copy_only=False)
+    flat, sizes, begin, base = [], np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64), 0
+    for chosen, encode in ((simple, _encode_letters), (~simple, _encode)):
+        ids, n = encode(strings.filter(pa.array(chosen)), path)
+        sizes[chosen], begin[chosen] = n, base + np.cumsum(n) - n
+        flat.append(ids)
+        base += len(ids)
+    flat = np.concatenate(flat)
+    stop, comma = (flat[begin[i] : begin[i] + sizes[i]] for i in index[-2:])
+    if len(stop) != 1 or len(comma) != 1:
+        return _encode(vocabulary, path)
+    index, has = index[:-2], marked.to_numpy(zero_copy_only=False)
+    own = sizes[index]
+    out = np.zeros(int(own.sum() + has.sum()), np.uint32)
+    ends = np.cumsum(own + has)
+    out[ragged(ends - own - has, own)] = flat[ragged(begin[index], own)]
+    last = pc.ends_with(vocabulary, ".").to_numpy(zero_copy_only=False)[has]
+    out[ends[has] - 1] = np.where(last, stop[0], comma[0])
+    return out, own + has
+
+
 def document_ids(texts, path: str) -> list[np.ndarray]:
     """Token ids of every text, without the end token.
 
@@ -51,15 +112,13 @@ def document_ids(texts, path: str) -> list[np.ndarray]:
     those of its words in order and every distinct word is encoded once.
     """
     words = split_words(texts)
-    coded = [e.ids for e in _tokenizer(path).encode_batch(words.vocabulary.to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((t for ids in coded for t in ids), np.uint32, int(sizes.sum()))
-    begin = np.cumsum(sizes) - sizes
-    lengths = sizes[words.ids]
-    places = np.repeat(begin[words.ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    ids = flat[places]
-    ends = np.cumsum(np.bincount(words.owner, lengths, len(words.counts)).astype(np.int64)) if len(words.counts) else []
-    return np.split(ids, ends[:-1]) if len(words.counts) else []
+    if not len(words.ids):
+        return [np.zeros(0, np.uint32) for _ in words.counts]
+    flat, sizes = word_ids(words.vocabulary, path)
+    begin, lengths = np.cumsum(sizes) - sizes, sizes[words.ids]
+    ids = flat[ragged(begin[words.ids], lengths)]
+    ends = np.cumsum(np.bincount(words.owner, lengths, len(words.counts)).astype(np.int64))
+    return np.split(ids, ends[:-1])
 
 
 def pack_documents(
@@ -74,7 +133,7 @@ def pack_documents(
     kind = docs.schema[id_col].dataType
 
     def cut(batches):
-        for chunk in chunks(batches, "_text", _CHUNK):
+        for chunk in chunks(batches, "_text"):
             ids = document_ids(chunk["_text"], tokenizer)
             row, start, length, pieces, total = [], [], [], [], []
             for i, own in enumerate(ids):
