@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import near_dedup, pow2_pack, quality_sketch, superkmer, warc_store
+from ledgerloom.llm import impact_index, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
@@ -32,6 +32,12 @@ def op1_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("_hash")
 
 
+@query
+def op2_pfair_mix(spark, sf_dir):
+    """Block and slot of every document in a mixture of sources."""
+    return source_mix.mix_sources(_table(spark, sf_dir, "documents")).drop("_hash")
+
+
 @query
 def op4_warc_archive(spark, sf_dir):
     """Records of all pages, written to an archive and read back."""
@@ -42,6 +48,13 @@ def op4_warc_archive(spark, sf_dir):
     )
 
 
+@query
+def op5_impact_top_k(spark, sf_dir):
+    """Five largest integer inner products of every fiftieth vector."""
+    found = impact_index.exact_top_k(_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 @query
 def op6_sketch_quality(spark, sf_dir):
     """Measures of all texts, and whether they lie within the fences of their language and source."""
