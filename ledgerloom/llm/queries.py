@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import impact_index, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, warc_store
+from ledgerloom.llm import impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
@@ -38,6 +38,16 @@ def op2_pfair_mix(spark, sf_dir):
     return source_mix.mix_sources(_table(spark, sf_dir, "documents")).drop("_hash")
 
 
+@query
+def op3_sentence_licences(spark, sf_dir):
+    """Known licence sentences of every document and the licences whose rules they match."""
+    found = license_rules.scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"),
+    )
+
+
 @query
 def op4_warc_archive(spark, sf_dir):
     """Records of all pages, written to an archive and read back."""
