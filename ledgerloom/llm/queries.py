@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, warc_store
+from ledgerloom.llm import impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
@@ -74,6 +74,13 @@ def op6_sketch_quality(spark, sf_dir):
     )
 
 
+@query
+def op7_bigru_toxicity(spark, sf_dir):
+    """Score of the worst window of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.toxic_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op9_pow2_packing(spark, sf_dir):
     """Pieces of power-of-two length, each a sequence of its own."""
