@@ -84,11 +84,11 @@ def write_archive(
     )
     joined.select("sha256", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
-    keyed = source.select(F.coalesce("page", F.lit(_LAST)).alias("order"), "payload")
+    # the window takes the partitions of the join, so payload bytes are shuffled once
+    keyed = source.select(F.coalesce("page", F.lit(_LAST)).alias("order"), F.sha2("payload", 256).alias("sha256"), "payload")
     once = Window.partitionBy("order", "sha256").orderBy("order")
     chosen = (
-        keyed.join(firsts.select("sha256", F.col("least_order").alias("order")), "order")
-        .where(F.sha2("payload", 256) == F.col("sha256"))
+        keyed.join(firsts.select("sha256", F.col("least_order").alias("order")), ["order", "sha256"])
         .withColumn("copy", F.row_number().over(once)).where("copy = 1")
     )
     chosen.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
