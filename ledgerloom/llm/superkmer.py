@@ -8,8 +8,8 @@ covers it also starts in a document with a smaller id.
    passage that any share of all documents holds leaves each task once.
 2. The minimiser of a window is the least hash of its three-word grams.
    Consecutive windows with the same minimiser travel as one packed string to
-   the bucket of the minimiser: a blob per task and bucket holds the distinct
-   words once and the strings as indices, compressed.
+   the bucket of the minimiser; a compressed blob holds those of one chunk of a
+   task for one bucket.
 3. In its bucket every window meets all its equals. Sorting brings them
    together; equal hashes are confirmed word by word.
 4. Marks are joined to the documents by id and text hash.
@@ -31,24 +31,35 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.words import (
-    chunks, grams, hash_strings, mix, ragged, runs, sliding_min, split_words, whole,
-)
+from ledgerloom.llm.spans import COLUMNS, LAST, RUNS, covered, joined_runs, merge_runs, pack_runs, with_runs
+from ledgerloom.llm.words import chunks, grams, hash_strings, mix, ragged, runs, sliding_min, split_words, whole
 
 WINDOW = 13
 GRAM = 3
 #: Text bytes whose windows one bucket takes on average.
 BUCKET_BYTES = 8 << 20
-_LAST = np.iinfo(np.int64).max
+CHUNK = 8 << 20
 _BLOB = "bucket int, kind int, id long, hash long, first binary, second binary, third binary"
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+def _pack_words(vocabulary: pa.Array, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """The words' bytes without gaps, and the words' lengths, both compressed."""
+    words = vocabulary.take(pa.array(ids)).cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    lengths = np.diff(ends)
+    kind = "<u1" if lengths.max(initial=0) < 256 else "<i8"
+    pack = zstandard.ZstdCompressor(level=3)
+    text = memoryview(words.buffers()[2] or b"")[ends[0] : ends[-1]]
+    return pack.compress(text), kind.encode() + pack.compress(lengths.astype(kind).tobytes())
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def _unpack_words(text: bytes, lengths: bytes) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    sizes = np.frombuffer(unpack.decompress(lengths[3:]), lengths[:3].decode())
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(unpack.decompress(text))]
+    )
 
 
 def _marked(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
@@ -78,26 +89,10 @@ def _marked(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: np.ndarr
     return marked
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of marked windows: document, first window, number of windows."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    first, size = runs(start, doc)
-    return doc[first], start[first], size
-
-
-def _mark_rows(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """Rows (id, hash, starts, sizes), one per document that has marks."""
-    d, s, n = _spans(doc, start)
-    cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else []
-    for a, b in zip(cut, [*cut[1:], len(d)]):
-        yield int(ids[d[a]]), int(hashes[d[a]]), s[a:b].astype("<i4").tobytes(), n[a:b].astype("<i4").tobytes()
-
-
 def _cutter(buckets: int, window: int, gram: int):
     def cut(batches):
-        for chunk in chunks(batches, "_text"):
-            ids = chunk["_id"].fill_null(_LAST).to_numpy()
+        for chunk in chunks(batches, "_text", CHUNK):
+            ids = chunk["_id"].fill_null(LAST).to_numpy()
             order = np.argsort(ids, kind="stable")
             chunk, ids = chunk.take(pa.array(order)), ids[order]
             hashes = chunk["_hash"].to_numpy()
@@ -107,7 +102,9 @@ def _cutter(buckets: int, window: int, gram: int):
             at = np.flatnonzero(whole(words.counts, window))
             own_hash = grams(coded, window)[at]
             marked = _marked(own_hash, ids[owner[at]], at, words.ids, window)
-            out = [(-1, 0, i, h, a, b, None) for i, h, a, b in _mark_rows(ids, hashes, owner[at[marked]], at[marked] - starts[owner[at[marked]]])]
+            hit = owner[at[marked]]
+            packed = pack_runs(ids, hashes, *joined_runs(hit, at[marked] - starts[hit]), buckets)
+            out = [(part, 0, n, None, *rest) for part, n, *rest in packed]
             least = sliding_min(grams(coded, gram), window - gram + 1)
             sent = at[~marked]
             first, size = runs(sent, least[sent], owner[sent])
@@ -116,25 +113,14 @@ def _cutter(buckets: int, window: int, gram: int):
             bucket = (mix(least[begin]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             begin, size, doc, bucket = begin[order], size[order], doc[order], bucket[order]
-            strings = words.ids[ragged(begin, size + window - 1)]
-            ends = np.cumsum(size + window - 1)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            seen, place = np.zeros(len(words.vocabulary), bool), np.zeros(len(words.vocabulary), np.int32)
+            del own_hash, least, sent, at, coded, owner
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                own = strings[ends[a] - size[a] - window + 1 : ends[b - 1]]
-                seen[own] = True
-                used = np.flatnonzero(seen)
-                seen[used] = False
-                place[used] = np.arange(len(used), dtype=np.int32)
+                text, lengths = _pack_words(words.vocabulary, words.ids[ragged(begin[a:b], size[a:b] + window - 1)])
                 docs, inside = np.unique(doc[a:b], return_inverse=True)
                 table = np.stack([inside, begin[a:b] - starts[doc[a:b]], size[a:b]]).astype("<i4")
                 head = np.stack([ids[docs], hashes[docs]]).astype("<i8")
-                vocabulary = words.vocabulary.take(pa.array(used))
-                out.append((
-                    int(bucket[a]), 1, len(docs), b - a,
-                    zstandard.ZstdCompressor(level=1).compress("\n".join(vocabulary.to_pylist()).encode()),
-                    _pack(place[own].astype("<i4")), head.tobytes() + table.tobytes(),
-                ))
+                out.append((int(bucket[a]), 1, len(docs), b - a, text, lengths, head.tobytes() + table.tobytes()))
             for a in range(0, len(out), 2000):
                 columns = list(zip(*out[a : a + 2000]))
                 yield pa.RecordBatch.from_arrays(
@@ -145,38 +131,34 @@ def _cutter(buckets: int, window: int, gram: int):
     return cut
 
 
-def _bucket_marks(window: int):
+def _bucket_marks(window: int, parts: int):
     def count(table):
-        ids, hashes, vocabularies, parts, tables = [], [], [], [], []
-        docs = words_before = 0
-        for n_docs, n_runs, vocabulary, strings, rest in zip(*(table[c].to_pylist() for c in ("id", "hash", "first", "second", "third"))):
+        ids, hashes, strings, tables = [], [], [], []
+        docs = 0
+        for n_docs, n_runs, text, lengths, rest in zip(*(table[c].to_pylist() for c in ("id", "hash", "first", "second", "third"))):
             head = np.frombuffer(rest[: 16 * n_docs], "<i8").reshape(2, n_docs)
             runs_ = np.frombuffer(rest[16 * n_docs :], "<i4").reshape(3, n_runs).astype(np.int64)
             ids.append(head[0])
             hashes.append(head[1])
             runs_[0] += docs
             tables.append(runs_)
-            own = zstandard.ZstdDecompressor().decompress(vocabulary).decode().split("\n")
-            vocabularies.append(pa.array(own, pa.large_string()))
-            parts.append(_unpack(strings, "<i4") + np.int32(words_before))
+            strings.append(_unpack_words(text, lengths))
             docs += n_docs
-            words_before += len(own)
         ids, hashes, (doc, start, size) = np.concatenate(ids), np.concatenate(hashes), np.concatenate(tables, axis=1)
-        coded = pa.concat_arrays(vocabularies).dictionary_encode()
-        del vocabularies
-        flat = coded.indices.to_numpy().astype(np.int32)[np.concatenate(parts)]
-        del parts
+        coded = pa.concat_arrays(strings).dictionary_encode()
+        del strings
+        flat = coded.indices.to_numpy()
         begin = np.cumsum(size + window - 1) - (size + window - 1)
         at = ragged(begin, size)
         run = np.repeat(np.arange(len(size)), size)
-        own_hash = grams(mix(hash_strings(coded.dictionary))[flat], window)[at]
+        own_hash = grams(hash_strings(coded.dictionary)[flat], window)[at]
         marked = np.flatnonzero(_marked(own_hash, ids[doc[run]], at, flat, window))
         hit = run[marked]
-        rows = list(_mark_rows(ids, hashes, doc[hit], start[hit] + at[marked] - begin[hit]))
-        columns = list(zip(*rows)) or [(), (), (), ()]
+        rows = list(pack_runs(ids, hashes, *joined_runs(doc[hit], start[hit] + at[marked] - begin[hit]), parts))
+        columns = list(zip(*rows)) or [(), (), (), (), ()]
         return pa.table({
-            "id": pa.array(columns[0], pa.int64()), "hash": pa.array(columns[1], pa.int64()),
-            "starts": pa.array(columns[2], pa.binary()), "sizes": pa.array(columns[3], pa.binary()),
+            name: pa.array(column, kind)
+            for name, column, kind in zip(("part", "n", *COLUMNS), columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))
         })
 
     return count
@@ -185,34 +167,24 @@ def _bucket_marks(window: int):
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Marks (id, hash of the text, starts, sizes): runs of windows that also start in a document with a smaller id.
 
-    ``starts`` and ``sizes`` are little-endian 32-bit arrays; a document has
-    several rows, one from each bucket that marked it.
+    ``starts`` and ``sizes`` are little-endian 32-bit arrays; documents without
+    marks have no row.
     """
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     cut = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
     ).mapInArrow(_cutter(buckets, window, GRAM), _BLOB)
-    count = _bucket_marks(window)
+    count = _bucket_marks(window, buckets)
 
     def marks(key, table):
-        if key[0].as_py() >= 0:
+        if key[1].as_py():
             return count(table)
-        return table.select(["id", "hash", "first", "second"]).rename_columns(["id", "hash", "starts", "sizes"])
+        return table.select(["bucket", "id", *COLUMNS]).rename_columns(["part", "n", *COLUMNS])
 
     # marks made before the shuffle pass through it in groups of their own
-    key = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod("hash", F.lit(buckets)).cast("int"))
-    return cut.withColumn("bucket", key).groupBy("bucket").applyInArrow(marks, "id long, hash long, starts binary, sizes binary")
-
-
-def covered_words(n: int, starts, sizes, window: int) -> np.ndarray:
-    """Which of ``n`` words lie in a marked window; ``starts`` and ``sizes`` are lists of packed arrays."""
-    edge = np.zeros(n + 1, np.int32)
-    for s, m in zip(starts, sizes):
-        s, m = np.frombuffer(s, "<i4"), np.frombuffer(m, "<i4")
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + m + window - 1, -1)
-    return np.cumsum(edge[:n]) > 0
+    packed = cut.groupBy("bucket", "kind").applyInArrow(marks, "part int, n long, first binary, second binary, third binary")
+    return packed.groupBy("part").applyInArrow(merge_runs, RUNS)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -220,38 +192,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``_words`` is the number of words.
     """
-    marks = (
-        repeated_windows(docs, id_col, text_col, window)
-        .groupBy("id", "hash")
-        .agg(F.collect_list(F.struct("starts", "sizes")).alias("_marks"))
-    )
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_hash": F.xxhash64(text_col)
-    })
-    joined = keyed.join(marks, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("hash")), "left")
-    fields = [f for f in docs.schema]
-    names = [f.name for f in fields]
 
-    def keep(batches):
-        for batch in batches:
-            kept, removed, total = [], [], []
-            texts = batch.column("_text").to_pylist()
-            for text, marked in zip(texts, batch.column("_marks").to_pylist()):
-                words = (text or "").encode().split()
-                total.append(len(words))
-                if marked:
-                    gone = covered_words(len(words), [m["starts"] for m in marked], [m["sizes"] for m in marked], window)
-                    words = list(itertools.compress(words, ~gone))
-                kept.append(b" ".join(words).decode())
-                removed.append(total[-1] - len(words))
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                [*names, "_kept", "_words", "_removed"],
-            )
+    def judge(text: bytes, starts, sizes):
+        words = text.split()
+        n = len(words)
+        if starts is not None:
+            words = list(itertools.compress(words, ~covered(n, starts, sizes, window)))
+        return b" ".join(words).decode(), n, n - len(words)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    others = [keyed[c] for c in names]
-    return joined.select(*others, keyed[text_col].alias("_text"), marks["_marks"]).mapInArrow(
-        keep, f"{schema}, _kept string, _words long, _removed long"
-    )
+    marks = repeated_windows(docs, id_col, text_col, window)
+    return with_runs(docs, marks, id_col, text_col, "_kept string, _words long, _removed long", judge)

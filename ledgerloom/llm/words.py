@@ -81,9 +81,11 @@ def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words
 
 
 def hash_strings(strings: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, the same in every task."""
+    """64-bit hashes of strings of any Arrow type, the same in every task."""
     if len(strings) == 0:
         return np.zeros(0, np.uint64)
+    if pa.types.is_large_binary(strings.type):
+        strings = strings.view(pa.large_string())
     return pd.util.hash_array(np.asarray(strings.to_numpy(zero_copy_only=False), object), categorize=False)
 
 
