@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store
+from ledgerloom.llm import column_bwt, impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
@@ -81,6 +81,16 @@ def op7_bigru_toxicity(spark, sf_dir):
     return toxicity.toxic_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op8_column_bwt_dedup(spark, sf_dir):
+    """Bytes kept after removing every 200-byte string that starts elsewhere too."""
+    done = column_bwt.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_pow2_packing(spark, sf_dir):
     """Pieces of power-of-two length, each a sequence of its own."""
