@@ -89,7 +89,7 @@ def _identifiers(text: Column, known: dict[str, str]) -> Column:
 
 
 def _rule(names: list[str], numbers: dict[str, int]) -> str:
-    return "(?:,[0-9]+)*?".join(f",{numbers[n]}(?![0-9])" for n in names)
+    return ".*".join(f"<{numbers[n]}>" for n in names)
 
 
 def scan_licences(
@@ -98,10 +98,8 @@ def scan_licences(
 ) -> DataFrame:
     """Id, ``sentences`` (identifiers in order) and ``licences`` (sorted, distinct) of every row."""
     numbers = {name: i for i, name in enumerate(sentences)}
-    order = F.create_map(*(F.lit(x) for name, i in numbers.items() for x in (name, str(i))))
+    order = F.create_map(*(F.lit(x) for name, i in numbers.items() for x in (name, f"<{i}>")))
     found = docs.select(F.col(id_col), _identifiers(F.col(text_col), known_sentences(sentences)).alias("sentences"))
-    coded = found.withColumn(
-        "_code", F.when(F.size("sentences") > 0, F.concat(F.lit(","), F.array_join(F.transform("sentences", lambda s: F.element_at(order, s)), ",")))
-    )
+    coded = found.withColumn("_code", F.array_join(F.transform("sentences", lambda s: F.element_at(order, s)), ""))
     hits = [F.when(F.col("_code").rlike(_rule(names, numbers)), F.lit(licence)) for licence, names in rules]
     return coded.select(id_col, "sentences", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("licences"))

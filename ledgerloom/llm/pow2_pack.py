@@ -14,7 +14,6 @@ A text of any length is cut within the memory of its own ids.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 
@@ -29,12 +28,16 @@ MAX_LENGTH = 2048
 END = 1
 
 
-@functools.cache
+_loaded: dict = {}  # tokenizers and their word ends, by path
+
+
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+        _loaded[path] = Tokenizer.from_file(path)
+    return _loaded[path]
 
 
 def binary_pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -61,12 +64,13 @@ def _encode_letters(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarra
     return ids, np.diff(ends, prepend=-1)
 
 
-@functools.cache
 def _ends_word(path: str) -> np.ndarray:
-    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocabulary.values()) + 1, bool)
-    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    return out
+    key = (path, "ends")
+    if key not in _loaded:
+        vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+        _loaded[key] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _loaded[key][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return _loaded[key]
 
 
 def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import column_bwt, impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store
+from ledgerloom.llm import column_bwt, impact_index, license_rules, near_dedup, oracles, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store
 from ledgerloom.session import scratch_path
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -106,3 +105,9 @@ def op10_superkmer_dedup(spark, sf_dir):
         "doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"),
         F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": oracles.OP1, "op3_sentence_licences": oracles.OP3, "op4_warc_archive": oracles.OP4,
+    "op5_impact_top_k": oracles.OP5, "op6_sketch_quality": oracles.OP6, "op10_superkmer_dedup": oracles.OP10,
+}

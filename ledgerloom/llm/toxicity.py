@@ -17,8 +17,8 @@ document's label, a toxic document teaches by its worst windows only.
 Scoring covers every window of every whole text, chunk by chunk; distinct words
 of a chunk are put through the input layer once.
 
-Cases: a null or empty text, or one without words, scores 0; a null id is held
-out by the remainder of nothing, that is, it is not held out; repeated rows get
+Cases: a null or empty text, or one without words, scores 0; a null id is not
+held out; repeated rows get
 the same score; labels that are null are ignored; without labels of both kinds
 every score is 0; other columns are ignored, whatever their names; an empty
 table gives no rows.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm.words import chunks, ragged, split_words
@@ -330,19 +331,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, _hash (xxhash64 of the text) and score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(net)  # its size follows from the sample's bound
+    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(net))  # its size follows from the sample's bound
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
+        net = cloudpickle.loads(model.value)
         for chunk in chunks(batches, "text", 6 << 20):
             words = split_words(chunk["text"])
             out = np.zeros(len(words.counts))
-            if model.value is not None and len(words.ids):
+            if net is not None and len(words.ids):
                 stems, stem_of = stems_of(words.vocabulary)
                 doc, first, length = windows_of(words.counts)
-                scores = model.value.scores(stems, stem_of[words.ids], words.starts[doc] + first, length)
+                scores = net.scores(stems, stem_of[words.ids], words.starts[doc] + first, length)
                 some = words.counts > 0
-                out[some] = model.value.documents(document_features(doc, scores, len(out)))[some]
+                out[some] = net.documents(document_features(doc, scores, len(out)))[some]
             yield pa.RecordBatch.from_arrays(
                 [chunk["id"].combine_chunks(), chunk["hash"].combine_chunks(), pa.array(out)], ["id", "hash", "score"]
             )
