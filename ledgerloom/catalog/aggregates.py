@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.registry import query, table
@@ -138,13 +140,17 @@ def quartiles(spark, d):
 
 
 @query("\nUNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round(avg({c}) + 1e-7, 4) AS mean, round(stddev_pop({c}), 4) AS deviation FROM lineitem"
+    f"SELECT '{c}' AS column_name, (((20000 * cents + n) // (2 * n)) + 50) // 100 / 10000.0 AS mean, deviation FROM "
+    f"(SELECT CAST(sum(round(100 * {c})) AS BIGINT) AS cents, count({c}) AS n, round(stddev_pop({c}), 4) AS deviation FROM lineitem)"
     for c in _NUMBERS
 ))
 def moments(spark, d):
-    found = P.moments(table(spark, d, "lineitem"), _NUMBERS)
+    """Means of exact decimals, to six places and then to four, halves up; deviations of doubles."""
+    exact = table(spark, d, "lineitem").select(*[F.col(c).cast("decimal(12,2)").alias(c) for c in _NUMBERS])
+    found = P.moments(exact, _NUMBERS)
+    four = Decimal("0.0001")
     return _rows(
-        spark, [(c, round(m + 1e-7, 4), round(s, 4)) for c, (m, s) in found.items()], "column_name string, mean double, deviation double"
+        spark, [(c, float(m.quantize(four, ROUND_HALF_UP)), round(s, 4)) for c, (m, s) in found.items()], "column_name string, mean double, deviation double"
     )
 
 

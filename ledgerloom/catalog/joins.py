@@ -31,22 +31,25 @@ def sum_by_status(spark, d):
 
 
 @query("""
-SELECT o.o_orderkey, o.o_custkey, f.n, round(f.mean_price + 1e-7, 2) AS mean_price, round(f.total, 2) AS total
-FROM orders o LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n, avg(o_totalprice) AS mean_price,
-                                sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) f
+SELECT o.o_orderkey, o.o_custkey, f.n, (((20000 * f.cents + f.n) // (2 * f.n)) + 5000) // 10000 / 100.0 AS mean_price,
+  f.cents / 100.0 AS total
+FROM orders o LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n, CAST(sum(round(100 * o_totalprice)) AS BIGINT) AS cents
+                         FROM orders GROUP BY o_custkey) f
   ON o.o_custkey = f.o_custkey
 """)
 def attach_features(spark, d):
     """Count, mean and sum per customer in one pass, joined to every order.
 
-    The small offset keeps exact halves from depending on the order of summation.
+    Prices are exact decimals here, so halves round up whatever the order of
+    summation; the mean has six decimals before it is rounded to two.
     """
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    price = F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", price)
     features = entity_features(
         orders, "o_custkey", {"n": "o_orderkey"}, {"mean_price": "o_totalprice"}, {"total": "o_totalprice"}
     )
     return J.attach_features(orders, features, "o_custkey").select(
-        "o_orderkey", "o_custkey", "n", F.round(F.col("mean_price") + 1e-7, 2).alias("mean_price"), F.round("total", 2).alias("total")
+        "o_orderkey", "o_custkey", "n", F.round("mean_price", 2).cast("double").alias("mean_price"), F.col("total").cast("double").alias("total")
     )
 
 
@@ -73,28 +76,29 @@ def join_aggregates(spark, d):
 
 def _weeks(spark, d):
     ar = table(spark, d, "orders").where(F.col("o_orderstatus") == "O")
-    ap = table(spark, d, "lineitem").where((F.col("l_linestatus") == "O") & (F.month("l_shipdate") > 1))
+    ap = table(spark, d, "lineitem").where(F.col("l_linestatus") == "O")
     return (
-        sum_by_week(ar, "o_orderdate", "o_totalprice", "amount_ar"),
-        sum_by_week(ap, "l_shipdate", "l_extendedprice", "amount_ap"),
+        sum_by_week(ar, "o_orderdate", "o_totalprice", "amount_ar", True),
+        sum_by_week(ap, "l_shipdate", "l_extendedprice", "amount_ap", True),
+        ("iso_year", "week"),
     )
 
 
 def _rounded(net):
-    return net.select("week", *[F.round(c, 2).alias(c) for c in ("amount_ar", "amount_ap", "working_capital")])
+    return net.select("iso_year", "week", *[F.round(c, 2).alias(c) for c in ("amount_ar", "amount_ap", "working_capital")])
 
 
 _WEEKS = """
-WITH ar AS (SELECT weekofyear(o_orderdate) AS week, sum(o_totalprice) AS amount_ar
-            FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
-     ap AS (SELECT weekofyear(l_shipdate) AS week, sum(l_extendedprice) AS amount_ap
-            FROM lineitem WHERE l_linestatus = 'O' AND month(l_shipdate) > 1 GROUP BY 1)
+WITH ar AS (SELECT isoyear(o_orderdate) AS iso_year, weekofyear(o_orderdate) AS week, sum(o_totalprice) AS amount_ar
+            FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+     ap AS (SELECT isoyear(l_shipdate) AS iso_year, weekofyear(l_shipdate) AS week, sum(l_extendedprice) AS amount_ap
+            FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
 """
 
 
 @query(_WEEKS + """
-SELECT ar.week, round(amount_ar, 2) AS amount_ar, round(amount_ap, 2) AS amount_ap,
-       round(amount_ar - amount_ap, 2) AS working_capital FROM ar JOIN ap ON ar.week = ap.week
+SELECT iso_year, week, round(amount_ar, 2) AS amount_ar, round(amount_ap, 2) AS amount_ap,
+       round(amount_ar - amount_ap, 2) AS working_capital FROM ar JOIN ap USING (iso_year, week)
 """)
 def net_by_week(spark, d):
     """Weeks that both sides have."""
@@ -102,10 +106,10 @@ def net_by_week(spark, d):
 
 
 @query(_WEEKS + """
-SELECT coalesce(ar.week, ap.week) AS week, round(coalesce(amount_ar, 0), 2) AS amount_ar,
+SELECT iso_year, week, round(coalesce(amount_ar, 0), 2) AS amount_ar,
        round(coalesce(amount_ap, 0), 2) AS amount_ap,
        round(coalesce(amount_ar, 0) - coalesce(amount_ap, 0), 2) AS working_capital
-FROM ar FULL JOIN ap ON ar.week = ap.week
+FROM ar FULL JOIN ap USING (iso_year, week)
 """)
 def net_by_week_full(spark, d):
     """All weeks, a missing side counting as 0."""

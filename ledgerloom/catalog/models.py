@@ -13,6 +13,9 @@ from ledgerloom.catalog.registry import query, table
 from ledgerloom.catalog.standins import (
     CHURN_SQL,
     COVIEW_SQL,
+    PAYABLES_SQL,
+    PRODUCTS_SQL,
+    RECEIVABLES_SQL,
     churn_customers,
     product_events,
     products,
@@ -25,9 +28,6 @@ from ledgerloom.session import materialize, scratch_path
 from ledgerloom.sinks.writers import save_model
 from ledgerloom.sources.readers import load_model
 
-# Boosting rounds on the test tables, whose delays have little to learn.
-_ROUNDS = 20
-
 _made: dict[tuple, object] = {}
 
 
@@ -64,12 +64,12 @@ def _churn(spark, d):
 
 def _receivables(spark, d):
     return _once(
-        spark, d, "ar", lambda: capital.fit_receivables(raw_receivables(spark, d), _ROUNDS, regions=_REGIONS)
+        spark, d, "ar", lambda: capital.fit_receivables(raw_receivables(spark, d), regions=_REGIONS)
     )
 
 
 def _payables(spark, d):
-    return _once(spark, d, "ap", lambda: capital.fit_payables(raw_payables(spark, d), _ROUNDS))
+    return _once(spark, d, "ap", lambda: capital.fit_payables(raw_payables(spark, d)))
 
 
 @query()
@@ -106,8 +106,14 @@ def item_embeddings(spark, d):
 
 @query()
 def item_embeddings_by_factors(spark, d):
-    """The way that serves more items than a driver can hold."""
-    return E.embed_walks(_walks(spark, d), max_items=0)
+    """The default method, named."""
+    return E.embed_walks(_walks(spark, d), method="factors")
+
+
+@query()
+def item_embeddings_by_skipgram(spark, d):
+    """The trainer whose vectors must fit the driver."""
+    return E.embed_walks(_walks(spark, d), method="skipgram")
 
 
 @query(f"""
@@ -231,3 +237,120 @@ def working_capital_forecast(spark, d):
         raw_receivables(spark, d), raw_payables(spark, d),
         _receivables(spark, d).model, _payables(spark, d).model, regions=_REGIONS,
     )
+
+
+def _totals(spark, d, settled):
+    """Total receivable and payable amount over all predicted weeks, one-sided weeks included."""
+    net = capital.working_capital(
+        raw_receivables(spark, d), raw_payables(spark, d), _receivables(spark, d).model, _payables(spark, d).model,
+        how="full", with_year=True, regions=_REGIONS, settled=settled,
+    )
+    return net.agg(*[F.round(F.sum(c), 1).alias(c) for c in ("amount_ar", "amount_ap", "working_capital")])
+
+
+_TOTALS = f"""
+WITH {RECEIVABLES_SQL}, {PAYABLES_SQL},
+     a AS (SELECT sum(amount) AS amount_ar FROM ar WHERE is_open = {{0}}),
+     b AS (SELECT sum(amount) AS amount_ap FROM ap WHERE status = '{{1}}')
+SELECT round(amount_ar, 1) AS amount_ar, round(amount_ap, 1) AS amount_ap, round(amount_ar - amount_ap, 1) AS working_capital FROM a, b
+"""
+
+
+@query(_TOTALS.format(1, "Unpaid"))
+def forecast_totals(spark, d):
+    """The forecast spreads all open and unpaid amounts over its weeks and loses none."""
+    return _totals(spark, d, False)
+
+
+@query(_TOTALS.format(0, "Paid"))
+def settled_totals(spark, d):
+    """The weekly table of closed and paid invoices spreads all of their amounts."""
+    return _totals(spark, d, True)
+
+
+@query("SELECT TRUE AS beats_majority")
+def churn_beats_majority(spark, d):
+    """On the balanced training rows the forest is right more often than a fixed answer."""
+    fit = _churn(spark, d)
+    return spark.createDataFrame([(fit.train_accuracy > max(fit.after) / sum(fit.after),)], "beats_majority boolean")
+
+
+@query("SELECT unnest(['payables', 'receivables']) AS side, TRUE AS beats_mean")
+def delay_beats_mean(spark, d):
+    """On the training rows both models err less than the mean delay does."""
+    fits = {"receivables": _receivables(spark, d), "payables": _payables(spark, d)}
+    return spark.createDataFrame([(s, f.scores["train_r2"] > 0) for s, f in fits.items()], "side string, beats_mean boolean")
+
+
+@query("SELECT unnest(['payables', 'receivables']) AS side, TRUE AS shares")
+def importances_are_shares(spark, d):
+    """Importances are not negative and sum to one."""
+    fits = {"receivables": _receivables(spark, d), "payables": _payables(spark, d)}
+    rows = [(s, min(f.importances) >= 0 and abs(sum(f.importances) - 1) < 1e-9) for s, f in fits.items()]
+    return spark.createDataFrame(rows, "side string, shares boolean")
+
+
+def _mean_cosine(pairs, vectors):
+    """Mean cosine over pairs (a, b) of items."""
+    unit = vectors.select("pid", F.col("embedding_vector").cast("array<double>").alias("v"))
+    a, b = unit.select(F.col("pid").alias("a"), F.col("v").alias("va")), unit.select(F.col("pid").alias("b"), F.col("v").alias("vb"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
+    return pairs.join(a, "a").join(b, "b").agg(F.avg(cosine)).first()[0]
+
+
+@query("SELECT unnest(['factors', 'skipgram']) AS method, TRUE AS walked_are_closer")
+def embeddings_follow_walks(spark, d):
+    """Items that often lie within the window of one another are closer than items that seldom do."""
+    often = E.cooccurrences(_walks(spark, d)).where("a < b")
+    bounds = often.selectExpr("percentile_approx(n, array(0.1, 0.9), 10000)").first()[0]
+    rows = []
+    for method in ("factors", "skipgram"):
+        vectors = materialize(E.embed_walks(_walks(spark, d), method=method), "vectors")
+        near, far = (_mean_cosine(often.where(c), vectors) for c in (f"n >= {bounds[1]}", f"n <= {bounds[0]}"))
+        rows.append((method, near > far))
+    return spark.createDataFrame(rows, "method string, walked_are_closer boolean")
+
+
+@query(f"""
+WITH {COVIEW_SQL}, n AS (SELECT pid_1 AS node FROM edges UNION SELECT pid_2 FROM edges)
+SELECT node AS product_id, 1 AS answers, FALSE AS itself FROM n
+""")
+def recommend_answers(spark, d):
+    """Every product of the graph has one recommendation, and it is another product."""
+    found = R.recommend(_embeddings(spark, d), products(spark, d))
+    return found.groupBy("product_id").agg(
+        F.count("*").cast("int").alias("answers"), F.max(F.col("prod_id") == F.col("product_id").cast("string")).alias("itself")
+    )
+
+
+@query("SELECT count(*) AS placed, TRUE AS falling, TRUE AS uncorrelated FROM embeddings")
+def projection_axes(spark, d):
+    """Axes of the projection have falling variance and no correlation."""
+    p = E.project_embeddings(_given_embeddings(spark, d), 3)
+    v = [F.var_pop(f"x{i}") for i in range(3)]
+    apart = [F.abs(F.corr(f"x{i}", f"x{j}")) < 1e-6 for i, j in ((0, 1), (0, 2), (1, 2))]
+    return p.agg(
+        F.count("*").alias("placed"), ((v[0] >= v[1]) & (v[1] >= v[2])).alias("falling"), (apart[0] & apart[1] & apart[2]).alias("uncorrelated")
+    )
+
+
+@query(f"""
+WITH {COVIEW_SQL}, {PRODUCTS_SQL}, n AS (SELECT pid_1 AS node FROM edges UNION SELECT pid_2 FROM edges)
+SELECT node AS pid, split_part(category_code, '.', 1) AS "L1", TRUE AS placed FROM n JOIN prod ON node = product_id
+""")
+def map_places(spark, d):
+    """Every categorised product of the graph has a place in the plane and in space."""
+    placed = R.embedding_maps(_embeddings(spark, d), products(spark, d))
+    return placed.select("pid", "L1", (F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("x2").isNotNull()).alias("placed"))
+
+
+@query(f"""
+WITH {COVIEW_SQL.replace("ts AS event_time", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' UTC' AS event_text, ts AS event_time")}
+SELECT pid_1, pid_2, occurrence_ct FROM edges
+""")
+def coview_graph_of_text_times(spark, d):
+    """The graph from events whose time is text with a zone suffix."""
+    events = product_events(spark, d)
+    text = F.concat(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC"))
+    return coview.coview_graph(events.withColumn("event_time", text))

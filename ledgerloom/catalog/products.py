@@ -70,6 +70,31 @@ def receivable_training_rows(spark, d):
     )
 
 
+_CATEGORIES = ["Fees", "Raw Material", "Services", "Taxes", "Utility"]
+
+
+@query(f"""
+WITH {PAYABLES_SQL}, s AS (SELECT * FROM ap WHERE status <> 'Unpaid' OR status IS NULL),
+     f AS (SELECT supplier_id, count(invoice_number) AS inv_count, avg(late_fees) AS late_fees_mean, avg(overdue) AS overdue_mean
+           FROM s GROUP BY supplier_id)
+SELECT s.invoice_number, s.amount, s.payterm_n, f.inv_count, round(f.late_fees_mean, 4) AS late_fees_mean,
+       round(f.overdue_mean, 4) AS overdue_mean, CAST(s.due_date - s.payment_date AS INTEGER) AS delay,
+       CAST(s.posting_date - s.invoice_date AS INTEGER) AS diff_pb,
+       {", ".join(f"CAST(spend_category = '{c}' AS INTEGER) AS {c.replace(' ', '_')}" for c in _CATEGORIES)},
+       CAST(vendor_type = 'Domestic' AS INTEGER) AS domestic
+FROM s LEFT JOIN f ON s.supplier_id = f.supplier_id
+""")
+def payable_training_rows(spark, d):
+    """Paid invoices with the columns the delay model is trained on."""
+    rows = capital.payable_rows(capital.clean_payables(raw_payables(spark, d)), unpaid=False)
+    return rows.select(
+        "invoice_number", "amount", "payterm_n", "inv_count", F.round("late_fees_mean", 4).alias("late_fees_mean"),
+        F.round("overdue_mean", 4).alias("overdue_mean"), "delay", "diff_pb",
+        *[F.col(f"`Spend Category_{c}`").alias(c.replace(" ", "_")) for c in _CATEGORIES],
+        F.col("Vendor_Type_Domestic").alias("domestic"),
+    )
+
+
 def _given_embeddings(spark, d):
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("pid"), F.col("embedding").alias("embedding_vector")

@@ -67,7 +67,7 @@ def stream_country_count(spark, d):
     counts = P.live_country_count(activity(_events_stream(spark, d)), demographics(spark, d))
     out = scratch_path(spark, "counts")
     _finish(sinks.start_live_count(counts, sinks.replace_table(out), scratch_path(spark, "progress"), None))
-    return spark.read.schema(counts.schema).parquet(out)
+    return sinks.read_newest(spark, out)
 
 
 @query(f"""
@@ -81,7 +81,7 @@ def stream_two_sinks(spark, d):
     writer = sinks.both(sinks.replace_table(a), sinks.replace_table(b))
     _finish(sinks.write_each_batch(counts, writer, scratch_path(spark, "progress"), "complete", None))
     tables = [
-        spark.read.schema(counts.schema).parquet(p).select(F.lit(n).alias("sink"), "country", "count")
+        sinks.read_newest(spark, p).select(F.lit(n).alias("sink"), "country", "count")
         for n, p in (("first", a), ("second", b))
     ]
     return tables[0].unionByName(tables[1])
@@ -137,12 +137,17 @@ def activity_points(spark, d):
 
 @query(_POINTS)
 def stream_activity_points(spark, d):
-    """Points merged per batch, stored by batch, and merged again when read."""
-    out = scratch_path(spark, "points")
-    stream = _points_input(_events_stream(spark, d))
+    """Points merged per batch, stored by batch, and merged again when read.
+
+    The events arrive in four batches whose records lie between one another.
+    """
+    out, files = scratch_path(spark, "points"), scratch_path(spark, "arriving")
+    events = table(spark, d, "events")
+    events.repartition(4, F.pmod("event_id", F.lit(4))).write.parquet(files)
+    stream = _points_input(sources.file_stream(spark, files, events.schema, per_batch=1))
     args = ("minute", ["value", "user_id"], "event_id")
     _finish(sinks.write_points(stream, out, scratch_path(spark, "progress"), *args))
-    return _flat_points(sinks.read_points(spark, out, *args))
+    return _flat_points(sinks.read_points(spark, out, *args[:2]))
 
 
 @query("""

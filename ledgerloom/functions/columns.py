@@ -121,10 +121,6 @@ def standardized(c: Column, mean: float, deviation: float) -> Column:
     return (c - F.lit(mean)) / F.lit(deviation)
 
 
-def row_total(cols) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in cols])
-
-
 def unit_interval(*parts: Column) -> Column:
     """Uniform number in [0, 1) that depends only on the given values."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)

@@ -14,9 +14,6 @@ from ledgerloom.operators.neighbours import nearest
 from ledgerloom.operators.sequence import with_row_id
 from ledgerloom.session import materialize
 
-# The skip-gram trainer keeps one vector per item on the driver; above this the
-# vectors come from the distributed factorisation.
-MAX_ITEMS = 5_000_000
 TOKENS_PER_PARTITION = 2_000_000
 
 
@@ -25,17 +22,18 @@ def fit_embeddings(
 ):
     """Skip-gram model of the walks; ids become text tokens.
 
-    Walks are trained in partitions of a bounded number of tokens.
+    Walks are trained whole, in partitions of a bounded number of tokens. The
+    trainer keeps one vector per item on the driver.
     """
-    tokens = walks.agg(F.sum(F.size("path"))).first()[0]
+    tokens, longest = walks.agg(F.sum(F.size("path")), F.max(F.size("path"))).first()
     word2vec = Word2Vec(
         vectorSize=size,
         windowSize=window,
         minCount=min_count,
         maxIter=iterations,
         seed=seed,
-        maxSentenceLength=1000,
-        numPartitions=max(1, ceil(tokens / TOKENS_PER_PARTITION)),
+        maxSentenceLength=max(1, longest or 0),
+        numPartitions=max(1, ceil((tokens or 0) / TOKENS_PER_PARTITION)),
         inputCol="words",
         outputCol="vector",
     )
@@ -92,10 +90,16 @@ def factor_embeddings(walks: DataFrame, size: int = 64, window: int = 10, iterat
     )
 
 
-def embed_walks(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 1, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(pid, embedding_vector): skip-gram, or beyond ``max_items`` the distributed factorisation."""
-    if walks.select("start").distinct().count() <= max_items:
+def embed_walks(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 1, method: str = "factors") -> DataFrame:
+    """(pid, embedding_vector): the distributed factorisation, at every size.
+
+    ``method="skipgram"`` asks for the skip-gram trainer, whose vectors must
+    fit the driver.
+    """
+    if method == "skipgram":
         return embedding_table(fit_embeddings(walks, size, window, seed=seed))
+    if method != "factors":
+        raise ValueError(f"unknown method {method!r}")
     return factor_embeddings(walks, size, window, seed=seed)
 
 

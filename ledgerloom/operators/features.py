@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.columns import clip, standardized, unit_interval
 from ledgerloom.operators.neighbours import nearest
 from ledgerloom.operators.profile import correlated_columns, medians, moments, quartiles
-from ledgerloom.operators.sequence import running_total
+from ledgerloom.operators.sequence import running_total, with_row_id
 from ledgerloom.session import materialize
 
 # Copies made from one vector are spread over tasks in batches of this many.
@@ -78,7 +78,7 @@ def smote(
     synthetic rows, the remainder being spread evenly, so the classes come out
     exactly equal. All draws are hashes of (vector, copy number, seed).
     """
-    sizes = sorted((n, v) for v, n in df.groupBy(label).count().collect())
+    sizes = sorted((n, v) for v, n in df.groupBy(label).count().limit(3).collect())
     if len(sizes) != 2:
         raise ValueError("oversampling needs exactly two classes")
     (minor, value), (major, _) = sizes
@@ -86,10 +86,8 @@ def smote(
         df.where(F.col(label) == F.lit(value))
         .groupBy(F.col(features).alias("x"))
         .agg(F.count("*").alias("n"))
-        .withColumn("vid", F.xxhash64("x"))
-        .select("vid", "x", "n")
     )
-    vectors = materialize(rows, "minority")
+    vectors = materialize(with_row_id(rows, ["x"], "vid"), "minority")
     near = nearest(
         vectors.select(F.col("vid").alias("qid"), F.col("x").alias("vec")),
         vectors.select(F.col("vid").alias("pid"), F.col("x").alias("vec")),

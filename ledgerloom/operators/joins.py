@@ -1,41 +1,29 @@
 """Joins with a measured side, flags, enrichment.
 
-The side with one row per key is written before the join. Its size is then
-known, so a small one is broadcast and the rows do not move. A large one is
-shuffled from its own scan, which lets adaptive execution split a hot key; an
-aggregate that feeds the join directly shares its partitioning with it, and
-such a join is never split.
+The side with one row per key is dealt anew before the join. Adaptive execution
+then knows its size: a small one is broadcast and the rows do not move, and for
+a large one it can split a hot key of the rows. An aggregate that feeds the join
+directly would share its partitioning with it, and such a join is never split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from ledgerloom.session import materialize
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Bounds under which a side may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    width = {T.StringType: 40, T.MapType: 200, T.ArrayType: 200}
-    return sum(width.get(type(f.dataType), 16) for f in schema)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is within both bounds; a count needs no columns and combines per task."""
-    return df.count() <= min(rows, size // _row_bytes(df.schema))
-
-
-def salted(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
-    """Every row once per salt value."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Whether ``df`` is within both bounds, by its rows and their bytes as text; both combine per task."""
+    count, width = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return count <= rows and (width or 0) <= size
 
 
-def random_salt(salts: int) -> Column:
-    """Salt that also spreads exact copies of a row."""
-    return F.floor(F.rand(7) * salts).cast("int")
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in a shuffle of their own, whose sizes adaptive execution reads before it joins."""
+    return df.hint("rebalance")
 
 
 def sessions_with(df: DataFrame, session: str, value: str, where: Column) -> DataFrame:
@@ -51,17 +39,17 @@ def sessions_with(df: DataFrame, session: str, value: str, where: Column) -> Dat
         .where(F.col("_lo") != F.col("_hi"))
         .select(session)
     )
-    return df.join(materialize(qualifying, "sessions"), session, "left_semi")
+    return df.join(dealt(qualifying), session, "left_semi")
 
 
 def attach_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Left join of rows to one feature row per key."""
-    return rows.join(materialize(features, "features"), key, "left")
+    return rows.join(dealt(features), key, "left")
 
 
 def flag_members(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
     """True where the row's key occurs in ``keys``; every row of a repeated key is flagged."""
-    members = materialize(keys.select(key).where(F.col(key).isNotNull()).distinct(), "members")
+    members = dealt(keys.select(key).where(F.col(key).isNotNull()).distinct())
     return (
         df.join(members.withColumn("_hit", F.lit(True)), key, "left")
         .withColumn(name, F.coalesce("_hit", F.lit(False)))
@@ -69,20 +57,18 @@ def flag_members(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFra
     )
 
 
-def lookup(rows: DataFrame, dim: DataFrame, left: str, right: str, salts: int = 16) -> DataFrame:
-    """Inner equi-join of rows to a dimension with unique keys, safe for a hot key.
+def lookup(rows: DataFrame, dim: DataFrame, left: str, right: str) -> DataFrame:
+    """Inner equi-join of rows to a dimension with unique keys.
 
-    A dimension within the measured bound is broadcast, so rows do not move.
-    A larger one is repeated once per salt and joined on (key, salt): a key
-    that holds a third of all rows is spread over ``salts`` tasks.
+    A batch broadcasts a dimension within the measured bounds; beyond them both
+    sides are shuffled and adaptive execution splits a hot key. A stream gets
+    no hint, since the dimension may grow while it runs: its batches choose by
+    the size they find.
     """
-    if is_small(dim):
-        return rows.join(F.broadcast(dim), F.col(left) == F.col(right))
-    spread = rows.withColumn("_salt", random_salt(salts))
-    copies = salted(dim, salts, "_dim_salt")
-    return spread.join(
-        copies, (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_dim_salt"))
-    ).drop("_salt", "_dim_salt")
+    on = F.col(left) == F.col(right)
+    if not rows.isStreaming and is_small(dim):
+        return rows.join(F.broadcast(dim), on)
+    return rows.join(dim, on)
 
 
 def net_by_week(ar: DataFrame, ap: DataFrame, keys=("week",), how: str = "inner") -> DataFrame:

@@ -3,14 +3,18 @@
 Three ways give the same answer, chosen by measured size:
 
 * few points: they are sent to every task, queries stay where they are;
-* few queries: they are sent to every task, each batch of points keeps its
-  best ``k`` per query, and those are merged;
+* few queries: they are sent to every task, each task keeps the best ``k`` per
+  query of all its points, and those are merged;
 * many of both: points are put into cells around sampled pivots. A query
   first searches its own cell, which bounds its k-th distance, then only the
   cells that the triangle inequality leaves possible. Cells and query lists
   are cut into blocks, so a task never holds more than two blocks whatever
   the size of a cell.
 
+Blocks are compared by matrix products of centred rows. Pairs that these leave
+possible, with their rounding, are compared again from differences, so large
+values and small distances rank right.
+
 Inputs are ``queries(qid bigint, vec array<double>)`` and
 ``points(pid bigint, vec array<double>)`` with unique ids; a query never
 finds the point of its own id.
@@ -28,8 +32,11 @@ from ledgerloom.operators.joins import is_small
 from ledgerloom.session import materialize
 
 SMALL_ROWS = 20_000
-MAX_PIVOTS = 1024
+SMALL_BYTES = 64 * 1024 * 1024
+#: Share of the data's extent by which computed distances may be off.
+SLACK = 1e-6
 _DIGITS = 6
+_PAIRS = 1 << 20
 _HITS = "qid bigint, pid bigint, score double"
 
 
@@ -37,37 +44,64 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of centred rows, and by how much each row of ``a`` may be off."""
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    square = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(square, 0.0), 64 * a.shape[1] * np.finfo(float).eps * (aa + bb.max(initial=0.0))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    """Score of row i of ``a`` with row i of ``b``; smaller is better for both kinds."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), _PAIRS // max(a.shape[1], 1) + 1):
+        part = slice(at, at + _PAIRS // max(a.shape[1], 1) + 1)
+        out[part] = -(a[part] * b[part]).sum(1) if cosine else np.sqrt(((a[part] - b[part]) ** 2).sum(1))
+    return out
+
+
+def _keep(q_ids: np.ndarray, p_ids: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """First ``k`` hits of each query by score, then id."""
+    order = np.lexsort((p_ids, score, q_ids))
+    q_ids, p_ids, score = q_ids[order], p_ids[order], score[order]
+    first = np.flatnonzero(np.diff(q_ids, prepend=np.nan)) if len(q_ids) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(q_ids)))
+    top = np.arange(len(q_ids)) - np.repeat(first, size) < k
+    return pd.DataFrame({"qid": q_ids[top], "pid": p_ids[top], "score": score[top]})
 
 
 def _best(q_ids, q, p_ids, p, k: int, cosine: bool) -> pd.DataFrame:
-    """Best ``k`` points per query of two blocks; equal scores go to the smaller id."""
+    """Best ``k`` points per query of two blocks; scores are distances, or cosines with a minus."""
+    if not len(q_ids) or not len(p_ids):
+        return pd.DataFrame({"qid": np.zeros(0, np.int64), "pid": np.zeros(0, np.int64), "score": np.zeros(0)})
+    if cosine:
+        rough, off = -(q @ p.T), np.full(len(q), 64 * q.shape[1] * np.finfo(float).eps)
+    else:
+        rough, off = _squares(q, p)
     order = np.argsort(p_ids, kind="stable")
-    p_ids, p = p_ids[order], p[order]
-    score = np.round(q @ p.T if cosine else _distances(q, p), _DIGITS)
-    # One whole number per pair that sorts by score, then id.
-    key = np.rint(score * 10**_DIGITS).astype(np.int64) * (-1 if cosine else 1)
-    key = key * len(p_ids) + np.arange(len(p_ids))
-    spot = np.minimum(np.searchsorted(p_ids, q_ids), len(p_ids) - 1)
-    own = p_ids[spot] == q_ids
-    key[np.flatnonzero(own), spot[own]] = np.iinfo(np.int64).max
-    k = min(k, len(p_ids))
-    top = np.argpartition(key, k - 1, axis=1)[:, :k]
-    hits = pd.DataFrame(
-        {
-            "qid": np.repeat(q_ids, k),
-            "pid": p_ids[top].ravel(),
-            "score": np.take_along_axis(score, top, 1).ravel(),
-        }
-    )
-    return hits[hits.qid != hits.pid]
+    spot = order[np.minimum(np.searchsorted(p_ids[order], q_ids), len(p_ids) - 1)]
+    own = np.flatnonzero(p_ids[spot] == q_ids)
+    rough[own, spot[own]] = np.inf
+    few = min(k, len(p_ids)) - 1
+    bar = np.partition(rough, few, axis=1)[:, few] + 2 * off
+    parts = []
+    step = max(1, _PAIRS // len(p_ids))
+    for at in range(0, len(q_ids), step):
+        i, j = np.nonzero((rough[at : at + step] <= bar[at : at + step, None]) & np.isfinite(rough[at : at + step]))
+        i += at
+        parts.append(_keep(q_ids[i], p_ids[j], _exact(q[i], p[j], cosine), k))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("qid").orderBy("score", "pid")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _ranked(hits: DataFrame, k: int, cosine: bool) -> DataFrame:
-    best = Window.partitionBy("qid").orderBy(F.desc("score") if cosine else F.asc("score"), "pid")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def _output(hits: DataFrame, cosine: bool) -> DataFrame:
+    return hits.withColumn("score", F.round(-F.col("score") if cosine else F.col("score"), _DIGITS))
 
 
 def _collected(df: DataFrame, id_col: str):
@@ -75,18 +109,29 @@ def _collected(df: DataFrame, id_col: str):
     return df.sparkSession.sparkContext.broadcast((rows[id_col].to_numpy(np.int64), _matrix(rows.vec)))
 
 
-def _against_few(few, k: int, cosine: bool, few_are_points: bool):
-    """Task function that holds the small side and reads batches of the large one."""
+def _near_few_points(few, k: int, cosine: bool):
+    def run(batches):
+        ids, matrix = few.value
+        for batch in batches:
+            if len(batch) and len(ids):
+                yield _best(batch.iloc[:, 0].to_numpy(np.int64), _matrix(batch.vec), ids, matrix, k, cosine)
+
+    return run
+
+
+def _near_few_queries(few, k: int, cosine: bool):
+    """One row per query and hit from each task, however many batches it reads."""
 
     def run(batches):
         ids, matrix = few.value
+        held = None
         for batch in batches:
             if len(batch) and len(ids):
-                mine, rows = batch.iloc[:, 0].to_numpy(np.int64), _matrix(batch.vec)
-                if few_are_points:
-                    yield _best(mine, rows, ids, matrix, k, cosine)
-                else:
-                    yield _best(ids, matrix, mine, rows, k, cosine)
+                hits = _best(ids, matrix, batch.iloc[:, 0].to_numpy(np.int64), _matrix(batch.vec), k, cosine)
+                both = hits if held is None else pd.concat([held, hits])
+                held = _keep(both.qid.to_numpy(), both.pid.to_numpy(), both.score.to_numpy(), k)
+        if held is not None:
+            yield held
 
     return run
 
@@ -109,27 +154,32 @@ def nearest(
 ) -> DataFrame:
     """(qid, pid, score, rank): the ``k`` nearest points of each query, rank from 1.
 
-    Scores are distances, or cosines with ``cosine``, rounded to 6 decimals.
+    Ranks follow the full scores, equal ones the id. The scores returned are
+    distances, or cosines with ``cosine``, rounded to 6 decimals.
     """
     as_double = F.col("vec").cast("array<double>").alias("vec")
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), as_double)
     points = points.select(F.col("pid").cast("bigint").alias("pid"), as_double)
     if cosine:
         queries, points = _unit(queries), _unit(points)
-    if is_small(points, small_rows):
-        run = _against_few(_collected(points, "pid"), k, cosine, True)
-        return _ranked(queries.mapInPandas(run, _HITS), k, cosine)
-    if is_small(queries, min(small_rows, 2000)):
-        run = _against_few(_collected(queries, "qid"), k, cosine, False)
-        return _ranked(points.select("pid", "vec").mapInPandas(run, _HITS), k, cosine)
-    return _by_cells(queries, points, k, cosine, block_rows)
+    if is_small(points, small_rows, SMALL_BYTES):
+        found = queries.mapInPandas(_near_few_points(_collected(points, "pid"), k, cosine), _HITS)
+    elif is_small(queries, min(small_rows, 2000), SMALL_BYTES):
+        found = points.select("pid", "vec").mapInPandas(_near_few_queries(_collected(queries, "qid"), k, cosine), _HITS)
+    else:
+        found = _by_cells(queries, points, k, cosine, block_rows)
+    return _output(_ranked(found, k), cosine)
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squares(a, b)[0])
 
 
 def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block_rows: int) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
-    wanted = max(1, min(MAX_PIVOTS, isqrt(n)))
-    sample = points.orderBy(F.xxhash64("pid"), "pid").limit(wanted).select("vec").toPandas()
+    # cells of about sqrt(n) points; the list of pivots is the one thing here that every task holds
+    sample = points.orderBy(F.xxhash64("pid"), "pid").limit(max(1, isqrt(n))).select("vec").toPandas()
     pivots = np.unique(_matrix(sample.vec), axis=0)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -137,11 +187,11 @@ def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block
         def run(batches):
             for batch in batches:
                 if len(batch):
-                    d = _distances(_matrix(batch.vec), shared.value)
+                    rows = _matrix(batch.vec)
+                    d = _far(rows, shared.value)
                     cell = d.argmin(1)
-                    yield pd.DataFrame(
-                        {id_col: batch[id_col], "vec": batch.vec, "cell": cell, "away": d[np.arange(len(d)), cell]}
-                    )
+                    away = _exact(rows, shared.value[cell], False)
+                    yield pd.DataFrame({id_col: batch[id_col], "vec": batch.vec, "cell": cell, "away": away})
         return run
 
     placed = materialize(
@@ -156,14 +206,10 @@ def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block
         queries.mapInPandas(assign("qid"), "qid bigint, vec array<double>, cell int, away double"), "queries"
     )
     own = at_home.select("qid", "vec", "cell")
-    first = materialize(_ranked(_scan(own, placed, subs, k, cosine, block_rows), k, cosine), "own-cell")
-    kth = first.groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    slack = 10.0 ** (1 - _DIGITS)
-    if cosine:
-        # The smallest cosine found, turned into a distance between unit vectors.
-        bound = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("lo") - slack)))
-    else:
-        bound = F.col("hi") + slack
+    first = materialize(_ranked(_scan(own, placed, subs, k, cosine, block_rows), k).drop("rank"), "own-cell")
+    kth = first.groupBy("qid").agg(F.count("*").alias("found"), F.max("score").alias("worst"))
+    # the smallest cosine found, turned into a distance between unit vectors
+    bound = F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("worst"))) if cosine else F.col("worst")
     limited = at_home.join(kth, "qid", "left").select(
         "qid", "vec", "cell", F.when(F.col("found") >= k, bound).otherwise(F.lit(float("inf"))).alias("bound")
     )
@@ -171,8 +217,10 @@ def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block
     def route(batches):
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch.vec), shared.value)
-                open_ = d - radius[None, :] <= batch.bound.to_numpy()[:, None] + slack
+                rows = _matrix(batch.vec)
+                d = _far(rows, shared.value)
+                extent = np.sqrt((rows * rows).sum(1)) + np.sqrt((shared.value**2).sum(1)).max() + 1e-300
+                open_ = d - radius[None, :] <= (batch.bound.to_numpy() + SLACK * extent)[:, None]
                 open_[:, ~np.isfinite(radius)] = False
                 open_[np.arange(len(batch)), batch.cell] = False
                 yield pd.DataFrame(
@@ -181,37 +229,41 @@ def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block
 
     routes = materialize(limited.mapInPandas(route, "qid bigint, vec array<double>, cells array<int>"), "routes")
     away = routes.select("qid", "vec", F.explode("cells").alias("cell"))
-    second = _scan(away, placed, subs, k, cosine, block_rows)
-    return _ranked(first.select("qid", "pid", "score").union(second), k, cosine)
+    return first.union(_scan(away, placed, subs, k, cosine, block_rows))
 
 
 def _scan(routes: DataFrame, placed: DataFrame, subs: dict[int, int], k: int, cosine: bool, block_rows: int) -> DataFrame:
-    """Best ``k`` of each routed (query, cell), block against block."""
+    """Best ``k`` of each routed (query, cell), block against block.
+
+    Points and queries are packed, one row per block, before they are repeated
+    for the blocks of the other side, so rows that move grow with blocks.
+    """
     spark = routes.sparkSession
     load = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}
     plan = [(c, subs[c], ceil(m / block_rows)) for c, m in load.items() if c in subs]
-    sizes = F.broadcast(spark.createDataFrame(plan, "cell int, subs int, chunks int"))
+    sizes = spark.createDataFrame(plan, "cell int, subs int, chunks int")
 
-    def upto(name):
-        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    def packed(rows: DataFrame, id_col: str, part: str, count: str) -> DataFrame:
+        dealt = rows.join(F.broadcast(sizes), "cell").withColumn(part, F.pmod(F.xxhash64(id_col), F.col(count)).cast("int"))
 
-    asked = (
-        routes.join(sizes, "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-        .withColumn("sub", upto("subs"))
-        .select("cell", "sub", "chunk", "qid", "vec")
-    )
-    held = (
-        placed.join(sizes, "cell")
-        .withColumn("sub", F.pmod(F.xxhash64("pid"), F.col("subs")).cast("int"))
-        .withColumn("chunk", upto("chunks"))
-        .select("cell", "sub", "chunk", "pid", "vec")
-    )
+        def pack(key, rows):
+            return pd.DataFrame({
+                "cell": [key[0]], part: [key[1]], "ids": [rows[id_col].to_numpy(np.int64).tobytes()],
+                "rows": [_matrix(rows.vec).tobytes()],
+            })
 
-    def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"qid": [], "pid": [], "score": []})
-        return _best(q.qid.to_numpy(), _matrix(q.vec), p.pid.to_numpy(), _matrix(p.vec), k, cosine)
+        made = dealt.groupBy("cell", part).applyInPandas(pack, f"cell int, {part} int, ids binary, rows binary")
+        return materialize(made, f"blocks-{id_col}")
+
+    asked = packed(routes, "qid", "chunk", "chunks").withColumnsRenamed({"ids": "qids", "rows": "asked"})
+    held = packed(placed, "pid", "sub", "subs")
+    meet = asked.join(held, "cell")
+
+    def search(batches):
+        for batch in batches:
+            for q_ids, q, p_ids, p in zip(batch.qids, batch.asked, batch.ids, batch.rows):
+                q_ids, p_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(p_ids, np.int64)
+                q, p = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((q, q_ids), (p, p_ids)))
+                yield _best(q_ids, q, p_ids, p, k, cosine)
 
-    keys = ["cell", "sub", "chunk"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, _HITS)
+    return meet.select("qids", "asked", "ids", "rows").mapInPandas(search, _HITS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 from math import floor, inf, nextafter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 # Columns with more values than this are narrowed before values are gathered.
@@ -155,36 +157,44 @@ def moments(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, flo
     return {c: (row[f"m{i}"], row[f"d{i}"]) for i, c in enumerate(cols)}
 
 
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair as (col_a, col_b, corr).
 
-    Rows missing one of a pair do not count for that pair; a constant column
-    gives NULL. ``col_a`` comes after ``col_b`` in ``cols``. A first pass
-    takes counts, means and deviations; pairs of columns without NULLs then
-    need one plain sum each, only the other pairs their own deviations.
+    Rows missing one of a pair do not count for that pair; a column that is
+    constant there gives NULL. ``col_a`` comes after ``col_b`` in ``cols``. A
+    first pass takes means and deviations; every task then multiplies its
+    standardised rows as a matrix and sends one row of sums per pair.
     """
-    names = [f"CAST(`{c}` AS DOUBLE)" for c in cols]
-    stats = df.agg(
-        F.expr("count(*)"),
-        *[F.expr(f"struct(count({x}), avg({x}), stddev_pop({x}))") for x in names],
-    ).first()
-    rows, per_column = stats[0], stats[1:]
-    sums, results = [], []
-    for n, (i, j) in enumerate(combinations(range(len(cols)), 2)):
-        (x, (nx, mx, dx)), (y, (ny, my, dy)) = (names[i], per_column[i]), (names[j], per_column[j])
-        if rows and nx == ny == rows:
-            sums.append(f"sum(({x} - CAST('{mx!r}' AS DOUBLE)) * ({y} - CAST('{my!r}' AS DOUBLE))) AS c{n}")
-            corr = f"try_divide(c{n}, CAST('{dx * dy * rows!r}' AS DOUBLE))"
-        else:
-            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-            sums += [
-                f"covar_pop({x}, {y}) AS c{n}",
-                f"stddev_pop(CASE WHEN {both} THEN {x} END) AS x{n}",
-                f"stddev_pop(CASE WHEN {both} THEN {y} END) AS y{n}",
-            ]
-            corr = f"try_divide(c{n}, x{n} * y{n})"
-        results.append(f"named_struct('col_a', '{cols[j]}', 'col_b', '{cols[i]}', 'corr', {corr})")
-    return df.agg(*[F.expr(e) for e in sums]).select(F.expr(f"inline(array({', '.join(results)}))"))
+    scale = moments(df, cols)
+    middle = np.array([scale[c][0] or 0.0 for c in cols])
+    width = np.array([scale[c][1] or 0.0 for c in cols])
+    later, earlier = np.tril_indices(len(cols), -1)
+
+    def sums(batches):
+        total = np.zeros((6, len(cols), len(cols)))
+        for batch in batches:
+            x = (batch.to_numpy(np.float64) - middle) / np.where(width > 0, width, 1.0)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        picked = total[:, later, earlier]
+        yield pd.DataFrame({"a": later, "b": earlier, **dict(zip(_SUMS, picked))})
+
+    numbers = df.select(*[_q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    parts = numbers.mapInPandas(sums, "a int, b int, " + ", ".join(f"{s} double" for s in _SUMS))
+    added = parts.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n = F.col("n")
+    spread_x, spread_y = F.col("xx") / n - (F.col("x") / n) ** 2, F.col("yy") / n - (F.col("y") / n) ** 2
+    both = F.col("xy") / n - F.col("x") / n * F.col("y") / n
+    names = F.array(*[F.lit(c) for c in cols])
+    # standardised numbers: what is left of a constant column is rounding
+    corr = F.when((n > 0) & (spread_x > 1e-12) & (spread_y > 1e-12), both / F.sqrt(spread_x * spread_y))
+    return added.withColumn("n", F.nullif(n, F.lit(0.0))).select(
+        F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), corr.alias("corr")
+    )
 
 
 def correlated_columns(df: DataFrame, cols: list[str], threshold: float = 0.8, keep=()) -> list[str]:

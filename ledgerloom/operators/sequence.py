@@ -73,9 +73,11 @@ def next_in_session(
     """
     df = df.where(F.col(session).isNotNull())
     sizes = df.groupBy(session).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    if df.count() <= hot_rows or sizes.isEmpty():
+    if df.count() <= hot_rows:
         return lead_in_group(df, session, order, value, default, out)
     hot = materialize(sizes, "hot-sessions")
+    if hot.isEmpty():
+        return lead_in_group(df, session, order, value, default, out)
     cold, large = split_hot(df, session, hot)
     return lead_in_group(cold, session, order, value, default, out).unionByName(
         lead_in_hot_groups(large, session, order, value, default, out, pieces_for(hot, "_n", hot_rows))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,7 +26,7 @@ from ledgerloom.operators.aggregates import entity_features, pivot_sums, row_per
 from ledgerloom.operators.features import hash_split
 from ledgerloom.operators.joins import attach_features, net_by_week
 from ledgerloom.operators.profile import correlated_columns
-from ledgerloom.session import materialize, spread
+from ledgerloom.session import materialize, spread, temporary_tables
 
 # Input column names, and the levels the models are trained with.
 RECEIVABLE_NAMES = {
@@ -129,12 +128,9 @@ def vendor_features(invoices: DataFrame) -> DataFrame:
 
 
 def receivable_rows(clean: DataFrame, is_open: int, regions=REGIONS) -> DataFrame:
-    """Open or closed invoices with customer features, region columns and posting gap.
-
-    The parsed rows feed both the aggregate and the join, so they are written once.
-    """
+    """Open or closed invoices with customer features, region columns and posting gap."""
     rows = clean.where(F.col("is_open") == is_open)
-    rows = materialize(rows if is_open else with_delay(rows), "receivables")
+    rows = rows if is_open else with_delay(rows)
     joined = attach_features(rows, customer_features(rows), "customer_number")
     return joined.select(
         "*", *one_hot("region", regions), F.datediff("posting_date", "baseline_date").alias("diff_pb")
@@ -147,7 +143,6 @@ def payable_rows(clean: DataFrame, unpaid: bool) -> DataFrame:
         rows = clean.where(F.col("status") == "Unpaid")
     else:
         rows = with_delay(clean.where(ne_or_null(F.col("status"), "Unpaid")))
-    rows = materialize(rows, "payables")
     joined = attach_features(rows, vendor_features(rows), "supplier_id")
     return joined.select(
         "*",
@@ -161,6 +156,7 @@ def receivable_columns(regions=REGIONS) -> list[str]:
     return ["payterm", "amount", "credit_limit", "credit_limit_mean", *regions, "diff_pb"]
 
 
+# The order decides which of two correlated columns is dropped.
 PAYABLE_COLUMNS = [
     "diff_pb",
     *[f"Spend Category_{v}" for v in SPEND_CATEGORIES],
@@ -182,8 +178,21 @@ class DelayFit:
     scores: dict[str, float] = field(default_factory=dict)  # r2 and mse of train and test
 
 
+def regression_scores(scored: DataFrame) -> tuple[float, float]:
+    """(R2, mean squared error) of prediction and label in one pass."""
+    error = F.col("label") - F.col("prediction")
+    n, square, spread_ = scored.agg(F.count("*"), F.sum(error * error), F.var_pop("label")).first()
+    mse = square / n
+    return (1 - mse / spread_ if spread_ else float(mse == 0)), mse
+
+
 def fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, seed: int) -> DelayFit:
     """Gradient-boosted trees on the delay; NULL counts as 0 in features and target."""
+    with temporary_tables():
+        return _fit_delay(rows, features, key, iterations, seed)
+
+
+def _fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, seed: int) -> DelayFit:
     zeros = ", ".join(f"CAST(coalesce(`{c}`, 0) AS DOUBLE) AS x{i}" for i, c in enumerate(features))
     stages = [
         SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__"),
@@ -198,9 +207,7 @@ def fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, s
         PipelineModel(stages=[*stages, trees]), features, [float(x) for x in trees.featureImportances.toArray()]
     )
     for name, part in (("train", train), ("test", test)):
-        scored = trees.transform(part)
-        for metric in ("r2", "mse"):
-            fit.scores[f"{name}_{metric}"] = RegressionEvaluator(metricName=metric).evaluate(scored)
+        fit.scores[f"{name}_r2"], fit.scores[f"{name}_mse"] = regression_scores(trees.transform(part))
     return fit
 
 
@@ -211,10 +218,11 @@ def fit_receivables(raw: DataFrame, iterations: int = 100, seed: int = 42, regio
 
 def fit_payables(raw: DataFrame, iterations: int = 100, seed: int = 42, threshold: float = 0.8) -> DelayFit:
     """Columns that repeat an earlier one are dropped here, and the choice stays with the model."""
-    rows = materialize(payable_rows(clean_payables(raw), unpaid=False), "payable-features")
-    dropped = correlated_columns(rows, PAYABLE_COLUMNS, threshold, keep=("delay",))
-    features = [c for c in PAYABLE_COLUMNS if c not in dropped and c not in ("inv_count", "delay")]
-    return fit_delay(rows, features, "invoice_number", iterations, seed)
+    with temporary_tables():
+        rows = materialize(payable_rows(clean_payables(raw), unpaid=False), "payable-features")
+        dropped = correlated_columns(rows, PAYABLE_COLUMNS, threshold, keep=("delay",))
+        features = [c for c in PAYABLE_COLUMNS if c not in dropped and c not in ("inv_count", "delay")]
+        return fit_delay(rows, features, "invoice_number", iterations, seed)
 
 
 def with_predicted_week(rows: DataFrame, model: PipelineModel, sign: int = 1) -> DataFrame:
@@ -237,10 +245,15 @@ def working_capital(
     sign: int = 1,
     with_year: bool = False,
     regions=REGIONS,
+    settled: bool = False,
 ) -> DataFrame:
-    """(week, amount_ar, amount_ap, working_capital) of open and unpaid invoices by predicted week."""
-    ar = with_predicted_week(receivable_rows(clean_receivables(receivables), 1, regions), receivable_model, sign)
-    ap = with_predicted_week(payable_rows(clean_payables(payables), True), payable_model, sign)
+    """(week, amount_ar, amount_ap, working_capital) of open and unpaid invoices by predicted week.
+
+    ``settled`` gives the same of closed and paid invoices, the rows that the
+    models were trained and tested with.
+    """
+    ar = with_predicted_week(receivable_rows(clean_receivables(receivables), int(not settled), regions), receivable_model, sign)
+    ap = with_predicted_week(payable_rows(clean_payables(payables), not settled), payable_model, sign)
     keys = ("iso_year", "week") if with_year else ("week",)
     return net_by_week(
         sum_by_week(ar, "predicted_date", "amount", "amount_ar", with_year),

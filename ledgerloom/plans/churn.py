@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,14 +18,12 @@ from ledgerloom.operators.aggregates import class_counts
 from ledgerloom.operators.features import fences, hash_split, smote
 from ledgerloom.operators.joins import flag_members
 from ledgerloom.operators.profile import medians, moments
-from ledgerloom.session import materialize, spread
+from ledgerloom.session import materialize, spread, temporary_tables
 
 # Column names of the customer table.
 KEY, LABEL, TIER = "CustomerID", "Churn", "CityTier"
 CASHBACK, ORDERS = "CashbackAmount", "OrderCount"
 
-MAX_LEVELS = 10_000
-
 
 @dataclass
 class ChurnFit:
@@ -36,20 +34,13 @@ class ChurnFit:
     after: tuple[int, int]  # the same after oversampling
 
 
-def category_values(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of the categorical columns, NULL left out.
-
-    Raises when there are too many to be categories.
-    """
+def first_levels(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """Smallest value of every categorical column that has two values or more."""
     if not cols:
         return {}
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols
-    ])
-    rows = df.select(F.inline(pairs)).where("v IS NOT NULL").distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError("a text column has too many values for a category; drop it or list it by hand")
-    return {c: sorted(r.v for r in rows if r.c == c) for c in cols}
+    text = {c: F.col(f"`{c}`").cast("string") for c in cols}
+    row = df.agg(*[F.struct(F.min(t), F.max(t)) for t in text.values()]).first()
+    return {c: low for c, (low, high) in zip(cols, row) if low != high}
 
 
 def _quoted(text: str) -> str:
@@ -60,22 +51,24 @@ def _number(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
-def fit_preparation(df: DataFrame) -> list:
+def fit_preparation(df: DataFrame, exclude: tuple[str, ...] = ()) -> list:
     """Stages that turn a customer table into ``features``.
 
     Numeric columns: NULL to median, capped at the fences, standardised.
-    Text columns and the city tier: one 0/1 column per level but the first.
+    Text columns and the city tier: one 0/1 place per level but the first, in
+    sparse vectors; NULL and levels not seen here are 0 in all. The levels are
+    kept in the model, so name id-like columns in ``exclude``.
     Cashback per order is the ratio of the capped columns and is not scaled;
     0 where there are no orders.
     """
-    cat, num = split_by_type(df, categorical=(TIER,), exclude=(KEY, LABEL))
+    cat, num = split_by_type(df, categorical=(TIER,), exclude=(KEY, LABEL, *exclude))
     fill = medians(df, num)
     num = [c for c in num if fill[c] is not None]
     full = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(fill[c]))).alias(c) for c in num])
     bound = fences(full, num)
     capped = full.select(*[clip(F.col(f"`{c}`"), *bound[c]).alias(c) for c in num])
     scale = moments(capped, num)
-    levels = category_values(df, cat)
+    lowest = first_levels(df, cat)
 
     names = {c: f"n{i}_" + re.sub(r"\W", "_", c) for i, c in enumerate(num)}
     first = [
@@ -92,21 +85,38 @@ def fit_preparation(df: DataFrame) -> list:
     if CASHBACK in names and ORDERS in names:
         second.append(f"coalesce(try_divide({names[CASHBACK]}, {names[ORDERS]}), 0.0D) AS cashback_per_order")
         inputs.append("cashback_per_order")
+    coded = []
     for i, c in enumerate(cat):
-        for j, v in enumerate(levels[c][1:], 1):
-            second.append(f"CAST(CAST(`{c}` AS STRING) <=> {_quoted(v)} AS INT) AS c{i}_{j}")
-            inputs.append(f"c{i}_{j}")
-    return [
-        SQLTransformer(statement=f"SELECT *, {', '.join(first)} FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT *, {', '.join(second)} FROM __THIS__"),
-        VectorAssembler(inputCols=inputs, outputCol="features"),
+        if c in lowest:
+            second.append(f"nullif(CAST(`{c}` AS STRING), {_quoted(lowest[c])}) AS l{i}")
+            coded.append(i)
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {', '.join(first)} FROM __THIS__" if first else "SELECT * FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(second)} FROM __THIS__" if second else "SELECT * FROM __THIS__"),
     ]
+    if coded:
+        indexer = StringIndexer(
+            inputCols=[f"l{i}" for i in coded], outputCols=[f"i{i}" for i in coded], handleInvalid="keep", stringOrderType="alphabetAsc"
+        )
+        # the last place of an index is that of NULL and unseen levels, which dropLast leaves out
+        encoder = OneHotEncoder(inputCols=[f"i{i}" for i in coded], outputCols=[f"c{i}" for i in coded], dropLast=True)
+        ready = PipelineModel(stages=stages).transform(df)
+        stages.append(indexer.fit(ready))
+        stages.append(encoder.fit(stages[-1].transform(ready)))
+        inputs += [f"c{i}" for i in coded]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
+
+
+def fit_churn(
+    df: DataFrame, trees: int = 100, depth: int = 10, train_share: float = 0.75, seed: int = 42, exclude: tuple[str, ...] = (),
+) -> ChurnFit:
+    """Train on a hash split; only the training part is oversampled."""
+    with temporary_tables():
+        return _fit_churn(materialize(df, "churn"), trees, depth, train_share, seed, exclude)
 
 
-def fit_churn(df: DataFrame, trees: int = 100, depth: int = 10, train_share: float = 0.75, seed: int = 42) -> ChurnFit:
-    """Train on a hash split; only the training part is oversampled."""
-    df = materialize(df, "churn")
-    stages = fit_preparation(df)
+def _fit_churn(df: DataFrame, trees: int, depth: int, train_share: float, seed: int, exclude: tuple[str, ...]) -> ChurnFit:
+    stages = fit_preparation(df, exclude)
     ready = PipelineModel(stages=stages).transform(df).select(
         F.col(KEY), F.col(LABEL).cast("double").alias("label"), "features"
     )
@@ -114,7 +124,7 @@ def fit_churn(df: DataFrame, trees: int = 100, depth: int = 10, train_share: flo
     train, test = hash_split(ready, KEY, train_share, seed)
     rows = train.select(vector_to_array("features").alias("x"), "label")
     made = smote(rows, "x", "label")
-    full = rows.unionByName(made).select(array_to_vector("x").alias("features"), "label")
+    full = train.select("features", "label").unionByName(made.select(array_to_vector("x").alias("features"), "label"))
     full = materialize(full, "churn-train")
     # More memory per pass lets a level of all trees be grown from fewer scans.
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=1, maxMemoryInMB=1024).fit(spread(full))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.functions.columns import canonical_edge
+from ledgerloom.functions.columns import canonical_edge, parse_event_time
 from ledgerloom.operators.sequence import (
     HOT_ROWS,
     lead_in_group,
@@ -27,19 +27,28 @@ def edges_of(pairs: DataFrame, a: str = "product_id", b: str = "next_product_id"
     )
 
 
-def coview_graph(
-    events: DataFrame, order: list[str] = ["event_time", "event_id"], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def event_order(events: DataFrame) -> list[str]:
+    """Event time, then the event id; without ids all other columns, so that only equal events tie."""
+    if "event_id" in events.columns:
+        return ["event_time", "event_id"]
+    return ["event_time", *(c for c in events.columns if c not in ("event_time", "user_session"))]
+
+
+def coview_graph(events: DataFrame, order: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(pid_1, pid_2, occurrence_ct) from events of sessions that view two or more products.
 
+    ``events`` has the columns of ``schemas.PRODUCT_EVENTS``; a text time loses
+    its zone suffix. An ``event_id`` is optional and settles equal times.
+
     All event types of such a session stay in its sequence; only the test for
     two products looks at views. One shuffle on the session serves both the
     test and the lead. Sessions above ``hot_rows`` are cut into ranges.
     """
+    if "event_time" in events.columns and events.schema["event_time"].dataType.typeName() == "string":
+        events = events.withColumn("event_time", parse_event_time(F.col("event_time")))
+    order = order or event_order(events)
     rows = events.where(F.col("user_session").isNotNull()).select(
-        "user_session",
-        "product_id",
-        *order,
+        *dict.fromkeys(["user_session", "product_id", *order]),
         F.when(F.col("event_type") == "view", F.col("product_id")).alias("_viewed"),
     )
     lo, hi = F.min("_viewed"), F.max("_viewed")
@@ -56,9 +65,11 @@ def coview_graph(
             .select("product_id", "next_product_id")
         )
 
-    if rows.count() <= hot_rows or hot.isEmpty():
+    if rows.count() <= hot_rows:
         return edges_of(sequence(rows))
     hot = materialize(hot, "hot-sessions")
+    if hot.isEmpty():
+        return edges_of(sequence(rows))
     cold, _ = split_hot(rows, "user_session", hot)
     viewing = hot.where(F.col("_lo") != F.col("_hi"))
     large = rows.join(viewing.select("user_session"), "user_session", "left_semi")

@@ -16,10 +16,10 @@ from ledgerloom.session import materialize
 
 
 def item_embeddings(edges: DataFrame, num_walks: int = 10, length: int = 50, p: float = 2.0, q: float = 1.0,
-                    size: int = 64, seed: int = 1) -> DataFrame:
+                    size: int = 64, seed: int = 1, method: str = "factors") -> DataFrame:
     """(pid, embedding_vector) of every product of the co-view graph."""
     walks = materialize(random_walks(edges, num_walks, length, p, q, seed), "walks")
-    return embed_walks(walks, size=size, seed=seed)
+    return embed_walks(walks, size=size, seed=seed, method=method)
 
 
 def first_categories(products: DataFrame, order: str | None = None) -> DataFrame:
@@ -47,6 +47,14 @@ def recommend(embeddings: DataFrame, products: DataFrame, ids: DataFrame | None
     )
 
 
+def embedding_maps(embeddings: DataFrame, products: DataFrame) -> DataFrame:
+    """Plane and space map in one: ``x0, x1`` are the plane's coordinates and the first two of the space's ``x0..x2``.
+
+    Principal axes do not change when one more is taken, so one fit serves both.
+    """
+    return embedding_map(embeddings, products, 3)
+
+
 def embedding_map(embeddings: DataFrame, products: DataFrame, dims: int = 2) -> DataFrame:
     """Every categorised item with its levels L1..L3 and coordinates x0.."""
     named = with_category(

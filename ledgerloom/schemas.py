@@ -22,10 +22,6 @@ ACTIVITY_DEMOGRAPHICS = T.StructType(
     + [T.StructField("tags", TAGS)]
 )
 
-USER_DEMOGRAPHICS = T.StructType(
-    _ints("i", "age") + [T.StructField(n, T.StringType()) for n in ("gender", "state", "country")]
-)
-
 PRODUCT_EVENTS = T.StructType(
     [
         T.StructField("event_time", T.StringType()),

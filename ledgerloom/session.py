@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
 
 
+_open_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def temporary_tables():
+    """Tables that ``materialize`` writes inside are deleted at the end; no result may read them later."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open_scopes.pop():
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path whose table no result reads any more."""
     jvm = spark.sparkContext._jvm
@@ -58,6 +73,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _open_scopes:
+        _open_scopes[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,9 +6,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV (with header) or Parquet by suffix; a folder without suffix is Parquet."""
-    if path.rstrip("/").endswith(".csv"):
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, format: str | None = None) -> DataFrame:
+    """CSV (with header) or Parquet, by ``format`` or else by suffix (``.csv``, also compressed)."""
+    name = path.rstrip("/").lower()
+    kind = format or ("csv" if name.endswith((".csv", ".csv.gz", ".csv.bz2", ".csv.zst")) else "parquet")
+    if kind not in ("csv", "parquet"):
+        raise ValueError(f"unknown format {kind!r}")
+    if kind == "csv":
         reader = spark.read.option("header", True)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         return reader.csv(path)
@@ -61,11 +65,6 @@ def next_mark(df: DataFrame, ts: str):
     return df.agg(F.max(ts)).first()[0]
 
 
-def prefixed(prefix: str, name: str) -> str:
-    """Name of the table an incremental read of ``name`` writes to."""
-    return f"{prefix}{name}"
-
-
 def rows_to_df(spark: SparkSession, rows, schema) -> DataFrame:
     """Rows of the program as a DataFrame; for lookups, not for bulk data."""
     return spark.createDataFrame(rows, schema)

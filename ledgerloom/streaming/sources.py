@@ -41,10 +41,11 @@ def decode_activity(
     """Replace the binary ``value`` by the record it holds, as one struct column.
 
     ``avro`` needs the Avro module on the class path; ``json`` reads text values.
+    A value that cannot be read ends the query.
     """
     rest = [c for c in df.columns if c != "value"]
     if codec == "json":
-        record = F.from_json(F.col("value").cast("string"), schema)
+        record = F.from_json(F.col("value").cast("string"), schema, {"mode": "FAILFAST"})
     elif codec == "avro":
         from pyspark.sql.avro.functions import from_avro
 

@@ -41,6 +41,29 @@ def test_ways_equal_brute_force(spark, way, cosine):
     assert {(r.qid, r.pid, r["rank"]) for r in got.collect()} == brute(asked, rows, 3, cosine)
 
 
+@pytest.mark.parametrize("small", [1000, 50, 5])
+def test_large_values_and_small_distances(spark, small):
+    rng = np.random.default_rng(8)
+    far = rng.uniform(0, 2e9, size=(150, 2))
+    close = 1e6 + rng.integers(0, 4000, size=(90, 2)) * 0.01
+    rows = list(enumerate(np.concatenate([far, close])))
+    asked = rows[::6] if small == 50 else rows
+    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 3, small_rows=small, block_rows=32)
+    want = set()
+    for i, x in asked:
+        d = sorted((float(np.sqrt(((x - y) ** 2).sum())), j) for j, y in rows if j != i)
+        want |= {(i, j, r + 1) for r, (_, j) in enumerate(d[:3])}
+    assert {(r.qid, r.pid, r["rank"]) for r in got.collect()} == want
+
+
+def test_few_queries_give_one_row_a_task(spark):
+    from ledgerloom.operators import neighbours as N
+
+    points = frame(spark, list(enumerate(np.random.default_rng(1).normal(size=(25_000, 2)))), "pid").coalesce(1)
+    few = N._collected(frame(spark, [(-1, np.zeros(2))], "qid"), "qid")
+    assert points.mapInPandas(N._near_few_queries(few, 1, False), N._HITS).count() == 1
+
+
 def test_fewer_points_than_wanted(spark):
     rows = list(enumerate(np.eye(3)))
     for small in (100, 1):

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import capital, churn, recommend as R
+from ledgerloom import schemas
+from ledgerloom.plans import capital, churn, coview, recommend as R
 from ledgerloom.sinks.writers import save_model
 from ledgerloom.sources.readers import load_model
 
@@ -65,13 +66,45 @@ def test_preparation_values(spark, customers):
     assert list(stats) == [0.0] * len(scaled) + [1.0] * len(scaled)
     row = out.where("CustomerID = 11").first()  # order count missing: the median 2.0 or 3.0 steps in
     assert row.cashback_per_order == (100.0 + 11) / row["n1_OrderCount"]
-    assert stages[2].getInputCols()[-3:] == ["c0_1", "c0_2", "c1_1"]
+    assert stages[-1].getInputCols()[-2:] == ["c0", "c1"]
+    assert (len(row.c0), len(row.c1)) == (2, 1)
 
 
-def test_too_many_levels_raise(spark, monkeypatch):
-    monkeypatch.setattr(churn, "MAX_LEVELS", 5)
-    with pytest.raises(ValueError):
-        churn.category_values(spark.range(10).select(F.col("id").cast("string").alias("c")), ["c"])
+def test_levels_are_zero_when_first_missing_or_unseen(spark):
+    from pyspark.ml import PipelineModel
+
+    df = spark.createDataFrame([(1, 1.0, "b"), (2, 2.0, "a"), (3, 3.0, "c"), (4, 4.0, None)], "CustomerID int, n double, t string")
+    model = PipelineModel(stages=churn.fit_preparation(df))
+    more = df.union(spark.createDataFrame([(5, 1.0, "zz")], df.schema))
+    got = {r.CustomerID: list(r.c0.toArray()) for r in model.transform(more).collect()}
+    assert got == {1: [1, 0], 2: [0, 0], 3: [0, 1], 4: [0, 0], 5: [0, 0]}
+
+
+def test_twenty_thousand_levels_train(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = spark.range(20_001).select(
+        F.col("id").alias("CustomerID"), (F.col("id") % 7).cast("double").alias("n"), F.col("id").cast("string").alias("t"),
+        (F.col("id") % 7 < 3).cast("double").alias("label"),
+    )
+    ready = PipelineModel(stages=churn.fit_preparation(df.drop("label"))).transform(df).select("features", "label")
+    assert len(ready.first().features) == 1 + 20_000
+    forest = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1, featureSubsetStrategy="all").fit(ready)
+    assert forest.transform(ready).where("prediction <> label").count() == 0
+
+
+def test_coview_graph_on_the_declared_schema(spark):
+    rows = [
+        ("2020-01-01 00:00:01 UTC", "view", 5, None, 1, "s"), ("2020-01-01 00:00:02 UTC", "view", 9, "a.b", 1, "s"),
+        ("2020-01-01 00:00:03 UTC", "view", 5, None, 1, "s"), ("2020-01-01 00:00:01 UTC", "view", 7, None, 2, None),
+        ("2020-01-01 00:00:05 UTC", "view", 3, None, 2, "t"), ("2020-01-01 00:00:05 UTC", "cart", 4, None, 2, "t"),
+        ("2020-01-01 00:00:05 UTC", "view", 4, None, 2, "t"),
+    ]
+    df = spark.createDataFrame(rows, schemas.PRODUCT_EVENTS)
+    want = {(9, 5, 2), (4, 3, 2)}
+    assert {tuple(r) for r in coview.coview_graph(df).collect()} == want
+    assert {tuple(r) for r in coview.coview_graph(df.repartition(5), hot_rows=2).collect()} == want
 
 
 RECEIVABLES = [

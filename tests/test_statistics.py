@@ -80,8 +80,15 @@ def test_lookup_ways_agree(spark, monkeypatch):
     dim = spark.range(5).select(F.col("id").alias("i"), (F.col("id") * 10).alias("v"))
     small = sorted(map(tuple, J.lookup(rows, dim, "k", "i").collect()))
     monkeypatch.setattr(J, "is_small", lambda *a: False)
-    salted = sorted(map(tuple, J.lookup(rows, dim, "k", "i").collect()))
-    assert small == salted and len(small) == sum(1 for i in range(900) if i % 7 < 5) + 300
+    shuffled = sorted(map(tuple, J.lookup(rows, dim, "k", "i").collect()))
+    assert small == shuffled and len(small) == sum(1 for i in range(900) if i % 7 < 5) + 300
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    rows = spark.range(1000).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert not J.is_small(rows) and J.is_small(rows.select("id"))
+    plan = J.lookup(spark.range(10).toDF("k"), rows, "k", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
 
 
 def test_is_small_counts(spark):

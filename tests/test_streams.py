@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
-from ledgerloom.sources.readers import next_mark, prefixed, read_dimension, read_since
+from ledgerloom.sources.readers import next_mark, read_dimension, read_since
 from ledgerloom.streaming import products as P, sinks, sources
 
 DIM = "i int, age int, gender string, state string, country string"
@@ -53,13 +53,10 @@ def test_live_count_keeps_state(spark, world):
         add(*batch)
         counts = P.live_country_count(stream(), dim)
         wait(sinks.start_live_count(counts, sinks.replace_table(out), progress, None))
-    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {("USA", 3), ("JAPAN", 1)}
+    assert {tuple(r) for r in sinks.read_newest(spark, out).collect()} == {("USA", 3), ("JAPAN", 1)}
 
 
-def test_salted_stream_join(spark, world, monkeypatch):
-    from ledgerloom.operators import joins
-
-    monkeypatch.setattr(joins, "is_small", lambda *a: False)
+def test_stream_join_of_a_hot_key(spark, world):
     add, stream, dim, tmp = world
     add(*[1] * 50, 2)
     out = str(tmp / "out")
@@ -108,7 +105,56 @@ def test_repeated_batch_of_points_replaces_itself(spark, tmp_path):
         stream = sources.file_stream(spark, src, df.schema)
         wait(sinks.write_points(stream, out, str(tmp_path / f"progress{n}"), "ts", ["x"], "offset"))
     assert spark.read.parquet(out).count() == 1
-    assert sinks.read_points(spark, out, "ts", ["x"], "offset").count() == 1
+    assert sinks.read_points(spark, out, "ts", ["x"]).count() == 1
+
+
+def test_points_of_several_batches_are_ordered_and_compacted(spark, tmp_path):
+    out, order = str(tmp_path / "points"), ["time", "partition", "offset"]
+    schema = "measurement string, tags map<string,string>, ts int, x double, y double, time int, partition int, offset int"
+    batches = [[(1.0, None, 5, 0, 90)], [(2.0, 7.0, 4, 1, 1)], [(3.0, None, 5, 1, 2), (None, 9.0, 3, 0, 80)]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([("m", {"a": "1"}, 10, *r) for r in rows], schema)
+        P.partial_points(df, "ts", ["x", "y"], order).write.partitionBy("measurement").parquet(f"{out}/batch_id={n}")
+    read = lambda: [tuple(r)[3:] for r in sinks.read_points(spark, out, "ts", ["x", "y"]).collect()]
+    assert read() == [(3.0, 7.0, 5, 1, 2)]
+    sinks.compact_points(spark, out, "ts", ["x", "y"])
+    assert read() == [(3.0, 7.0, 5, 1, 2)] and sinks._complete(spark, out, "batch_id") == []
+    df = spark.createDataFrame([("m", {"a": "1"}, 10, 8.0, None, 6, 0, 91)], schema)
+    P.partial_points(df, "ts", ["x", "y"], order).write.partitionBy("measurement").parquet(f"{out}/batch_id=3")
+    assert read() == [(8.0, 7.0, 6, 0, 91)]
+
+
+def test_a_failed_batch_leaves_the_result_before_it(spark, tmp_path):
+    out = str(tmp_path / "table")
+    write = sinks.replace_table(out)
+    for n in range(4):
+        write(spark.range(n + 1), n)
+    (tmp_path / "table" / "batch_id=9").mkdir()
+    assert sinks.read_newest(spark, out).count() == 4 and sinks._complete(spark, out, "batch_id") == [2, 3]
+
+
+def test_static_side_is_read_for_every_batch(spark, world):
+    add, stream, dim, tmp = world
+    names, found = iter(["OLD", "NEW"]), []
+    read = lambda: dim.select("i", F.lit(next(names)).alias("country"))
+    write = sinks.fresh_side(read, P.live_country_count, lambda b, _: found.extend(map(tuple, b.collect())))
+    for _ in range(2):
+        add(1, 1)
+        wait(sinks.write_each_batch(stream(), write, str(tmp / "progress"), "append", None))
+    assert found == [("OLD", 2), ("NEW", 2)]
+
+
+def test_database_batch_writer_passes_its_options(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sinks, "write_dimension", lambda df, *a, **o: seen.append((df.count(), a, o)))
+    sinks.replace_database_table("jdbc:x:y", "t", user="u")(spark.range(3), 7)
+    assert seen == [(3, ("jdbc:x:y", "t"), {"user": "u"})]
+
+
+def test_a_broken_record_ends_the_query(spark):
+    df = spark.createDataFrame([(b'{"id": 1}',), (b"{broken",)], "value binary")
+    with pytest.raises(Exception, match="FAILFAST|Malformed|MALFORMED"):
+        sources.decode_activity(df, codec="json").collect()
 
 
 def test_measurement_names():
@@ -142,4 +188,3 @@ def test_incremental_read(spark):
     mark = next_mark(df.where("id < 3"), "ts")
     assert [r.id for r in read_since(df, "ts", mark).collect()] == [3, 4]
     assert read_since(df, "ts", None).count() == 5
-    assert prefixed("influx_", "orders") == "influx_orders"
