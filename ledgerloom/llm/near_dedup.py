@@ -1,8 +1,8 @@
 """Near-duplicate documents by one-permutation MinHash.
 
 1. One pass gives each document its set of five-word shingles as 64-bit
-   hashes, the least hash in each of 192 bins of one permutation, the empty
-   bins filled by optimal densification, and 32 keys of bands of six bins.
+   hashes, the least hash in each of 384 bins of one permutation, the empty
+   bins filled by optimal densification, and 48 keys of bands of eight bins.
    Documents with equal sets are one class from here on.
 2. A bucket is a band key that two classes share. It gives a star of candidate
    edges from its smallest member, so pairs grow with members, not with their
@@ -11,11 +11,11 @@
 3. Edges whose sizes or bins rule out the similarity are dropped (bins: seven
    standard deviations below it); the rest is confirmed on the full sets.
 4. Members that are not connected to the others of a bucket form new stars
-   against all of it, four centres a round, until a round links nothing new.
+   against all of it, two centres a round, until a round links nothing new.
 5. Classes are the connected components of all links, found by passing on
    least ids and jumping along them.
 
-A pair at the threshold shares no band with chance (1 - 0.85^6)^32 = 3e-7.
+A pair at the threshold shares no band with chance (1 - 0.85^8)^48 = 2e-7.
 
 Cases: a text without words, and a row without id, is linked with nothing; a
 text of one to four words has its whole sequence as its only shingle; repeated
@@ -37,8 +37,8 @@ from ledgerloom.llm.words import chunks, grams, hash_strings, mix, split_words,
 from ledgerloom.session import drop_path, scratch_path
 
 SHINGLE = 5
-BINS, ROWS = 192, 6
-CENTRES = 4
+BINS, ROWS = 384, 8
+CENTRES = 2
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -204,23 +204,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min(F.struct("id", "n", "keys", "bins")).alias("least")).select("lo", "hi", "least.*")
     )
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
-    shared = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c < last").select("key", "c"))
-    members = keep(rows.join(shared, "key").select("key", "id", "n", "c"))
+    shared = keep(
+        rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+        .select("key", F.col("first.id").alias("c"), F.col("first.n").alias("cn"))
+    )
+    members = keep(rows.join(shared, "key").select("key", "id", "n", "c", "cn"))
     narrow = classes.select("id", "n", "bins")
     wanted = keep(members.select("id").distinct())
     texts = keep(source.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_compress, "id long, text binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         u, c = (narrow.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "uc")
-        sized = pairs.join(u, "u").join(c, "c").where(
-            (100 * F.least("n_u", "n_c") >= percent * F.greatest("n_u", "n_c"))
-        )
-        likely = keep(sized.mapInArrow(_likely(percent), "u long, c long"))
+        likely = keep(pairs.join(u, "u").join(c, "c").mapInArrow(_likely(percent), "u long, c long"))
         tu, tc = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uc")
         full = likely.join(tu, "u").join(tc, "c").select("u", "c", "text_u", "text_c")
         return full.mapInArrow(_confirm(percent), "u long, c long").distinct()
 
-    checked = keep(members.where("id <> c").select(F.col("id").alias("u"), "c").distinct())
+    alike = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
+    checked = keep(members.where((F.col("id") != F.col("c")) & alike).select(F.col("id").alias("u"), "c").distinct())
     links = keep(confirmed(checked))
     turn = 0
     while True:
