@@ -12,9 +12,8 @@ from ledgerloom.session import materialize
 
 # Neighbour lists above this length are cut into pieces.
 FAN = 2048
-# A node where more walkers than this are expected at a time has its list repeated per salt.
+# A node where more walkers than this are expected at a time has its list repeated, once for each so many.
 HOT_WALKERS = 500_000
-HOT_SALTS = 64
 STEPS_PER_BLOCK = 7
 WALKERS_PER_TASK = 100_000
 _TRIES = 4
@@ -51,7 +50,7 @@ class _Tables:
         self.hot = stats.where(hub | (crowd > hot_walkers)).select(
             "node",
             F.when(hub, root).otherwise(1).alias("pieces"),
-            F.when(hub, root).otherwise(HOT_SALTS).alias("salts"),
+            F.greatest(F.when(hub, root).otherwise(2), F.ceil(crowd / hot_walkers).cast("int")).alias("salts"),
         )
         self.has_hot = not self.hot.isEmpty()
         self.has_hubs = self.has_hot and not self.hot.where("pieces > 1").isEmpty()
