@@ -14,8 +14,8 @@ bound cannot be a member. Reading stops when this proof leaves few possible
 members; those, ties included, are scored again exactly from the stored
 vectors. Where the proof never comes, the last level ends the reading.
 
-Blocks of queries meet blocks of the index by an equi-join on block numbers, so
-a task holds one of each. Each meeting returns at most k rows a query.
+Blocks of queries meet blocks of the index by an equi-join on block numbers; a
+task reads one pair at a time. Each meeting returns at most k rows a query.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
 no part, as query or candidate; vectors of other lengths than the query's are
@@ -167,7 +167,8 @@ def _pack_queries(key, table):
 def _meet(k: int):
     def search(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
                 width, n = row["width"], row["n"]
                 ids = np.frombuffer(row["ids"], "<i8")
                 matrix = np.frombuffer(row["vectors"], "<i8").reshape(n, width)
@@ -196,12 +197,10 @@ def search(spark, path: str, k: int = 5, every: int = 50, query_block: int = QUE
         _pack_queries, "qblock long, width int, qids binary, queries binary"
     ).write.parquet(f"{path}/queries")
     packed, index = spark.read.parquet(f"{path}/queries"), spark.read.parquet(f"{path}/blocks")
-    meetings = index.select("block", "width").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<bigint>")))
-    meetings = meetings.repartition("block", "qblock")
-    found = (
-        meetings.join(index, ["block", "width"]).join(packed, ["qblock", "width"])
-        .mapInArrow(_meet(k), "query_id long, id long, score long")
-    )
+    last = index.agg(F.max("block")).first()[0] or 0
+    # queries are the smaller side: they go to every block of the index, which is moved once
+    asked = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    found = asked.join(index, ["block", "width"]).mapInArrow(_meet(k), "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
