@@ -104,7 +104,9 @@ def exact_quantiles(
     and ranks in the same two passes.
     """
     sizes = df.agg(*[F.count(_q(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if 0 < sizes[i] <= gather]
+    # the bound holds for all columns and ranks together, since they meet in one row
+    each = max(1, gather // max(1, 2 * len(cols) * len(probs)))
+    small = [c for i, c in enumerate(cols) if 0 < sizes[i] <= each]
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if small:
         probe = F.array(*[F.lit(float(p)) for p in probs])
@@ -112,13 +114,13 @@ def exact_quantiles(
         result.update({c: list(row[i]) for i, c in enumerate(small)})
     searches: dict[tuple[str, int], _Search] = {}
     for i, c in enumerate(cols):
-        if sizes[i] > gather:
+        if sizes[i] > each:
             for p in probs:
                 at = p * (sizes[i] - 1)
                 for rank in {floor(at), min(floor(at) + 1, sizes[i] - 1)}:
                     searches.setdefault((c, rank), _Search(c, rank, sizes[i]))
     while True:
-        wide = [s for s in searches.values() if s.value is None and s.inside > gather]
+        wide = [s for s in searches.values() if s.value is None and s.inside > each]
         if not wide:
             break
         _narrow(df, wide)
@@ -131,7 +133,7 @@ def exact_quantiles(
         for i, s in enumerate(rest):
             s.value = row[i]
     for i, c in enumerate(cols):
-        if sizes[i] > gather:
+        if sizes[i] > each:
             for j, p in enumerate(probs):
                 at = p * (sizes[i] - 1)
                 lo = searches[c, floor(at)].value
