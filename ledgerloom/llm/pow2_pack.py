@@ -26,6 +26,8 @@ from ledgerloom.llm.words import chunks, ragged, split_words
 
 MAX_LENGTH = 2048
 END = 1
+#: Distinct words of a chunk are encoded once, so larger chunks cost less.
+CHUNK = 12 << 20
 
 
 _loaded: dict = {}  # tokenizers and their word ends, by path
@@ -49,8 +51,13 @@ def binary_pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
 def _encode(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all strings, one after another, and how many each has."""
     tokenizer = _tokenizer(path)
-    coded = [e.ids for e in tokenizer.encode_batch_fast(strings.to_pylist(), add_special_tokens=False)]
-    return np.array([t for ids in coded for t in ids], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+    parts, sizes = [np.zeros(0, np.uint32)], []
+    for at in range(0, len(strings), 2048):  # encodings are many times as large as their ids
+        for e in tokenizer.encode_batch_fast(strings.slice(at, 2048).to_pylist(), add_special_tokens=False):
+            ids = e.ids
+            parts.append(np.array(ids, np.uint32))
+            sizes.append(len(ids))
+    return np.concatenate(parts), np.array(sizes, np.int64)
 
 
 def _encode_letters(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +144,7 @@ def pack_documents(
     kind = docs.schema[id_col].dataType
 
     def cut(batches):
-        for chunk in chunks(batches, "_text"):
+        for chunk in chunks(batches, "_text", CHUNK):
             ids = document_ids(chunk["_text"], tokenizer)
             row, start, length, pieces, total = [], [], [], [], []
             for i, own in enumerate(ids):

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.spans import COLUMNS, LAST, RUNS, covered, joined_runs, merge_runs, pack_runs, with_runs
-from ledgerloom.llm.words import chunks, grams, hash_strings, mix, ragged, runs, sliding_min, split_words, whole
+from ledgerloom.llm.words import chunks, grams, hash_strings, mix, ragged, release, runs, sliding_min, split_words, whole
 
 WINDOW = 13
 GRAM = 3
@@ -133,6 +133,7 @@ def _cutter(buckets: int, window: int, gram: int):
 
 def _bucket_marks(window: int, parts: int):
     def count(table):
+        release()
         ids, hashes, strings, tables = [], [], [], []
         docs = 0
         for n_docs, n_runs, text, lengths, rest in zip(*(table[c].to_pylist() for c in ("id", "hash", "first", "second", "third"))):

@@ -191,7 +191,7 @@ class Network:
         score = _sigmoid(pooled @ p["out"] + p["shift"])
         return score, (states, inner, weight, pooled, trace_a, trace_b)
 
-    def scores(self, stems: pa.Array, tokens: np.ndarray, begin: np.ndarray, length: np.ndarray, rows: int = 4096) -> np.ndarray:
+    def scores(self, stems: pa.Array, tokens: np.ndarray, begin: np.ndarray, length: np.ndarray, rows: int = 2048) -> np.ndarray:
         """Scores of windows over ``tokens``, which are numbers of stems."""
         flat, count = trigrams_of(stems)
         projected = self.inputs(self.word_numbers(stems), flat, count) @ self.p["input"] + self.p["bias"]
@@ -336,7 +336,7 @@ def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
 
     def score(batches):
         net = cloudpickle.loads(model.value)
-        for chunk in chunks(batches, "text", 6 << 20):
+        for chunk in chunks(batches, "text", 4 << 20):
             words = split_words(chunk["text"])
             out = np.zeros(len(words.counts))
             if net is not None and len(words.ids):

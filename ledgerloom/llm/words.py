@@ -6,6 +6,7 @@ works on one bounded chunk of rows at a time, inside a Spark task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +15,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Give freed memory back, since a Python worker lives on between the tasks of an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches so that ``column`` holds about ``limit`` bytes; a longer row comes alone."""
+    release()
     held, size = [], 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -36,6 +47,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 @dataclass
