@@ -1,19 +1,21 @@
-"""Byte dedup by suffix arrays of many short strings, built column by column.
+"""Byte dedup by suffix orders of many short strings, built column by column.
 
 A byte goes if a 200-byte string that covers it also starts anywhere else.
 
-1. The anchor of a window of 200 bytes is the least hash of its 32-byte grams.
-   Equal windows have equal anchors, so consecutive windows with one anchor
-   travel as one string to the bucket of the anchor. Equal strings of a chunk
-   are sent once, with a note that there were several.
+1. The anchor of a window of 200 bytes is its first 32-byte gram of least hash.
+   Equal windows have equal anchors at equal distances, so consecutive windows
+   with one anchor travel as one string to the bucket of the anchor. Equal
+   strings of a chunk are sent once, with a note that there were several.
 2. In its bucket, strings that occur twice are repeated as a whole. Different
-   strings with one anchor form a collection, whose Burrows-Wheeler transform
-   is built together with its common prefixes: each round inserts one symbol of
-   every string, right to left. A round reads the files of transform and
-   prefixes in order, finds for every string the row of its longer suffix from
-   the symbols counted so far and its common prefix from the least one since
-   the same symbol last came, and writes both files anew with the rows put in.
-   Prefixes are counted up to 200.
+   strings with one anchor form a collection, laid out so that their anchors
+   stand in one column. Each round inserts one symbol of every string, right to
+   left: the files of the suffix order and of the common prefixes are read in
+   sequence, the symbols before the suffixes, in this order, are the transform
+   of the column, and sorting it stably gives the next order. The common prefix
+   of two suffixes with one symbol is one more than the least since that symbol
+   last came; both files are written anew. Prefixes are counted up to 200.
+   Windows of other columns cannot be equal, so a round keeps the suffixes that
+   start in its own column and drops those of the column before.
 3. A suffix with a neighbour that shares 200 bytes starts a repeated window.
 
 Memory is that of one bucket, its strings being at most 368 bytes long; the
@@ -39,13 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.spans import COLUMNS, LAST, RUNS, covered, merge_runs, pack_runs, with_runs
-from ledgerloom.llm.words import chunks, mix, ragged, runs, sliding_min
+from ledgerloom.llm.words import chunks, mix, ragged, release, runs, sliding_min
 
 WIDTH = 200
 GRAM = 32
 CHUNK = 4 << 20
 BUCKET_BYTES = 6 << 20
 BLOCK_ROWS = 4 << 20
+_PLACE = (1 << 30) - 1
 _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _PIECES = "bucket int, kind int, n long, first binary, second binary, third binary"
 
@@ -62,140 +65,134 @@ def byte_grams(data: np.ndarray, width: int = GRAM) -> np.ndarray:
 
 
 class _Files:
-    """Rows of the transform (symbols) and of the common prefixes, read and written in order."""
+    """The strings in the order of their suffixes, and the common prefixes of neighbours, read and written in sequence."""
 
     def __init__(self, folder: str):
         self.folder, self.turn, self.rows = folder, 0, 0
 
-    def _path(self, name: str, turn: int) -> str:
-        return os.path.join(self.folder, f"{name}.{turn % 2}")
+    def _open(self, name: str, turn: int, mode: str):
+        return open(os.path.join(self.folder, f"{name}.{turn % 2}"), mode)
 
     def blocks(self):
-        with open(self._path("bwt", self.turn), "rb") as symbols, open(self._path("lcp", self.turn), "rb") as prefixes:
+        """(start, strings, prefixes) of consecutive rows."""
+        if not self.rows:
+            return
+        with self._open("order", self.turn, "rb") as order, self._open("prefix", self.turn, "rb") as prefix:
             for start in range(0, self.rows, BLOCK_ROWS):
-                yield start, np.fromfile(symbols, np.uint8, BLOCK_ROWS), np.fromfile(prefixes, np.uint8, BLOCK_ROWS)
+                yield start, np.fromfile(order, np.int32, BLOCK_ROWS), np.fromfile(prefix, np.uint8, BLOCK_ROWS)
 
     def write(self, parts) -> None:
-        with open(self._path("bwt", self.turn + 1), "wb") as symbols, open(self._path("lcp", self.turn + 1), "wb") as prefixes:
+        with self._open("order", self.turn + 1, "wb") as order, self._open("prefix", self.turn + 1, "wb") as prefix:
             rows = 0
-            for s, p in parts:
-                s.tofile(symbols)
-                p.tofile(prefixes)
-                rows += len(s)
+            for strings, prefixes in parts:
+                strings.astype(np.int32).tofile(order)
+                prefixes.astype(np.uint8).tofile(prefix)
+                rows += len(strings)
         self.turn, self.rows = self.turn + 1, rows
 
 
-def _longer(files: _Files, rows: np.ndarray, first: np.ndarray, cap: int):
-    """Rows of the suffixes one symbol longer than those in ``rows`` (ascending), and their common prefixes.
+class _Column:
+    """One round: takes blocks of the old order and holds the new one by symbol."""
 
-    Also the rows, new or old, that now stand below a new one, with theirs.
-    """
-    count, least = np.zeros(256, np.int64), np.full(256, 255, np.uint8)
-    seen, waiting = np.zeros(256, bool), np.zeros(256, bool)
-    target, prefix = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint8)
-    below, below_prefix = [], []
-    for start, symbols, prefixes in files.blocks():
-        a, b = np.searchsorted(rows, (start, start + len(symbols)))
-        active = np.full(len(symbols), -1, np.int32)
-        active[rows[a:b] - start] = np.arange(a, b)
+    def __init__(self, cap: int):
+        self.cap, self.parts = cap, []
+        self.least, self.seen = np.full(256, 255, np.uint8), np.zeros(256, bool)
+
+    def add(self, strings: np.ndarray, prefixes: np.ndarray, symbols: np.ndarray) -> None:
         order = np.argsort(symbols, kind="stable")
-        own = np.bincount(symbols, minlength=256)
-        begin = np.cumsum(own) - own
-        turn = active[order]
-        hit = np.flatnonzero(turn >= 0)
-        after = hit + 1
-        after = after[after < len(order)]
-        after = after[symbols[order[after]] == symbols[order[after - 1]]]
-        carried = begin[np.flatnonzero(waiting & (own > 0))]
-        places = np.unique(np.concatenate((hit, after, carried)))
-        at = order[places]
-        c = symbols[at]
-        fresh = places == begin[c]
-        low = np.where(fresh, 0, order[places - 1] + 1)
-        ranges = np.argsort(-low, kind="stable")
-        edges = np.empty(2 * len(at), np.int64)
-        edges[0::2], edges[1::2] = low[ranges], at[ranges] + 1
-        smallest = np.empty(len(at), np.uint8)
-        if len(at):
-            smallest[ranges] = np.minimum.reduceat(np.append(prefixes, np.uint8(255)), edges)[0::2]
-        smallest = np.where(fresh, np.minimum(smallest, least[c]), smallest)
-        value = np.where(fresh & ~seen[c], 0, np.minimum(smallest.astype(np.int64) + 1, cap)).astype(np.uint8)
-        row = first[c] + count[c] + places - begin[c]
-        new = turn[places]
-        target[new[new >= 0]], prefix[new[new >= 0]] = row[new >= 0], value[new >= 0]
-        below.append(row[new < 0])
-        below_prefix.append(value[new < 0])
+        count = np.bincount(symbols, minlength=256)
+        here = count > 0
+        end = np.cumsum(count)[here]
+        begin = end - count[here]
+        c = symbols[order]
+        # least prefix between a row and the row before it that has its symbol
+        low = np.empty(len(order), np.int64)
+        low[1:] = order[:-1] + 1
+        low[begin] = 0
+        group = np.repeat(np.arange(len(end)), count[here])
+        edges = np.zeros(len(order) + len(end), np.int64)
+        edges[np.arange(len(order)) + group] = low
+        edges[end + np.arange(len(end))] = order[end - 1] + 1
+        smallest = np.minimum.reduceat(np.append(prefixes, np.uint8(255)), edges)[np.arange(len(order)) + group]
+        smallest[begin] = np.minimum(smallest[begin], self.least[here])
+        value = np.minimum(smallest.astype(np.int64) + 1, self.cap)
+        value[begin[~self.seen[here]]] = 0
         from_here = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], np.uint8(255))
-        here = own > 0
-        last = order[(begin + own - 1)[here]]
-        least = np.minimum(least, from_here[0])
-        least[here] = from_here[last + 1]
-        seen |= here
-        waiting[here] = active[last] >= 0
-        count += own
-    return target, prefix, np.concatenate(below), np.concatenate(below_prefix)
-
-
-def _merged(files: _Files, at: np.ndarray, symbols: np.ndarray, prefixes: np.ndarray, old: np.ndarray, old_prefix: np.ndarray):
-    """Blocks with new rows put before the old rows ``at``; ``old`` rows get another prefix."""
-    end = files.rows
-    for start, own_symbols, own_prefixes in files.blocks():
-        stop = start + len(own_symbols)
-        a, b = np.searchsorted(old, (start, stop))
-        own_prefixes[old[a:b] - start] = old_prefix[a:b]
-        a, b = np.searchsorted(at, start), np.searchsorted(at, stop) if stop < end else len(at)
-        put = at[a:b] - start
-        yield np.insert(own_symbols, put, symbols[a:b]), np.insert(own_prefixes, put, prefixes[a:b])
-
-
-def repeated_starts(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Which windows of a collection of strings occur twice in it.
-
-    The flags of string i are those of its windows, in order; strings follow one another.
+        self.least = np.minimum(self.least, from_here[0])
+        self.least[here] = from_here[order[end - 1] + 1]
+        self.seen |= here
+        self.parts.append((strings[order], value, np.concatenate(([0], np.cumsum(count)))))
+
+    def sorted(self):
+        for c in np.flatnonzero(self.seen):
+            for strings, prefixes, at in self.parts:
+                if at[c + 1] > at[c]:
+                    yield strings[at[c] : at[c + 1]], prefixes[at[c] : at[c + 1]]
+
+
+def _without(blocks, leaves: np.ndarray):
+    """The rows whose string does not leave; a prefix becomes the least of those it now spans."""
+    carry = 255
+    for _, strings, prefixes in blocks:
+        stay = np.flatnonzero(~leaves[strings])
+        if len(stay):
+            spans = np.minimum.reduceat(prefixes[: stay[-1] + 1], np.concatenate(([0], stay[:-1] + 1)))
+            spans[0] = min(spans[0], carry)
+            tail = prefixes[stay[-1] + 1 :]
+            carry = int(tail.min(initial=255))
+            yield strings[stay], spans
+        else:
+            carry = min(carry, int(prefixes.min(initial=255)))
+
+
+def repeated_starts(data: np.ndarray, begin: np.ndarray, length: np.ndarray, before: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Which windows of a collection of strings occur twice at the same distance from the anchors.
+
+    ``before`` is where in each string its anchor stands. The flags of string i
+    are those of its windows, in order; strings follow one another.
     """
-    n = len(begin)
-    rows, string = np.arange(n), np.arange(n)
-    with tempfile.TemporaryDirectory() as folder:
-        files = _Files(folder)
-        last = (data[begin + length - 1] + 1).astype(np.uint8)  # 0 ends a string; UTF-8 has no byte 255
-        files.write([(last, np.zeros(n, np.uint8))])
-        total = np.bincount(last, minlength=256)
-        for size in range(1, int(length.max()) + 1):
-            live = length[string] >= size
-            rows, string = rows[live], string[live]
-            counted = total.copy()
-            counted[0] = n
-            first = np.cumsum(counted) - counted
-            target, prefix, old, old_prefix = _longer(files, rows, first, width)
-            order = np.argsort(target, kind="stable")
-            rows, string, prefix = target[order], string[order], prefix[order]
-            more = length[string] > size
-            symbols = np.zeros(len(rows), np.uint8)
-            symbols[more] = data[(begin + length)[string[more]] - size - 1] + 1
-            order = np.argsort(old, kind="stable")
-            old, old_prefix = old[order], old_prefix[order]
-            old = old - np.searchsorted(rows, old)
-            files.write(_merged(files, rows - np.arange(len(rows)), symbols, prefix, old, old_prefix))
-            total += np.bincount(symbols, minlength=256)
-        parts = list(files.blocks())
-    symbols, prefixes = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-    order = np.argsort(symbols, kind="stable")
-    step = np.empty(len(order), np.int32)
-    step[order] = np.arange(len(order), dtype=np.int32)
-    shared = prefixes >= width
-    shared[:-1] |= shared[1:]
     windows = np.maximum(length - width + 1, 0)
     base = np.cumsum(windows) - windows
     out = np.zeros(int(windows.sum()), bool)
-    at = np.arange(n)
-    for size in range(1, int(length.max()) + 1):
-        live = np.flatnonzero(length >= size)
-        at[live] = step[at[live]]
-        if size >= width:
-            out[base[live] + length[live] - size] = shared[at[live]]
+    if not len(begin):
+        return out
+    right, left = length - before - 1, -before  # columns of the last and the first symbol
+    entering = np.argsort(-right, kind="stable")
+    right_sorted = -right[entering]
+    leaving = np.bincount(left - left.min()) > 0
+    with tempfile.TemporaryDirectory() as folder:
+        files = _Files(folder)
+        for column in range(int(right.max()), int(left.min()) - 1, -1):
+            a, b = np.searchsorted(right_sorted, (-column, -column + 1))
+            round_ = _Column(width)
+            if b > a:  # the empty suffixes of strings that end here come first and share nothing
+                new = entering[a:b].astype(np.int32)
+                round_.add(new, np.zeros(b - a, np.uint8), data[(begin + before + column)[new]])
+            for at, strings, prefixes in files.blocks():
+                if at == 0 and b > a:
+                    prefixes[:1] = 0
+                round_.add(strings, prefixes, data[(begin + before)[strings] + column])
+            files.write(round_.sorted())
+            last = None
+            for _, strings, prefixes in files.blocks():
+                shared = prefixes >= width
+                hit = shared.copy()
+                hit[:-1] |= shared[1:]
+                if last is not None and shared[0]:
+                    _flag(out, base, windows, before, last, column)
+                _flag(out, base, windows, before, strings[hit], column)
+                last = strings[-1:]
+            if column - left.min() < len(leaving) and leaving[column - left.min()]:
+                files.write(_without(files.blocks(), left == column))
     return out
 
 
+def _flag(out: np.ndarray, base: np.ndarray, windows: np.ndarray, before: np.ndarray, strings: np.ndarray, column: int) -> None:
+    nth = before[strings] + column
+    real = nth < windows[strings]
+    out[(base[strings] + nth)[real]] = True
+
+
 def _zip(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
 
@@ -227,22 +224,16 @@ def _cutter(buckets: int, width: int):
             data, starts = np.frombuffer(raw, np.uint8), ends[:-1] - ends[0]
             sizes = np.diff(ends)
             codes = byte_grams(data)
-            anchors = sliding_min(codes, width - GRAM + 1)
+            # the hash in the high bits, the place in the low ones: the least is the first of the least hashes
+            ranked = (codes & ~np.uint64(_PLACE)) | np.arange(len(codes), dtype=np.uint64)
             windows = np.maximum(sizes - width + 1, 0)
             at = ragged(starts, windows)
             doc = np.repeat(np.arange(len(sizes)), windows)
-            longest = width - GRAM + 1
-            first, size = runs(at, anchors[at], doc)
-            count = -(-size // longest)  # windows of a long run are dealt to several strings
-            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            first = np.repeat(first, count) + nth * longest
-            size = np.minimum(longest, np.repeat(size, count) - nth * longest)
-            begin, owner = at[first], doc[first]
-            anchor = anchors[begin]
-            # equal windows of one string share the gram at which the last window begins
-            alike = codes[at] == np.repeat(codes[begin + size - 1], size)
-            inner = np.add.reduceat(alike, first, dtype=np.int64) > 1 if len(first) else np.zeros(0, bool)
-            del at, doc, anchors, codes, alike
+            anchors = (sliding_min(ranked, width - GRAM + 1) & np.uint64(_PLACE)).astype(np.int64)[at]
+            first, size = runs(at, anchors, doc)
+            begin, owner, before = at[first], doc[first], anchors[first] - at[first]
+            anchor = codes[anchors[first]]
+            del at, doc, anchors, ranked, codes
             digest = _digests(raw, begin, size + width - 1)
             order, edges = _classes([digest[:, 0], digest[:, 1]])
             several = np.diff(np.concatenate((edges, [len(order)]))) > 1
@@ -261,7 +252,7 @@ def _cutter(buckets: int, width: int):
                 text = b"".join([raw[x : x + n] for x, n in zip(begin[own].tolist(), (size[own] + width - 1).tolist())])
                 docs, inside = np.unique(owner[own], return_inverse=True)
                 head = np.stack([ids[docs], hashes[docs]]).astype("<i8").tobytes()
-                table = np.stack([inside, (begin - starts[owner])[own], size[own], twice[own] + 2 * inner[own], (anchor[own] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF])
+                table = np.stack([inside, (begin - starts[owner])[own], size[own], before[own], twice[own], (anchor[own] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF])
                 out.append((int(bucket[a]), 1, len(docs), pack.compress(text), head, _zip(table.astype("<i4"))))
             for a in range(0, len(out), 1000):
                 columns = list(zip(*out[a : a + 1000]))
@@ -273,38 +264,39 @@ def _cutter(buckets: int, width: int):
 
 def _bucket(width: int, parts: int):
     def judge(table):
+        release()
         unpack = zstandard.ZstdDecompressor()
         ids, hashes, tables, texts, docs = [], [], [], [], 0
         for n, text, head, rest in zip(*(table[c].to_pylist() for c in ("n", *COLUMNS))):
             own = np.frombuffer(head, "<i8").reshape(2, n)
             ids.append(own[0])
             hashes.append(own[1])
-            columns = np.frombuffer(unpack.decompress(rest), "<i4").reshape(5, -1).astype(np.int64)
+            columns = np.frombuffer(unpack.decompress(rest), "<i4").reshape(6, -1).astype(np.int64)
             columns[0] += docs
             tables.append(columns)
             texts.append(unpack.decompress(text))
             docs += n
         data = b"".join(texts)
         del texts
-        ids, hashes, (doc, start, size, notes, anchor) = np.concatenate(ids), np.concatenate(hashes), np.concatenate(tables, axis=1)
+        ids, hashes, (doc, start, size, before, twice, anchor) = np.concatenate(ids), np.concatenate(hashes), np.concatenate(tables, axis=1)
         length = size + width - 1
         begin = np.cumsum(length) - length
         digest = _digests(data, begin, length)
         order, edges = _classes([digest[:, 0], digest[:, 1], anchor])
         members = np.diff(np.concatenate((edges, [len(order)])))
-        many = np.add.reduceat(1 + (notes & 1)[order], edges) > 1 if len(order) else np.zeros(0, bool)
+        many = np.add.reduceat(1 + twice[order], edges) > 1 if len(order) else np.zeros(0, bool)
         whole = np.zeros(len(order), bool)
         whole[order] = np.repeat(many, members)
         lead = order[edges]
         next_too = anchor[lead][1:] == anchor[lead][:-1]
-        shared = (notes[lead] & 2 > 0) & ~many
+        shared = np.zeros(len(lead), bool)
         shared[:-1] |= next_too
         shared[1:] |= next_too
         shared = np.flatnonzero(shared)
         found_doc, found_start, found_size = [doc[whole]], [start[whole]], [size[whole]]
         if len(shared):
             strings = lead[shared]
-            flags = repeated_starts(np.frombuffer(data, np.uint8), begin[strings], length[strings], width)
+            flags = repeated_starts(np.frombuffer(data, np.uint8), begin[strings], length[strings], before[strings], width)
             owner = np.repeat(strings, size[strings])
             place = np.arange(len(flags)) - np.repeat(np.cumsum(size[strings]) - size[strings], size[strings])
             hit = np.flatnonzero(flags & ~whole[owner])

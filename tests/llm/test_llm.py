@@ -363,17 +363,18 @@ def test_toxicity_of_odd_tables(spark, odd_documents, no_documents):
 # 8 byte dedup
 
 
-@pytest.mark.parametrize("block", [4 << 20, 37])
-def test_transform_finds_the_repeated_windows(monkeypatch, block):
+@pytest.mark.parametrize("block", [4 << 20, 7])
+def test_columns_find_the_repeated_windows(monkeypatch, block):
     monkeypatch.setattr(column_bwt, "BLOCK_ROWS", block)
-    for seed in range(25):
+    for seed in range(40):
         draw = random.Random(seed)
         width, letters = draw.choice([3, 5, 8]), draw.choice(["ab", "abcd"])
-        strings = ["".join(draw.choice(letters) for _ in range(draw.randint(width, width + 12))).encode() for _ in range(draw.randint(1, 30))]
+        strings = ["".join(draw.choice(letters) for _ in range(draw.randint(width, width + 12))).encode() for _ in range(draw.randint(1, 60))]
+        before = np.array([draw.randrange(len(s)) for s in strings])
         length = np.array(list(map(len, strings)))
-        got = column_bwt.repeated_starts(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length, length, width)
-        count = Counter(s[i : i + width] for s in strings for i in range(len(s) - width + 1))
-        assert got.tolist() == [count[s[i : i + width]] > 1 for s in strings for i in range(len(s) - width + 1)]
+        got = column_bwt.repeated_starts(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length, length, before, width)
+        count = Counter((i - p, s[i : i + width]) for s, p in zip(strings, before) for i in range(len(s) - width + 1))
+        assert got.tolist() == [count[i - p, s[i : i + width]] > 1 for s, p in zip(strings, before) for i in range(len(s) - width + 1)], seed
 
 
 def _bytes_brute(texts):
