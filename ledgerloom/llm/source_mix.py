@@ -34,8 +34,6 @@ from ledgerloom.session import drop_path, scratch_path
 
 PARTS = 1024
 BLOCK_CHARS = 1 << 16
-#: Rows per cell on average.
-CELL_ROWS = 4096
 
 
 def pfair_period(parts: dict) -> list:
@@ -102,7 +100,8 @@ def mix_sources(
         plan = whole_parts({s: math.sqrt(c) for s, (c, _) in sums.items()}, parts)
     else:
         plan = whole_parts({s: weights.get(s, 0) for s in sums}, parts)
-    cells = max(1, math.ceil(max((n for _, n in sums.values()), default=1) / CELL_ROWS))
+    # as many cells as rows in a cell, for the largest source: no window is longer than that
+    cells = max(1, math.isqrt(max((n for _, n in sums.values()), default=1)))
     placed = rows.withColumn("cell", F.pmod(F.xxhash64("id", "hash"), F.lit(cells)))
     placed.groupBy("source", "cell").agg(F.sum("chars").alias("chars")).write.parquet(f"{path}/cells")
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
