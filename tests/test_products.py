@@ -187,3 +187,15 @@ def test_recommendation_of_given_vectors(spark):
     assert [tuple(r) for r in R.recommend(vectors, products, ids).collect()] == [(1, "2", "c.d", 1)]
     mapped = R.embedding_map(vectors, products)
     assert {r.pid for r in mapped.collect()} == {1, 2} and {"L1", "L2", "L3", "x0", "x1"} <= set(mapped.columns)
+
+
+def test_training_leaves_no_tables_behind(spark, receivables):
+    import os
+    from urllib.parse import urlparse
+
+    from ledgerloom.session import checkpoint_root
+
+    root = urlparse(checkpoint_root(spark)).path
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    capital.fit_receivables(receivables, iterations=2)
+    assert set(os.listdir(root) if os.path.isdir(root) else []) == before
