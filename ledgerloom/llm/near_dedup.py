@@ -12,7 +12,10 @@
    standard deviations below it); the rest is confirmed on the full sets.
 4. Members that are not connected to the others of a bucket form new stars
    against all of it, two centres a round, until a round links nothing new.
-5. Classes are the connected components of all links, found by passing on
+5. Members of buckets that still hold more open members than centres meet in an
+   exact join of all of them: sets are ordered by rarity, and a pair at the
+   threshold shares a shingle so early in both that enough can follow.
+6. Classes are the connected components of all links, found by passing on
    least ids and jumping along them.
 
 A pair at the threshold shares no band with chance (1 - 0.85^8)^48 = 2e-7.
@@ -154,6 +157,56 @@ def _compress(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "text"])
 
 
+def _shingles(batches):
+    """Every shingle of every text: id, a mark of the set, its size, the shingle."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for start in range(0, len(batch), 16):
+            part = batch.slice(start, 16)
+            sets = shingle_sets(pa.array([unpack.decompress(t).decode() for t in part.column("text").to_pylist()], pa.large_string()))
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            marks = np.fromiter((np.bitwise_xor.reduce(x) for x in sets), np.uint64, len(sets)).view(np.int64)
+            columns = [np.repeat(x, sizes) for x in (part.column("id").to_numpy(), marks, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (*columns, np.concatenate(sets).view(np.int64))], ["id", "mark", "n", "shingle"]
+            )
+
+
+def remainder(left: DataFrame, texts: DataFrame, keep, percent: int) -> DataFrame:
+    """Pairs (u, c) that hold all similar ones among ``left`` (id, comp) whose components differ.
+
+    Sets are ordered by how many have a shingle. The first shingle that a
+    similar pair shares stands before place ``n - overlap`` of either set, the
+    least overlap being ``percent * (n + n') / (100 + percent)``. Of a shingle
+    whose rows are mostly of one component, only the others meet all rows.
+    """
+    shingles = keep(texts.join(left, "id", "left_semi").mapInArrow(_shingles, "id long, mark long, n long, shingle long"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = shingles.join(common, "shingle").groupBy("id", "mark", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("own"))
+    placed = ordered.select("id", "n", (F.col("n") - F.size("own")).alias("alone"), F.posexplode("own").alias("i", "x")).select(
+        "id", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.shingle").alias("shingle")
+    ).where(100 * F.col("rest") >= percent * F.col("n"))
+    sizes = left.groupBy("comp").agg(F.count("*").alias("members"))
+    early = (100 + percent) * F.col("rest") >= 2 * percent * F.col("n")
+    placed = keep(placed.join(left.join(sizes, "comp"), "id").withColumn("early", early))
+    main = (
+        placed.groupBy("shingle")
+        .agg(F.max("early").alias("any"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("members", "comp")).alias("main"))
+        .where("any and low < high").select("shingle", "main")
+    )
+    rows = keep(placed.join(main, "shingle").select("shingle", "id", "n", "rest", "comp", "early", (F.col("comp") != F.col("main")).alias("apart")))
+
+    def met(short: DataFrame, long: DataFrame) -> DataFrame:
+        a, b = (df.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "rest", "comp"))) for df, x in ((short, "a"), (long, "b")))
+        least = percent * (F.col("n_a") + F.col("n_b"))
+        may = (F.col("n_a") <= F.col("n_b")) & (F.col("comp_a") != F.col("comp_b"))
+        for rest in ("rest_a", "rest_b"):
+            may = may & ((100 + percent) * F.col(rest) >= least)
+        return a.join(b, "shingle").where(may).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("c"))
+
+    return met(rows.where("early and apart"), rows).union(met(rows.where("early and not apart"), rows.where("apart"))).distinct()
+
+
 class _Tables:
     """Tables in the shared folder, dropped together."""
 
@@ -250,6 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count() == 0:
             break
         links, checked = keep(links.union(more)), keep(checked.union(fresh))
+    untried = open_.where("comp <> main").groupBy("key").count().where(F.col("count") > CENTRES)
+    left = keep(open_.join(untried, "key", "left_semi").select("id", "comp").distinct())
+    if left.limit(1).count():
+        more = keep(confirmed(keep(remainder(left, texts, keep, percent).join(checked.union(fresh), ["u", "c"], "left_anti"))))
+        if more.limit(1).count():
+            labels = components(keep(links.union(more)), keep)
     named = keep(
         classes.select("lo", "hi", "id").join(labels, "id", "left").select("lo", "hi", F.coalesce("comp", "id").alias("comp"))
     )

@@ -90,6 +90,45 @@ def test_near_duplicates_by_brute_force(spark):
     }
 
 
+def _family(seed, loose, tight):
+    """Variants of one text, most of them too different from all others, a few alike."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(600)]
+    docs = []
+    for i in range(loose + tight):
+        copy = list(base)
+        for at in draw.sample(range(5, 595, 5), 12 if i < loose else 4):
+            copy[at] = f"n{draw.randrange(10**9)}"
+        docs.append(" ".join(copy))
+    draw.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def _least_ids(docs, percent):
+    sets = {i: _set(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_few_links_inside_a_family_of_loose_variants(spark):
+    docs = _family(1, 300, 5)
+    want = _least_ids(docs, 85)
+    assert len(set(want.values())) == 301
+    got = rows(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_duplicates_on_odd_tables(odd_documents, no_documents):
     got = rows(near_dedup.near_duplicates(odd_documents))
     assert len(got) == odd_documents.count()
