@@ -37,7 +37,8 @@ def pack_runs(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.nd
     d, s, n = doc[order], start[order], size[order]
     cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
     count, docs = np.diff(np.concatenate((cut, [len(d)]))), d[cut]
-    part = (mix(hashes[docs].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    # by id too: copies of one text spread over all parts
+    part = (mix(ids[docs].astype(np.int64).view(np.uint64) ^ mix(hashes[docs].view(np.uint64))) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.diff(part[order], prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(order)]):

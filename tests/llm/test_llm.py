@@ -14,7 +14,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from check import compare
 from ledgerloom.llm import (
-    column_bwt, impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, superkmer, toxicity, warc_store,
+    column_bwt, impact_index, license_rules, near_dedup, pow2_pack, quality_sketch, source_mix, spans, superkmer, toxicity, warc_store,
 )
 from ledgerloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 from ledgerloom.llm.words import chunks, split_words
@@ -446,6 +446,15 @@ def test_byte_dedup_of_odd_tables(odd_documents, no_documents):
     assert column_bwt.drop_repeats(no_documents).count() == 0
 
 
+def test_marks_of_copies_spread_over_the_parts():
+    n = 4000
+    ids, hashes = np.arange(n) % 2000, np.full(n, -5)
+    found = list(spans.pack_runs(ids, hashes, np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64), 16))
+    assert len(found) == 16 and sum(r[1] for r in found) == n and max(r[1] for r in found) < n / 8
+    own = [set(np.frombuffer(r[2], "<i8").reshape(3, -1)[0].tolist()) for r in found]
+    assert sum(map(len, own)) == 2000  # a document has one part
+
+
 # 9 packing
 
 
