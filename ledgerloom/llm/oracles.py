@@ -170,3 +170,126 @@ FROM documents LEFT JOIN counted USING (doc_id)
 """
 
 OP3, OP6 = _op3(), _op6()
+
+
+#: CRC-32 of an ASCII expression, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}) + 1),
+  lambda i: [ascii(substr({0}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))))"""
+
+# edits as walks through the states start, system, user, assistant; insertions follow the turn they stand behind
+_STEPS = "(0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)"
+_INSERTIONS = "(0, 0, ''), (1, 0, ''), (2, 0, ''), (3, 0, ''), (0, 1, 'u'), (0, 2, 'ua'), (1, 1, 'u'), (1, 2, 'ua'), (2, 1, 'a'), (3, 1, 'u')"
+
+OP11 = f"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), marked AS (
+  SELECT *, {_CRC.format("k")} % 20 AS m FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE m WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN m = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM marked WHERE m <> 0
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM turns
+), steps(s, r, t) AS (VALUES {_STEPS}
+), inserted(s, n, roles) AS (VALUES {_INSERTIONS}
+), edits AS (
+  SELECT j.conv_id, j.i, e.*, text
+  FROM judged j, LATERAL (
+    SELECT 4 AS cost, 'D' AS edit, s, s AS t, '' AS out FROM range(4) q(s)
+    UNION ALL
+    SELECT CASE WHEN r = initial THEN 0 ELSE 3 END + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END,
+      CASE WHEN r = initial THEN 'K' ELSE 'R' END, s, t, CASE WHEN r = initial THEN role WHEN r = 'u' THEN 'user' ELSE 'assistant' END
+    FROM steps WHERE fault NOT IN ('blank', 'duplicate') AND (r = initial OR r <> 's')
+  ) e
+), moves AS (
+  SELECT conv_id, i, e.s, e.cost + 3 * n AS cost, edit || repeat('I', CAST(n AS INT)) AS audit,
+    CASE roles WHEN 'u' THEN 2 WHEN 'ua' THEN 3 WHEN 'a' THEN 3 ELSE t END AS t,
+    list_concat(CASE WHEN edit = 'D' THEN [] ELSE [out || ':' || text] END,
+      CASE roles WHEN 'u' THEN ['user:'] WHEN 'ua' THEN ['user:', 'assistant:'] WHEN 'a' THEN ['assistant:'] ELSE [] END) AS lines
+  FROM edits e JOIN inserted x ON x.s = e.t
+), walks(conv_id, i, t, best) AS (
+  SELECT conv_id, 0::BIGINT, CASE roles WHEN 'u' THEN 2 WHEN 'ua' THEN 3 ELSE 0 END,
+    {{'cost': (3 * n)::BIGINT, 'audit': repeat('I', CAST(n AS INT)),
+      'lines': CASE roles WHEN 'u' THEN ['user:'] WHEN 'ua' THEN ['user:', 'assistant:'] ELSE []::VARCHAR[] END}}
+  FROM (SELECT DISTINCT conv_id FROM turns), inserted WHERE s = 0
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.t, min({{'cost': (w.best.cost + m.cost)::BIGINT, 'audit': w.best.audit || m.audit, 'lines': list_concat(w.best.lines, m.lines)}})
+  FROM walks w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 AND m.s = w.t GROUP BY w.conv_id, w.i, m.t
+), found AS (
+  SELECT w.conv_id, min(best) AS best
+  FROM walks w JOIN (SELECT conv_id, max(i) AS n FROM turns GROUP BY conv_id) z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i
+  WHERE t IN (0, 3) GROUP BY w.conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM judged GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(f.best.cost, 0) AS cost, coalesce(f.best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(f.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.98 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+), reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.v FROM reached r JOIN links l ON l.u = r.other
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) USING (vec_id)
+LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u) USING (vec_id)
+"""
+
+OP13 = f"""
+WITH plain AS (
+  SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+), parted AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS r, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM plain
+), texts AS (
+  SELECT doc_id, n, CASE WHEN r THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE w END AS w
+  FROM parted
+), places AS (
+  SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+), grams AS (
+  SELECT doc_id, n, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS g, w[i + 1:i + 6] AS s
+  FROM (SELECT doc_id, n, w, unnest(range(n - 5)) AS i FROM texts WHERE n >= 12)
+), twice AS (
+  SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), pairs AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS p, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+  FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i AND a.s = b.s WHERE 2 * (b.i - a.i) <= a.n
+), spans AS (
+  SELECT doc_id, p, min(i) AS start, max(i) - min(i) + 6 + p AS length FROM pairs GROUP BY doc_id, p, island
+), runs AS (
+  SELECT doc_id, start, length, min(p) AS period FROM spans WHERE length >= 2 * p AND length >= 12 GROUP BY doc_id, start, length
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM places ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), best AS (
+  SELECT doc_id, count(*) AS n_runs, min({{'less': -length, 'start': start, 'period': period}}) AS b,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, -b.less AS length, b.period AS period, 1000 * -b.less // b.period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

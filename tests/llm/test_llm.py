@@ -26,7 +26,7 @@ def rows(df):
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries() if n[:2] == "op" and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries() if n[:2] == "op" and n[2].isdigit()} == set(range(1, 14))
     assert set(ORACLES) <= set(oracle_sql()) and "pipeline" in queries()
 
 
