@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.communities import place_nodes
 from ledgerloom.operators.walks import random_walks
 
 
@@ -57,10 +58,50 @@ def test_first_step_by_weight(spark):
 
 def test_walks_do_not_depend_on_partitioning(spark):
     a = random_walks(graph(spark, STAR), num_walks=2, length=8)
-    b = random_walks(graph(spark, STAR).repartition(5), num_walks=2, length=8, steps_per_block=3)
+    b = random_walks(graph(spark, STAR).repartition(5), num_walks=2, length=8, hot_walkers=3)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def rings(n, size):
+    """Rings of nodes with chords, joined by one edge to the next ring, and two hubs that know a part of all."""
+    edges = set()
+    for r in range(n):
+        at = 100 * r
+        for i in range(size):
+            edges |= {(at + i, at + (i + 1) % size), (at + i, at + (i + 3) % size)}
+        edges.add((at, 100 * ((r + 1) % n) + 1))
+        edges |= {(at + i, 9000 + i % 2) for i in range(0, size, 4)}
+    edges.add((9000, 9001))
+    return [(max(e), min(e), 1 + sum(e) % 4) for e in edges]
+
+
+@pytest.mark.parametrize("p, q", [(2.0, 1.0), (1.0, 3.0), (0.5, 0.5)])
+def test_walks_do_not_depend_on_placement(spark, p, q):
+    edges = graph(spark, rings(6, 12))
+    whole = random_walks(edges, num_walks=2, length=15, p=p, q=q, fan=8)
+    parts = random_walks(edges, num_walks=2, length=15, p=p, q=q, fan=8, part_entries=60, hot_walkers=20)
+    rows = lambda df: sorted((r.start, r.walk_no, tuple(r.path)) for r in df.collect())
+    found = rows(whole)
+    assert found == rows(parts)
+    allowed = {e[:2] for e in rings(6, 12)} | {e[1::-1] for e in rings(6, 12)}
+    assert all(len(path) == 15 and set(zip(path, path[1:])) <= allowed for _, _, path in found)
+
+
+def test_placement_keeps_communities_together(spark):
+    edges = [(a, b) for a, b, _ in rings(8, 12) if a < 9000]
+    both = spark.createDataFrame([(a, b, 1.0) for a, b in edges] + [(b, a, 1.0) for a, b in edges], "node bigint, nbr bigint, w double")
+    loads = both.groupBy("node").agg(F.count("*").cast("double").alias("load"))
+    placed = {r.node: r.part for r in place_nodes(both, loads, 60).collect()}
+    assert len(placed) == 96
+    load = Counter()
+    for a, b in edges:
+        load[placed[a]] += 1
+        load[placed[b]] += 1
+    assert len(load) > 1 and max(load.values()) <= 120
+    cut = sum(placed[a] != placed[b] for a, b in edges) / len(edges)
+    assert cut < 0.3  # at random it would be above 0.8
+
+
 def test_pair_goes_back_and_forth(spark):
     walks = random_walks(graph(spark, [(2, 1, 1)]), num_walks=1, length=5).collect()
     assert sorted(tuple(w.path) for w in walks) == [(1, 2, 1, 2, 1), (2, 1, 2, 1, 2)]
