@@ -106,16 +106,10 @@ def item_embeddings(spark, d):
 
 @query()
 def item_embeddings_by_factors(spark, d):
-    """The default method, named."""
+    """The factorisation of the mutual information that skip-gram stands for."""
     return E.embed_walks(_walks(spark, d), method="factors")
 
 
-@query()
-def item_embeddings_by_skipgram(spark, d):
-    """The trainer whose vectors must fit the driver."""
-    return E.embed_walks(_walks(spark, d), method="skipgram")
-
-
 @query(f"""
 WITH {COVIEW_SQL}, n AS (SELECT pid_1 AS node FROM edges UNION SELECT pid_2 FROM edges)
 SELECT count(*) AS items, 64 AS shortest, 64 AS longest FROM n

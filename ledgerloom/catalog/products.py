@@ -102,12 +102,12 @@ def _given_embeddings(spark, d):
 
 
 def _similar_sql(k):
-    # The rounded cosine ranks; the smaller id wins a tie.
+    # The full cosine ranks; the smaller id wins a tie.
     return f"""
 u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS pid, b.vec_id AS "similar", round(list_cosine_similarity(a.v, b.v), 6) AS cosine
+s AS (SELECT a.vec_id AS pid, b.vec_id AS "similar", list_cosine_similarity(a.v, b.v) AS full_cosine
       FROM u a JOIN u b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY cosine DESC, "similar") AS rank FROM s
+r AS (SELECT *, round(full_cosine, 6) AS cosine, row_number() OVER (PARTITION BY pid ORDER BY full_cosine DESC, "similar") AS rank FROM s
       QUALIFY rank <= {k})
 """
 
@@ -121,7 +121,7 @@ def similar_items(spark, d):
 @query(f'WITH {_similar_sql(3)} SELECT pid, "similar", cosine, rank FROM r')
 def similar_items_by_cells(spark, d):
     """The same by the way that serves many vectors."""
-    return find_similar(_given_embeddings(spark, d), k=3, small_rows=10, block_rows=100)
+    return find_similar(_given_embeddings(spark, d), k=3, small_rows=10, group_rows=100)
 
 
 @query(f"""

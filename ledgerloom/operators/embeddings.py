@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
-
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
@@ -12,42 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.operators.joins import attach_features
 from ledgerloom.operators.neighbours import nearest
 from ledgerloom.operators.sequence import with_row_id
+from ledgerloom.operators.skipgram import fit_skipgram
 from ledgerloom.session import materialize
 
-TOKENS_PER_PARTITION = 2_000_000
-
-
-def fit_embeddings(
-    walks: DataFrame, size: int = 64, window: int = 10, min_count: int = 1, iterations: int = 5, seed: int = 1
-):
-    """Skip-gram model of the walks; ids become text tokens.
-
-    Walks are trained whole, in partitions of a bounded number of tokens. The
-    trainer keeps one vector per item on the driver.
-    """
-    tokens, longest = walks.agg(F.sum(F.size("path")), F.max(F.size("path"))).first()
-    word2vec = Word2Vec(
-        vectorSize=size,
-        windowSize=window,
-        minCount=min_count,
-        maxIter=iterations,
-        seed=seed,
-        maxSentenceLength=max(1, longest or 0),
-        numPartitions=max(1, ceil((tokens or 0) / TOKENS_PER_PARTITION)),
-        inputCol="words",
-        outputCol="vector",
-    )
-    return word2vec.fit(walks.select(F.col("path").cast("array<string>").alias("words")))
-
-
-def embedding_table(model) -> DataFrame:
-    """(pid, embedding_vector) of a fitted skip-gram model."""
-    return model.getVectors().select(
-        F.col("word").cast("bigint").alias("pid"),
-        vector_to_array("vector", "float32").alias("embedding_vector"),
-    )
-
-
 def cooccurrences(walks: DataFrame, window: int = 10) -> DataFrame:
     """(a, b, n): how often ``b`` follows ``a`` within the window, in both directions."""
     size = F.size("path")
@@ -90,14 +55,13 @@ def factor_embeddings(walks: DataFrame, size: int = 64, window: int = 10, iterat
     )
 
 
-def embed_walks(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 1, method: str = "factors") -> DataFrame:
-    """(pid, embedding_vector): the distributed factorisation, at every size.
+def embed_walks(walks: DataFrame, size: int = 64, window: int = 10, seed: int = 1, method: str = "skipgram", epochs: int = 5) -> DataFrame:
+    """(pid, embedding_vector) by skip-gram with negative sampling, or by the factorisation it stands for (``"factors"``).
 
-    ``method="skipgram"`` asks for the skip-gram trainer, whose vectors must
-    fit the driver.
+    Both keep their vectors in partitions.
     """
     if method == "skipgram":
-        return embedding_table(fit_embeddings(walks, size, window, seed=seed))
+        return fit_skipgram(materialize(cooccurrences(walks, window), "pairs"), size, epochs, seed=seed)
     if method != "factors":
         raise ValueError(f"unknown method {method!r}")
     return factor_embeddings(walks, size, window, seed=seed)

@@ -67,7 +67,7 @@ def _reach(near: Column) -> Column:
 
 
 def smote(
-    df: DataFrame, features: str, label: str, k: int = 5, seed: int = 33, block_rows: int = 4096
+    df: DataFrame, features: str, label: str, k: int = 5, seed: int = 33, group_rows: int = 4096
 ) -> DataFrame:
     """Synthetic rows (features, label) that bring the smaller of two classes up to the larger.
 
@@ -92,7 +92,7 @@ def smote(
         vectors.select(F.col("vid").alias("qid"), F.col("x").alias("vec")),
         vectors.select(F.col("vid").alias("pid"), F.col("x").alias("vec")),
         k,
-        block_rows=block_rows,
+        group_rows=group_rows,
     )
     others = (
         near.join(vectors.select(F.col("vid").alias("pid"), F.col("x").alias("y"), F.col("n").alias("m")), "pid")

@@ -16,9 +16,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is within both bounds, by its rows and their bytes as text; both combine per task."""
-    count, width = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return count <= rows and (width or 0) <= size
+    """Whether ``df`` is within both bounds: first its rows, counted up to the bound, then their bytes as text."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= size
 
 
 def dealt(df: DataFrame) -> DataFrame:

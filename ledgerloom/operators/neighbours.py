@@ -5,27 +5,36 @@ Three ways give the same answer, chosen by measured size:
 * few points: they are sent to every task, queries stay where they are;
 * few queries: they are sent to every task, each task keeps the best ``k`` per
   query of all its points, and those are merged;
-* many of both: points are put into cells around sampled pivots. A query
-  first searches its own cell, which bounds its k-th distance, then only the
-  cells that the triangle inequality leaves possible. Cells and query lists
-  are cut into blocks, so a task never holds more than two blocks whatever
-  the size of a cell.
+* many of both: a file of vector approximations. Each number of a vector becomes
+  one byte, the nearest of 256 levels of its dimension, and each vector keeps
+  the distance to what its bytes stand for. Two such distances and that between
+  the approximations bound the distance of a pair from both sides. Bytes of
+  points, packed where they are read, stream past large groups of queries; a pair
+  whose lower bound is above the k-th upper bound of its query is out, and the
+  few that stay are compared in full.
+
+In the third way, points that are equal in all numbers are one, with the ids that
+can matter, and so are queries. Groups of queries lie around sampled pivots, and
+bytes do not go to groups that the triangle inequality rules out. There are about
+as many groups as cores, so what moves grows with the points and not with the
+pairs, until a group of queries is too large for a task; then more are made.
 
 Blocks are compared by matrix products of centred rows. Pairs that these leave
 possible, with their rounding, are compared again from differences, so large
 values and small distances rank right.
 
 Inputs are ``queries(qid bigint, vec array<double>)`` and
-``points(pid bigint, vec array<double>)`` with unique ids; a query never
-finds the point of its own id.
+``points(pid bigint, vec array<double>)`` with unique ids and vectors of one
+length; a query never finds the point of its own id.
 """
 
 from __future__ import annotations
 
-from math import ceil, isqrt
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.operators.joins import is_small
@@ -40,8 +49,27 @@ _PAIRS = 1 << 20
 _HITS = "qid bigint, pid bigint, score double"
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+# Groups of queries: at most so many, and so many queries in one.
+GROUPS, GROUP_ROWS = 1024, 200_000
+# Bytes of a packed row; levels of a dimension, and rows they are fitted on.
+PACKED_BYTES, LEVELS, SAMPLE = 8192, 256, 4096
+# Pairs compared at a time.
+_AT_ONCE = 1 << 21
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+
+
+def _as_batch(frame: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +133,8 @@ def _output(hits: DataFrame, cosine: bool) -> DataFrame:
 
 
 def _collected(df: DataFrame, id_col: str):
-    rows = df.select(id_col, "vec").toPandas()
-    return df.sparkSession.sparkContext.broadcast((rows[id_col].to_numpy(np.int64), _matrix(rows.vec)))
+    rows = df.select(id_col, "vec").toArrow()
+    return df.sparkSession.sparkContext.broadcast((rows[id_col].to_numpy().astype(np.int64), _matrix(rows["vec"])))
 
 
 def _near_few_points(few, k: int, cosine: bool):
@@ -114,7 +142,7 @@ def _near_few_points(few, k: int, cosine: bool):
         ids, matrix = few.value
         for batch in batches:
             if len(batch) and len(ids):
-                yield _best(batch.iloc[:, 0].to_numpy(np.int64), _matrix(batch.vec), ids, matrix, k, cosine)
+                yield _as_batch(_best(batch.column(0).to_numpy(), _matrix(batch.column("vec")), ids, matrix, k, cosine))
 
     return run
 
@@ -127,11 +155,11 @@ def _near_few_queries(few, k: int, cosine: bool):
         held = None
         for batch in batches:
             if len(batch) and len(ids):
-                hits = _best(ids, matrix, batch.iloc[:, 0].to_numpy(np.int64), _matrix(batch.vec), k, cosine)
+                hits = _best(ids, matrix, batch.column(0).to_numpy(), _matrix(batch.column("vec")), k, cosine)
                 both = hits if held is None else pd.concat([held, hits])
                 held = _keep(both.qid.to_numpy(), both.pid.to_numpy(), both.score.to_numpy(), k)
         if held is not None:
-            yield held
+            yield _as_batch(held)
 
     return run
 
@@ -150,7 +178,7 @@ def nearest(
     k: int,
     cosine: bool = False,
     small_rows: int = SMALL_ROWS,
-    block_rows: int = 4096,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(qid, pid, score, rank): the ``k`` nearest points of each query, rank from 1.
 
@@ -163,11 +191,11 @@ def nearest(
     if cosine:
         queries, points = _unit(queries), _unit(points)
     if is_small(points, small_rows, SMALL_BYTES):
-        found = queries.mapInPandas(_near_few_points(_collected(points, "pid"), k, cosine), _HITS)
+        found = queries.mapInArrow(_near_few_points(_collected(points, "pid"), k, cosine), _HITS)
     elif is_small(queries, min(small_rows, 2000), SMALL_BYTES):
-        found = points.select("pid", "vec").mapInPandas(_near_few_queries(_collected(queries, "qid"), k, cosine), _HITS)
+        found = points.select("pid", "vec").mapInArrow(_near_few_queries(_collected(queries, "qid"), k, cosine), _HITS)
     else:
-        found = _by_cells(queries, points, k, cosine, block_rows)
+        found = _by_bounds(queries, points, k, cosine, group_rows)
     return _output(_ranked(found, k), cosine)
 
 
@@ -175,95 +203,216 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(_squares(a, b)[0])
 
 
-def _by_cells(queries: DataFrame, points: DataFrame, k: int, cosine: bool, block_rows: int) -> DataFrame:
-    spark = points.sparkSession
-    n = points.count()
-    # cells of about sqrt(n) points; the list of pivots is the one thing here that every task holds
-    sample = points.orderBy(F.xxhash64("pid"), "pid").limit(max(1, isqrt(n))).select("vec").toPandas()
-    pivots = np.unique(_matrix(sample.vec), axis=0)
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def assign(id_col):
-        def run(batches):
-            for batch in batches:
-                if len(batch):
-                    rows = _matrix(batch.vec)
-                    d = _far(rows, shared.value)
-                    cell = d.argmin(1)
-                    away = _exact(rows, shared.value[cell], False)
-                    yield pd.DataFrame({id_col: batch[id_col], "vec": batch.vec, "cell": cell, "away": away})
-        return run
-
-    placed = materialize(
-        points.mapInPandas(assign("pid"), "pid bigint, vec array<double>, cell int, away double"), "cells"
-    )
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()
-    radius = np.full(len(pivots), -np.inf)
-    radius[cells.cell] = cells.radius
-    subs = {int(c): ceil(m / block_rows) for c, m in zip(cells.cell, cells.n)}
+class _Grid:
+    """Pivots, and for each dimension the ascending levels that a byte stands for; fitted on a sample."""
 
-    at_home = materialize(
-        queries.mapInPandas(assign("qid"), "qid bigint, vec array<double>, cell int, away double"), "queries"
-    )
-    own = at_home.select("qid", "vec", "cell")
-    first = materialize(_ranked(_scan(own, placed, subs, k, cosine, block_rows), k).drop("rank"), "own-cell")
-    kth = first.groupBy("qid").agg(F.count("*").alias("found"), F.max("score").alias("worst"))
-    # the smallest cosine found, turned into a distance between unit vectors
-    bound = F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("worst"))) if cosine else F.col("worst")
-    limited = at_home.join(kth, "qid", "left").select(
-        "qid", "vec", "cell", F.when(F.col("found") >= k, bound).otherwise(F.lit(float("inf"))).alias("bound")
-    )
+    def __init__(self, sample: np.ndarray, pivots: int):
+        self.pivots = np.unique(sample[:pivots], axis=0)
+        at = (np.arange(LEVELS) + 0.5) / LEVELS
+        self.levels = np.quantile(sample, at, axis=0)
+        self.middles = (self.levels[1:] + self.levels[:-1]) / 2
+
+    def codes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One byte a number, and the distance of each row to what its bytes stand for."""
+        out = np.empty(rows.shape, np.uint8)
+        for d in range(rows.shape[1]):
+            out[:, d] = np.searchsorted(self.middles[:, d], rows[:, d])
+        return out, np.sqrt(((rows - self.decoded(out)) ** 2).sum(1)) * (1 + 1e-9)
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(self.levels, codes.astype(np.int64), axis=0)
+
+    def cells(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot and the distance to it."""
+        cell = _far(rows, self.pivots).argmin(1)
+        return cell, _exact(rows, self.pivots[cell], False)
+
+
+_PACK = "cell int, n int, radius double, ids binary, codes binary, off binary"
+
+
+def _pack(grid):
+    """Rows (id, vec) of one cell packed into rows of bounded bytes, made where the rows are read."""
 
-    def route(batches):
+    def run(batches):
         for batch in batches:
-            if len(batch):
-                rows = _matrix(batch.vec)
-                d = _far(rows, shared.value)
-                extent = np.sqrt((rows * rows).sum(1)) + np.sqrt((shared.value**2).sum(1)).max() + 1e-300
-                open_ = d - radius[None, :] <= (batch.bound.to_numpy() + SLACK * extent)[:, None]
-                open_[:, ~np.isfinite(radius)] = False
-                open_[np.arange(len(batch)), batch.cell] = False
-                yield pd.DataFrame(
-                    {"qid": batch.qid, "vec": batch.vec, "cells": [np.flatnonzero(r).tolist() for r in open_]}
-                )
-
-    routes = materialize(limited.mapInPandas(route, "qid bigint, vec array<double>, cells array<int>"), "routes")
-    away = routes.select("qid", "vec", F.explode("cells").alias("cell"))
-    return first.union(_scan(away, placed, subs, k, cosine, block_rows))
-
-
-def _scan(routes: DataFrame, placed: DataFrame, subs: dict[int, int], k: int, cosine: bool, block_rows: int) -> DataFrame:
-    """Best ``k`` of each routed (query, cell), block against block.
-
-    Points and queries are packed, one row per block, before they are repeated
-    for the blocks of the other side, so rows that move grow with blocks.
-    """
-    spark = routes.sparkSession
-    load = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}
-    plan = [(c, subs[c], ceil(m / block_rows)) for c, m in load.items() if c in subs]
-    sizes = spark.createDataFrame(plan, "cell int, subs int, chunks int")
+            if not len(batch):
+                continue
+            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column("vec"))
+            codes, off = grid.value.codes(rows)
+            cell, away = grid.value.cells(rows)
+            order = np.argsort(cell, kind="stable")
+            size = max(1, PACKED_BYTES // (rows.shape[1] + 16))
+            out = []
+            for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                for at in range(0, len(part), size):
+                    own = part[at : at + size]
+                    out.append((int(cell[own[0]]), len(own), float(away[own].max()), ids[own].tobytes(), codes[own].tobytes(), off[own].tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _PACK.split(", ")]
+            )
+
+    return run
+
 
-    def packed(rows: DataFrame, id_col: str, part: str, count: str) -> DataFrame:
-        dealt = rows.join(F.broadcast(sizes), "cell").withColumn(part, F.pmod(F.xxhash64(id_col), F.col(count)).cast("int"))
+class _Group:
+    """The queries of one task: decoded rows, bounds so far, and pairs that are still possible."""
+
+    def __init__(self, grid: _Grid, pieces: list[tuple], k: int):
+        self.grid, self.k = grid, k
+        self.ids = np.concatenate([np.frombuffer(p[0], np.int64) for p in pieces])
+        codes = np.concatenate([np.frombuffer(p[1], np.uint8) for p in pieces]).reshape(len(self.ids), -1)
+        self.rows = grid.decoded(codes)
+        self.off = np.concatenate([np.frombuffer(p[2], np.float64) for p in pieces])
+        self.bound = np.full(len(self.ids), np.inf)
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, off: np.ndarray) -> None:
+        """Compare all queries with some points."""
+        step = max(1, _AT_ONCE // len(ids))
+        for at in range(0, len(self.ids), step):
+            part = slice(at, at + step)
+            square, slack = _squares(self.rows[part], rows)
+            far = np.sqrt(square)
+            # the square root of the rounding bounds the error of the root
+            spread = self.off[part][:, None] + off[None, :] + np.sqrt(slack)[:, None]
+            if len(ids) >= self.k:
+                kth = np.partition(far + spread, self.k - 1, axis=1)[:, self.k - 1]
+                self.bound[part] = np.minimum(self.bound[part], kth)
+            low = far - spread
+            i, j = np.nonzero(low <= self.bound[part][:, None])
+            self.pairs.append((i + at, ids[j], low[i, j]))
+            self.held += len(i)
+        if self.held > 4 * self.k * len(self.ids) + _PAIRS:
+            self.thin()
+
+    def thin(self) -> None:
+        i, j, low = (np.concatenate(x) for x in zip(*self.pairs))
+        ok = low <= self.bound[i]
+        self.pairs = [(i[ok], j[ok], low[ok])]
+        self.held = int(ok.sum())
+
+    def possible(self) -> pa.RecordBatch:
+        if not self.pairs:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["qid", "pid"])
+        self.thin()
+        i, j, _ = self.pairs[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(j)], ["qid", "pid"])
+
+
+def _stream(grid, k: int):
+    """Possible pairs of each group: its queries come first, then points, nearest cells first."""
 
-        def pack(key, rows):
-            return pd.DataFrame({
-                "cell": [key[0]], part: [key[1]], "ids": [rows[id_col].to_numpy(np.int64).tobytes()],
-                "rows": [_matrix(rows.vec).tobytes()],
-            })
+    def run(batches):
+        key, pieces, group = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("home", "part", "side", "ids", "codes", "off")]
+            points: list[tuple] = []
+            for home, part, side, *piece in zip(*columns):
+                if (home, part) != key:
+                    if group is not None:
+                        _meet(group, points)
+                        points = []
+                        yield group.possible()
+                    key, pieces, group = (home, part), [], None
+                if side == 0:
+                    pieces.append(tuple(piece))
+                    continue
+                if group is None:
+                    if not pieces:  # no query was dealt to this group
+                        continue
+                    group = _Group(grid.value, pieces, k)
+                points.append(tuple(piece))
+                if len(points) >= 16:
+                    _meet(group, points)
+                    points = []
+            if group is not None:
+                _meet(group, points)
+        if group is not None:
+            yield group.possible()
+
+    return run
 
-        made = dealt.groupBy("cell", part).applyInPandas(pack, f"cell int, {part} int, ids binary, rows binary")
-        return materialize(made, f"blocks-{id_col}")
 
-    asked = packed(routes, "qid", "chunk", "chunks").withColumnsRenamed({"ids": "qids", "rows": "asked"})
-    held = packed(placed, "pid", "sub", "subs")
-    meet = asked.join(held, "cell")
+def _meet(group: _Group, points: list[tuple]) -> None:
+    if points:
+        met = _Group(group.grid, points, group.k)
+        group.meet(met.ids, met.rows, met.off)
 
-    def search(batches):
+
+def _rescore(cosine: bool):
+    def run(batches):
         for batch in batches:
-            for q_ids, q, p_ids, p in zip(batch.qids, batch.asked, batch.ids, batch.rows):
-                q_ids, p_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(p_ids, np.int64)
-                q, p = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((q, q_ids), (p, p_ids)))
-                yield _best(q_ids, q, p_ids, p, k, cosine)
+            score = _exact(_matrix(batch.column("q")), _matrix(batch.column("p")), cosine)
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("pid"), pa.array(score)], ["qid", "pid", "score"])
+
+    return run
 
-    return meet.select("qids", "asked", "ids", "rows").mapInPandas(search, _HITS)
+
+def _by_bounds(queries: DataFrame, points: DataFrame, k: int, cosine: bool, group_rows: int) -> DataFrame:
+    spark = points.sparkSession
+
+    def marked(df: DataFrame, id_col: str) -> DataFrame:
+        """Two hashes of the vector; -0.0 is 0.0."""
+        plain = F.transform("vec", lambda x: x + 0.0)
+        return df.select(id_col, "vec", F.xxhash64(F.lit(1), plain).alias("lo"), F.xxhash64(F.lit(2), plain).alias("hi"))
+
+    # Of points that are equal, the k + 1 of least id can be among the k nearest of a query.
+    copies = marked(points, "pid")
+    twins = Window.partitionBy("lo", "hi").orderBy("pid")
+    few = copies.withColumn("_n", F.row_number().over(twins)).where(F.col("_n") <= k + 1).drop("_n")
+    held = materialize(few, "points")
+    once = materialize(held.groupBy("lo", "hi").agg(F.min("pid").alias("pid"), F.first("vec").alias("vec"), F.count("*").alias("n")), "distinct-points")
+    asked = materialize(marked(queries, "qid"), "queries")
+    first = materialize(asked.groupBy("lo", "hi").agg(F.min("qid").alias("qid"), F.first("vec").alias("vec")), "distinct-queries")
+    n = once.count()
+    # A bounded sample: it decides how much is moved and compared, not the answer.
+    some = _matrix(once.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE).select("vec").toArrow()["vec"]) if n else np.zeros((1, 1))
+    cores = spark.sparkContext.defaultParallelism
+    grid = spark.sparkContext.broadcast(_Grid(some, max(1, min(GROUPS, 2 * cores, n // 1000))))
+    blocks = materialize(once.select("pid", "vec").mapInArrow(_pack(grid), _PACK), "point-bytes")
+    groups = materialize(first.select("qid", "vec").mapInArrow(_pack(grid), _PACK), "query-bytes")
+
+    def cells(df: DataFrame):
+        """Radius and rows of each cell; as many rows as pivots."""
+        found = df.groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).toPandas().set_index("cell")
+        return found
+
+    here, there = cells(groups), cells(blocks)
+    pivots = grid.value.pivots
+    apart = _far(pivots, pivots)
+    plan = []
+    for home, radius, rows in here.itertuples():
+        reach = apart[home, there.index] + radius + there.radius.to_numpy()
+        order = np.argsort(reach)
+        # cells that hold k + 1 points for sure bound the k-th distance of every query of the group
+        enough = np.searchsorted(np.cumsum(there.n.to_numpy()[order]), k + 1)
+        bound = reach[order[enough]] if enough < len(order) else np.inf
+        low = apart[home, there.index] - radius - there.radius.to_numpy()
+        slack = SLACK * (np.abs(pivots).max() * pivots.shape[1] + radius)
+        for cell, least in zip(there.index, low):
+            if least <= bound + slack:
+                plan += [(int(home), part, int(cell), float(least)) for part in range(ceil(rows / group_rows))]
+    parts = spark.createDataFrame([(int(h), ceil(x / group_rows)) for h, _, x in here.itertuples()], "cell int, parts int")
+    routes = spark.createDataFrame(plan, "home int, part int, cell int, low double")
+    piece = ["ids", "codes", "off"]
+    own = groups.join(parts, "cell").select(
+        F.col("cell").alias("home"), F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"),
+        F.lit(None).cast("double").alias("low"), *piece,
+    )
+    far = blocks.join(routes, "cell").select("home", "part", F.lit(1).alias("side"), "low", *piece)
+    order = ["home", "part", "side", "low"]
+    stream = own.unionByName(far).repartition(max(cores, len({p[:2] for p in plan})), "home", "part").sortWithinPartitions(*order)
+    possible = materialize(stream.mapInArrow(_stream(grid, k + 1), "qid bigint, pid bigint"), "possible")
+    # what the bounds leave is compared in full, once for equal vectors, then ids are put back
+    pairs = possible.join(once.select("pid", F.col("vec").alias("p"), "lo", "hi"), "pid").join(first.select("qid", F.col("vec").alias("q")), "qid")
+    scored = pairs.select("qid", "pid", "q", "p").mapInArrow(_rescore(cosine), _HITS)
+    scored = materialize(_ranked(scored, k + 1).select("qid", "pid", "score"), "scored")
+    keys = once.select(F.col("pid").alias("rep"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))
+    ids = held.select(F.col("lo").alias("plo"), F.col("hi").alias("phi"), "pid")
+    full = scored.withColumnRenamed("pid", "rep").join(keys, "rep").join(ids, ["plo", "phi"]).select("qid", "pid", "score")
+    full = materialize(_ranked(full, k + 1).select(F.col("qid").alias("rep"), "pid", "score"), "ranked")
+    back = asked.select("qid", "lo", "hi").join(first.select(F.col("qid").alias("rep"), "lo", "hi"), ["lo", "hi"]).select("qid", "rep")
+    return back.join(full, "rep").where("qid <> pid").select("qid", "pid", "score")

@@ -37,6 +37,7 @@ _STATE = (
     "cand long, cand_part long, cand_copies int, part long, copies int"
 )
 _PLAIN, _ROOT, _PIECE = 0, 1, 2
+_ENTRY = [f"entries.{c} AS e_{c}" for c in ("id", "w", "part", "copies")]
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -67,7 +68,29 @@ class _Stations:
         hub = F.col("degree") > fan
         pieces = F.when(hub, F.ceil(F.sqrt("degree"))).otherwise(0).cast("int")
         stats = stats.withColumn("pieces", pieces)
-        whole = (entries or 0) <= part_entries
+        self.cores = spark.sparkContext.defaultParallelism
+        self.room = max(1, min(walkers_per_task, ceil(self.walkers / self.cores)))
+        if (entries or 0) <= part_entries and not stats.where(hub).limit(1).count():
+            self._one_part(links, stats)
+        else:
+            self._many_parts(links, stats, hub, total or 1.0, num_walks, part_entries, (entries or 0) <= part_entries)
+
+    def _one_part(self, links: DataFrame, stats: DataFrame) -> None:
+        """A graph that fits one task and has no hub: every copy holds all of it."""
+        copies = max(1, ceil(self.walkers / self.room))
+        here, every = F.lit(0).cast("long"), F.lit(copies)
+        self.starts = stats.select("node", here.alias("part"), every.alias("copies"))
+        entry = F.struct(F.col("nbr").alias("id"), "w", here.alias("part"), every.alias("copies"))
+        leaves = links.groupBy("node").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        stations = leaves.select(
+            here.alias("part"), F.explode(F.sequence(F.lit(0), every - 1)).alias("copy"), every.alias("copies"), "node", F.lit(-1).alias("piece"),
+            F.lit(0).alias("pieces"), F.lit(_PLAIN).alias("kind"), here.alias("home"), every.alias("home_copies"), *map(F.expr, _ENTRY),
+        )
+        self.name = self.path = None
+        self.table = materialize(stations, "stations")
+
+    def _many_parts(self, links: DataFrame, stats: DataFrame, hub, total: float, num_walks: int, part_entries: int, whole: bool) -> None:
+        spark = links.sparkSession
         if whole:
             placed = stats.withColumn("part", F.lit(0).cast("long"))
         else:
@@ -79,25 +102,24 @@ class _Stations:
             # Parts of hubs and their pieces are below zero.
             own = -1 - F.pmod(F.xxhash64("node"), F.lit(of_hubs))
             placed = stats.join(found, "node", "left").withColumn("part", F.coalesce("part", own))
-        self.nodes = materialize(placed.select("node", "part", "pieces", "weight"), "placed")
+        nodes = materialize(placed.select("node", "part", "pieces", "weight"), "placed")
         in_piece = F.when(F.col("pieces") > 0, F.crc32(F.col("nbr").cast("string").cast("binary")) % F.col("pieces")).otherwise(-1).cast("int")
         piece_part = F.lit(0).cast("long") if whole else -1 - F.pmod(F.xxhash64("node", "piece"), F.lit(of_hubs))
         lists = (
-            links.join(self.nodes.select("node", "pieces", F.col("part").alias("home")), "node")
+            links.join(nodes.select("node", "pieces", F.col("part").alias("home")), "node")
             .withColumn("piece", in_piece)
             .withColumn("part", F.when(F.col("piece") < 0, F.col("home")).otherwise(piece_part))
         )
         lists = lists.select("node", "piece", "pieces", "part", "home", "nbr", "w")
         # A part's copies follow from the walkers that are there at the start, or in the long run.
-        cores = spark.sparkContext.defaultParallelism
-        room = max(1, min(walkers_per_task, ceil(self.walkers / cores)))
-        share = F.col("weight") / F.lit(total or 1.0) * self.walkers
-        visits = self.nodes.select("part", "weight", F.lit(num_walks).alias("starts")).union(
+        share = F.col("weight") / F.lit(total) * self.walkers
+        visits = nodes.select("part", "weight", F.lit(num_walks).alias("starts")).union(
             lists.where("piece >= 0").groupBy("part").agg(F.sum("w").alias("weight")).select("part", "weight", F.lit(0))
         )
-        copies = F.ceil(F.greatest(F.sum(share), F.sum("starts")) / room).cast("int")
-        self.copies = materialize(visits.groupBy("part").agg(F.greatest(copies, F.lit(1)).alias("copies")), "copies")
-        at = self.nodes.join(self.copies, "part").select(F.col("node").alias("nbr"), F.col("part").alias("to_part"), F.col("copies").alias("to_copies"))
+        copies = F.ceil(F.greatest(F.sum(share), F.sum("starts")) / self.room).cast("int")
+        at_part = materialize(visits.groupBy("part").agg(F.greatest(copies, F.lit(1)).alias("copies")), "copies")
+        self.starts = nodes.join(at_part, "part").select("node", "part", "copies")
+        at = self.starts.select(F.col("node").alias("nbr"), F.col("part").alias("to_part"), F.col("copies").alias("to_copies"))
         entry = F.struct(F.col("nbr").alias("id"), "w", F.col("to_part").alias("part"), F.col("to_copies").alias("copies"))
         leaves = (
             lists.join(at, "nbr").groupBy("node", "piece")
@@ -105,25 +127,24 @@ class _Stations:
         )
         leaves = materialize(leaves, "neighbours")
         weight = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"])
-        parts = leaves.where("piece >= 0").join(self.copies, "part")
+        parts = leaves.where("piece >= 0").join(at_part, "part")
         parted = F.struct(F.col("piece").cast("long").alias("id"), weight.alias("w"), "part", "copies")
         roots = parts.groupBy("node").agg(F.first("pieces").alias("pieces"), F.first("home").alias("part"), F.sort_array(F.collect_list(parted)).alias("entries"))
         kind = F.when(F.col("piece") < 0, _PLAIN).otherwise(_PIECE)
         stations = leaves.select("node", "piece", "pieces", kind.alias("kind"), "part", "home", "entries").unionByName(
             roots.select("node", F.lit(-1).alias("piece"), "pieces", F.lit(_ROOT).alias("kind"), "part", F.col("part").alias("home"), "entries")
         )
-        homes = self.copies.select(F.col("part").alias("home"), F.col("copies").alias("home_copies"))
-        columns = [F.col(f"entries.{c}").alias(f"e_{c}") for c in ("id", "w", "part", "copies")]
-        stations = stations.join(self.copies, "part").join(homes, "home").select(
-            "part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "copies", "node", "piece", "pieces", "kind", "home", "home_copies", *columns
+        homes = at_part.select(F.col("part").alias("home"), F.col("copies").alias("home_copies"))
+        stations = stations.join(at_part, "part").join(homes, "home").select(
+            "part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "copies", "node", "piece", "pieces", "kind", "home", "home_copies", *map(F.expr, _ENTRY)
         )
-        self.groups = self.copies.agg(F.sum("copies")).first()[0] or 1
+        groups = at_part.agg(F.sum("copies")).first()[0] or 1
         self.name = self.path = None
         if whole:
             self.table = materialize(stations, "stations")
         else:
             self.path, self.name = scratch_path(spark, "stations"), f"ledgerloom_stations_{uuid.uuid4().hex}"
-            buckets = int(min(max(self.groups, cores), 20_000))
+            buckets = int(min(max(groups, self.cores), 20_000))
             stations.repartition(buckets, "part", "copy").write.bucketBy(buckets, "part", "copy").sortBy("part", "copy").option(
                 "path", self.path
             ).saveAsTable(self.name)
@@ -395,7 +416,7 @@ def random_walks(
     stations = _Stations(edges, fan, num_walks, hot_walkers, part_entries)
     move = _mover(length, p, q, seed)
     no = F.lit(None).cast("long")
-    state = stations.nodes.join(stations.copies, "part").select(
+    state = stations.starts.select(
         F.col("node").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(num_walks))).alias("walk_no"), F.col("node").alias("cur"),
         F.lit(-1).alias("piece"), no.alias("prev"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("t"),
         no.alias("cand"), F.lit(0).cast("long").alias("cand_part"), F.lit(0).alias("cand_copies"), "part", "copies",

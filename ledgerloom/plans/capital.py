@@ -5,8 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerloom.functions.columns import (
@@ -23,10 +22,11 @@ from ledgerloom.functions.columns import (
 )
 from ledgerloom.functions.frames import rename
 from ledgerloom.operators.aggregates import entity_features, pivot_sums, row_percent, sum_by_week
+from ledgerloom.operators.boosting import BoostedTrees, fit_boosted
 from ledgerloom.operators.features import hash_split
 from ledgerloom.operators.joins import attach_features, net_by_week
 from ledgerloom.operators.profile import correlated_columns
-from ledgerloom.session import materialize, spread, temporary_tables
+from ledgerloom.session import materialize, temporary_tables
 
 # Input column names, and the levels the models are trained with.
 RECEIVABLE_NAMES = {
@@ -193,21 +193,16 @@ def fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, s
 
 
 def _fit_delay(rows: DataFrame, features: list[str], key: str, iterations: int, seed: int) -> DelayFit:
-    zeros = ", ".join(f"CAST(coalesce(`{c}`, 0) AS DOUBLE) AS x{i}" for i, c in enumerate(features))
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="features"),
-    ]
-    ready = PipelineModel(stages=stages).transform(rows).select(
-        key, F.coalesce("delay", F.lit(0)).cast("double").alias("label"), "features"
-    )
-    train, test = hash_split(materialize(ready, "delay"), key, 0.7, seed)
-    trees = GBTRegressor(maxIter=iterations, maxDepth=3, stepSize=0.1, seed=seed).fit(spread(train))
-    fit = DelayFit(
-        PipelineModel(stages=[*stages, trees]), features, [float(x) for x in trees.featureImportances.toArray()]
-    )
+    columns = [f"x{i}" for i in range(len(features))]
+    zeros = ", ".join(f"CAST(coalesce(`{c}`, 0) AS DOUBLE) AS {x}" for c, x in zip(features, columns))
+    ready = SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__")
+    label = F.coalesce("delay", F.lit(0)).cast("double").alias("label")
+    train, test = hash_split(materialize(ready.transform(rows).select(key, label, *columns), "delay"), key, 0.7, seed)
+    trees = fit_boosted(train, columns, rounds=iterations, depth=3, step=0.2)
+    predict = BoostedTrees(inputCols=columns, model=trees.to_json())
+    fit = DelayFit(PipelineModel(stages=[ready, predict]), features, trees.importances)
     for name, part in (("train", train), ("test", test)):
-        fit.scores[f"{name}_r2"], fit.scores[f"{name}_mse"] = regression_scores(trees.transform(part))
+        fit.scores[f"{name}_r2"], fit.scores[f"{name}_mse"] = regression_scores(predict.transform(part))
     return fit
 
 

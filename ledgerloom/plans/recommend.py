@@ -16,7 +16,7 @@ from ledgerloom.session import materialize
 
 
 def item_embeddings(edges: DataFrame, num_walks: int = 10, length: int = 50, p: float = 2.0, q: float = 1.0,
-                    size: int = 64, seed: int = 1, method: str = "factors") -> DataFrame:
+                    size: int = 64, seed: int = 1, method: str = "skipgram") -> DataFrame:
     """(pid, embedding_vector) of every product of the co-view graph."""
     walks = materialize(random_walks(edges, num_walks, length, p, q, seed), "walks")
     return embed_walks(walks, size=size, seed=seed, method=method)

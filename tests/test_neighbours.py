@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import smote
 from ledgerloom.operators.neighbours import nearest
+from ledgerloom.session import materialize
 
 
 def brute(q, p, k, cosine):
@@ -29,15 +30,15 @@ def frame(spark, rows, name):
 
 
 @pytest.mark.parametrize("cosine", [False, True])
-@pytest.mark.parametrize("way", ["few points", "few queries", "cells"])
+@pytest.mark.parametrize("way", ["few points", "few queries", "bounds"])
 def test_ways_equal_brute_force(spark, way, cosine):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(240, 4)), 1)
     x[100:180] = x[100]  # a third of the rows are copies
     rows = list(enumerate(x))
     asked = rows[::9] if way == "few queries" else rows
-    small = {"few points": 1000, "few queries": 50, "cells": 5}[way]
-    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 3, cosine, small_rows=small, block_rows=16)
+    small = {"few points": 1000, "few queries": 50, "bounds": 5}[way]
+    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 3, cosine, small_rows=small, group_rows=40)
     assert {(r.qid, r.pid, r["rank"]) for r in got.collect()} == brute(asked, rows, 3, cosine)
 
 
@@ -48,7 +49,7 @@ def test_large_values_and_small_distances(spark, small):
     close = 1e6 + rng.integers(0, 4000, size=(90, 2)) * 0.01
     rows = list(enumerate(np.concatenate([far, close])))
     asked = rows[::6] if small == 50 else rows
-    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 3, small_rows=small, block_rows=32)
+    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 3, small_rows=small, group_rows=40)
     want = set()
     for i, x in asked:
         d = sorted((float(np.sqrt(((x - y) ** 2).sum())), j) for j, y in rows if j != i)
@@ -61,7 +62,7 @@ def test_few_queries_give_one_row_a_task(spark):
 
     points = frame(spark, list(enumerate(np.random.default_rng(1).normal(size=(25_000, 2)))), "pid").coalesce(1)
     few = N._collected(frame(spark, [(-1, np.zeros(2))], "qid"), "qid")
-    assert points.mapInPandas(N._near_few_queries(few, 1, False), N._HITS).count() == 1
+    assert points.mapInArrow(N._near_few_queries(few, 1, False), N._HITS).count() == 1
 
 
 def test_fewer_points_than_wanted(spark):
@@ -112,3 +113,38 @@ def test_oversampling_of_copies_only(spark):
 def test_equal_classes_need_nothing(spark):
     df = spark.createDataFrame([([1.0], 1), ([2.0], 0)], "x array<double>, y int")
     assert smote(df, "x", "y").count() == 0
+
+
+def test_bytes_moved_grow_with_the_points(spark, monkeypatch):
+    """Rows that meet the groups, at two sizes: the number of groups stays, so they grow with the points."""
+    from ledgerloom.operators import neighbours as N
+
+    moved = {}
+
+    def counting(df, label):
+        made = materialize(df, label)
+        if label == "point-bytes":
+            moved[size] = made.agg(F.sum(F.octet_length("codes"))).first()[0]
+        return made
+
+    monkeypatch.setattr(N, "materialize", counting)
+    rng = np.random.default_rng(3)
+    for size in (20_000, 80_000):
+        rows = frame(spark, list(enumerate(np.round(rng.normal(size=(size, 8)), 2))), "pid")
+        asked = frame(spark, [(10**6 + i, v) for i, v in enumerate(rng.normal(size=(300, 8)))], "qid")
+        assert nearest(asked, rows, 2, small_rows=10).count() == 600
+    assert moved[80_000] < 4.2 * moved[20_000] and moved[80_000] < 80_000 * 8 * 1.01
+
+
+def test_bounds_hold_for_the_levels(spark):
+    from ledgerloom.operators import neighbours as N
+
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([rng.normal(size=(500, 5)), rng.normal(size=(20, 5)) * 1e6])
+    grid = N._Grid(rows[:200], 7)
+    codes, off = grid.codes(rows)
+    near = grid.decoded(codes)
+    true = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    rough = np.sqrt(((near[:, None] - near[None]) ** 2).sum(2))
+    spread = off[:, None] + off[None] + 1e-6
+    assert (rough - spread <= true).all() and (true <= rough + spread).all()
