@@ -47,8 +47,8 @@ BLOCK, TABLE, TABLES = 8, 16, 8
 SCALE, AT = 5.0, 5000
 # Share of half the distance at the threshold within which cells are probed.
 SHARE = 0.35
-# Members of a piece, expected.
-PIECE = 512
+# Pieces of a group: of so many members, expected, up to a number of pieces; then pieces grow up to the second bound.
+PIECE, PIECES, LARGEST = 128, 32, 4096
 _CHUNK = 1024
 
 
@@ -279,9 +279,10 @@ def near_duplicate_vectors(
     members = keep(entered.join(shared, "cell"))
     leaders = keep(members.groupBy("k").agg(F.min("first").alias("leader")))
     sizes = leaders.groupBy("leader").agg(F.count("*").alias("size"))
+    parts = F.greatest(F.least(F.ceil(F.col("size") / PIECE), F.lit(PIECES)), F.ceil(F.col("size") / LARGEST))
     placed = keep(
         leaders.join(sizes, "leader")
-        .select("k", "leader", F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / PIECE)).cast("int").alias("piece"))
+        .select("k", "leader", F.pmod(F.xxhash64("k"), parts).cast("int").alias("piece"))
         .join(classes.select("k", "copies", "vector"), "k")
     )
     # groups that meet in a cell, each with itself
