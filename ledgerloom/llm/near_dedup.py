@@ -2,7 +2,8 @@
 
 1. One pass gives each document its set of five-word shingles as 64-bit
    hashes, the least hash in each of 384 bins of one permutation, the empty
-   bins filled by optimal densification, and 48 keys of bands of eight bins.
+   bins filled by optimal densification, and keys of bands of eight bins (48)
+   from a threshold of 85 in 100 on, of seven (54) below.
    Documents with equal sets are one class from here on.
 2. A bucket is a band key that two classes share. It gives a star of candidate
    edges from its smallest member, so pairs grow with members, not with their
@@ -18,7 +19,8 @@
 6. Classes are the connected components of all links, found by passing on
    least ids and jumping along them.
 
-A pair at the threshold shares no band with chance (1 - 0.85^8)^48 = 2e-7.
+A pair at the threshold shares no band with chance (1 - 0.85^8)^48 = 2e-7 at 85
+in 100, and (1 - 0.8^7)^54 = 3e-6 at 80.
 
 Cases: a text without words, and a row without id, is linked with nothing; a
 text of one to four words has its whole sequence as its only shingle; repeated
@@ -40,7 +42,7 @@ from ledgerloom.llm.words import chunks, grams, hash_strings, mix, split_words,
 from ledgerloom.session import drop_path, scratch_path
 
 SHINGLE = 5
-BINS, ROWS = 384, 8
+BINS = 384
 CENTRES = 2
 _NONE = np.iinfo(np.uint64).max
 
@@ -86,28 +88,41 @@ def bin_minima(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Bins of a band."""
+    return 8 if percent >= 85 else 7
+
+
+def band_keys(minima: np.ndarray, rows: int = 8) -> np.ndarray:
     bands = minima.shape[1] // rows
+    minima = np.ascontiguousarray(minima[:, : bands * rows])
     keys = grams(minima.reshape(-1), rows)[::rows].reshape(-1, bands) if len(minima) else np.zeros((0, bands), np.uint64)
     return mix(keys ^ mix(np.arange(1, bands + 1)))
 
 
-def _sketch(batches):
-    for chunk in chunks(batches, "text"):
-        sets = shingle_sets(chunk["text"])
-        minima = bin_minima(sets)
-        keys = band_keys(minima).view(np.int64)
-        digests = [struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest()) if len(s) else (None, None) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                chunk["id"].combine_chunks(), chunk["hash"].combine_chunks(),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
-                pa.array([row.tobytes() for row in minima.astype(np.uint8)], pa.binary()),
-            ],
-            ["id", "hash", "n", "lo", "hi", "keys", "bins"],
-        )
+def _sketch(rows: int):
+    def run(batches):
+        for chunk in chunks(batches, "text"):
+            yield _sketched(chunk, rows)
+
+    return run
+
+
+def _sketched(chunk: pa.Table, rows: int) -> pa.RecordBatch:
+    sets = shingle_sets(chunk["text"])
+    minima = bin_minima(sets)
+    keys = band_keys(minima, rows).view(np.int64)
+    digests = [struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest()) if len(s) else (None, None) for s in sets]
+    return pa.RecordBatch.from_arrays(
+        [
+            chunk["id"].combine_chunks(), chunk["hash"].combine_chunks(),
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
+            pa.array([row.tobytes() for row in minima.astype(np.uint8)], pa.binary()),
+        ],
+        ["id", "hash", "n", "lo", "hi", "keys", "bins"],
+    )
 
 
 def _likely(percent: int):
@@ -242,7 +257,7 @@ def components(links: DataFrame, keep) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, _hash (xxhash64 of the text), n_shingles, component_id, kept.
 
     Links hold between documents with ``100 * intersection >= percent * union``.
@@ -251,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = _Tables(spark)
     keep = tables.keep
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    facts = keep(source.mapInArrow(_sketch, "id long, hash long, n long, lo long, hi long, keys array<long>, bins binary"))
+    facts = keep(source.mapInArrow(_sketch(band_rows(percent)), "id long, hash long, n long, lo long, hi long, keys array<long>, bins binary"))
     classes = keep(
         facts.where("lo is not null and id is not null").groupBy("lo", "hi")
         .agg(F.min(F.struct("id", "n", "keys", "bins")).alias("least")).select("lo", "hi", "least.*")

@@ -31,7 +31,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query
 def op1_minhash_dedup(spark, sf_dir):
     """Components of documents whose shingle sets are similar to 85 in 100."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("_hash")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("_hash")
 
 
 @query
