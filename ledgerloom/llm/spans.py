@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerloom.llm.words import mix, ragged, runs
 
@@ -82,44 +82,49 @@ def with_runs(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, sch
     """All rows and columns of ``docs`` and those that ``judge(text bytes, starts, sizes)`` adds.
 
     Texts are compressed before the shuffle of the join. ``judge`` returns one
-    tuple a row, in the order of ``schema``.
+    tuple a row, in the order of ``schema``. The caller's columns travel by
+    place, whatever their names; one that has the name of an added column is
+    left out.
     """
-    fields = [f for f in docs.schema if f.name != text_col]
-    names = [f.name for f in fields]
-    others = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    added = pa.schema([])
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    for part in schema.split(","):
-        name, kind = part.split()
-        added = added.append(pa.field(name, kinds[kind]))
+    names = docs.columns
+    kinds = {"string": (T.StringType(), pa.string()), "long": (T.LongType(), pa.int64()), "binary": (T.BinaryType(), pa.binary())}
+    added = [(name, *kinds[kind]) for name, kind in (part.split() for part in schema.split(","))]
+    new = [name for name, _, _ in added]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = F.col(f"c{names.index(text_col)}")
+    keyed = plain.select(
+        F.struct(*(f"c{i}" for i, name in enumerate(names) if name != text_col)).alias("row"),
+        F.coalesce(F.col(f"c{names.index(id_col)}").cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"),
+    )
+    row = keyed.schema["row"]
 
     def shrink(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            zipped = pa.array([None if t is None else pack.compress(t.encode()) for t in batch.column("_text").to_pylist()], pa.binary())
-            columns = [batch.column(i) for i in range(len(names) + 2)]
-            yield pa.RecordBatch.from_arrays([*columns, zipped], [*names, "_id", "_hash", "_zip"])
+            zipped = pa.array([None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "hash")), zipped], ["row", "id", "hash", "zip"])
 
-    keyed = docs.select(
-        *names, F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("_id"), F.xxhash64(text_col).alias("_hash"),
-        F.col(text_col).alias("_text"),
-    ).mapInArrow(shrink, f"{others}_id long, _hash long, _zip binary")
-    joined = keyed.join(marks, (keyed["_id"] == marks["id"]) & (keyed["_hash"] == marks["hash"]), "left")
+    zipped = keyed.mapInArrow(
+        shrink, T.StructType([row, T.StructField("id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("zip", T.BinaryType())])
+    )
+    joined = zipped.join(marks, ["id", "hash"], "left")
 
     def finish(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                texts = [None if z is None else unpack.decompress(z) for z in part.column("_zip").to_pylist()]
+                texts = [None if z is None else unpack.decompress(z) for z in part.column("zip").to_pylist()]
                 rows = [judge(t or b"", s, m) for t, s, m in zip(texts, part.column("starts").to_pylist(), part.column("sizes").to_pylist())]
-                new = [pa.array(c, f.type) for c, f in zip(zip(*rows), added)]
+                made = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*rows), added)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(names))), pa.array(texts, pa.binary()).cast(pa.string()), *new],
-                    [*names, text_col, *added.names],
+                    [part.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), *made],
+                    ["row", "text", *(f"n{i}" for i in range(len(made)))],
                 )
 
-    done = joined.select(*(keyed[c] for c in names), "_zip", "starts", "sizes").mapInArrow(
-        finish, f"{others}`{text_col}` string, {schema}"
+    done = joined.select("row", "zip", "starts", "sizes").mapInArrow(
+        finish, T.StructType([row, T.StructField("text", T.StringType()), *(T.StructField(f"n{i}", kind) for i, (_, kind, _) in enumerate(added))])
     )
-    return done.select(*docs.columns, *added.names)
+    kept = [(i, name) for i, name in enumerate(names) if name not in new]
+    back = [F.col("text").alias(f"c{i}") if name == text_col else F.col(f"row.c{i}").alias(f"c{i}") for i, name in kept]
+    return done.select(*back, *(f"n{i}" for i in range(len(new)))).toDF(*(name for _, name in kept), *new)
