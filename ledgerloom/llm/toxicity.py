@@ -9,8 +9,12 @@ window, and a logistic unit scores it. A second one scores the document from its
 three worst windows and the mean of all: a word that is toxic in company may
 stand alone in a clean text.
 
-Training is done in numpy on a bounded sample of labelled rows: ``SAMPLE`` of
-them by hash of the id, of ``SAMPLE_CHARS`` characters at most. Labels belong to
+Training is done in numpy, by one task, on a bounded sample of labelled rows:
+``SAMPLE`` of them by hash of the id, as long as they have ``SAMPLE_CHARS``
+characters together; no text is too long by itself, but a document teaches by
+``TAUGHT`` windows at most, drawn from its whole text, so that no long one
+outweighs the others. Of rows that repeat an id and label the one of least text
+hash teaches. Labels belong to
 documents, not windows: after a first pass in which every window bears its
 document's label, a toxic document teaches by its worst windows only.
 
@@ -30,12 +34,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerloom.llm.words import chunks, ragged, split_words
+from ledgerloom.llm.words import chunks, mix, ragged, release, split_words
 
 SAMPLE = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 16_000_000
+TAUGHT = 140
 MIN_DOCS = 4
 COMMON, TELLING = 300, 15.0
 THRESHOLD = 0.7
@@ -53,6 +59,15 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, first, np.minimum(WINDOW, counts[doc] - first)
 
 
+def sampled_windows(doc: np.ndarray, most: int) -> np.ndarray:
+    """Which windows are among the first ``most`` of their document in a random order; ``doc`` ascends."""
+    order = np.lexsort((mix(np.arange(len(doc))), doc))
+    before = np.searchsorted(doc, doc[order])
+    out = np.empty(len(doc), bool)
+    out[order] = np.arange(len(doc)) - before < most
+    return out
+
+
 def stems_of(vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct stems, and the stem of every word."""
     stems = pc.replace_substring_regex(pc.utf8_lower(vocabulary), r"[^\pL\pN]+", "").dictionary_encode()
@@ -269,20 +284,21 @@ def own_words(owner: np.ndarray, tokens: np.ndarray, n_stems: int, labels: np.nd
     return (n >= MIN_DOCS) & (common | ((ratio >= TELLING) & (hit > n * base)))
 
 
-def train(texts: list, labels: np.ndarray, epochs: int = 14, negatives: int = 8000, seed: int = 7) -> Network | None:
+def train(texts, labels: np.ndarray, epochs: int = 14, negatives: int = 8000, seed: int = 7) -> Network | None:
     """Fit a network to documents; None without labels of both kinds."""
     labels = np.asarray(labels, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return None
-    words = split_words(pa.array(texts, pa.large_string()))
+    words = split_words(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     stems, stem_of = stems_of(words.vocabulary)
     tokens, owner = stem_of[words.ids], words.owner
     net = Network(stems.filter(pa.array(own_words(owner, tokens, len(stems), labels))), seed)
     numbers, (flat, count) = net.word_numbers(stems), trigrams_of(stems)
     doc, first, length = windows_of(words.counts)
     begin = words.starts[doc] + first
-    toxic = np.flatnonzero(labels[doc] == 1)
-    clean = np.flatnonzero(labels[doc] == 0)
+    some = sampled_windows(doc, TAUGHT)
+    toxic = np.flatnonzero((labels[doc] == 1) & some)
+    clean = np.flatnonzero((labels[doc] == 0) & some)
     if not len(toxic) or not len(clean):
         return None
     draw = np.random.default_rng(seed)
@@ -313,26 +329,43 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Network | None:
-    """Network trained on the sample of labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> bytes:
+    """A pickled network, trained on the sample of labelled rows that are not held out; of None without labels of both kinds."""
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
         .orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     )
-    rows = (
+    found = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "id")  # ``sample`` rows at most
-        .where(F.length("text") <= SAMPLE_CHARS).collect()
+        .where(F.col("text").isNotNull())
+        .groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     )
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows]))
-
-
-def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, _hash (xxhash64 of the text) and score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(net))  # its size follows from the sample's bound
-    kind = docs.schema[id_col].dataType.simpleString()
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("id"), "id", "label"))  # over the sample only
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("id", "label", "text")
+
+    def teach(batches):
+        table = pa.Table.from_batches(list(batches), pa.schema([("id", kind), ("label", pa.int32()), ("text", pa.string())]))
+        order = sorted(range(len(table)), key=list(zip(table["id"].to_pylist(), table["label"].to_pylist())).__getitem__)
+        net = train(table["text"].take(pa.array(order, pa.int64())), table["label"].to_numpy()[order])
+        yield pa.RecordBatch.from_pydict({"net": pa.array([cloudpickle.dumps(net)], pa.binary())})
+        release()
+
+    kind = to_arrow_type(rows.schema["id"].dataType)
+    one = rows.withColumn("label", F.col("label").cast("int")).coalesce(1)
+    taught = one.mapInArrow(teach, "net binary").collect()  # no task runs without a labelled row
+    return taught[0]["net"] if taught else cloudpickle.dumps(None)
+
+
+def with_score(docs: DataFrame, net: bytes, name: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and the score of every row as ``name``; rows stay in their task."""
+    model = docs.sparkSession.sparkContext.broadcast(net)  # its size follows from the sample's bound
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = names.index(text_col)
+    rest = F.struct(*(f"c{i}" for i in range(len(names)) if i != at)) if len(names) > 1 else F.struct(F.lit(0).alias("none"))
+    source = plain.select(rest.alias("row"), F.col(f"c{at}").alias("text"))
 
     def score(batches):
         net = cloudpickle.loads(model.value)
@@ -346,12 +379,18 @@ def score_texts(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
                 some = words.counts > 0
                 out[some] = net.documents(document_features(doc, scores, len(out)))[some]
             yield pa.RecordBatch.from_arrays(
-                [chunk["id"].combine_chunks(), chunk["hash"].combine_chunks(), pa.array(out)], ["id", "hash", "score"]
+                [chunk["row"].combine_chunks(), chunk["text"].combine_chunks(), pa.array(out)], ["row", "text", "score"]
             )
 
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    scored = source.mapInArrow(score, f"id {kind}, hash long, score double")
-    return scored.select(F.col("id").alias(id_col), F.col("hash").alias("_hash"), "score")
+    scored = source.mapInArrow(score, T.StructType([*source.schema, T.StructField("score", T.DoubleType())]))
+    columns = [F.col("text" if i == at else f"row.c{i}").alias(f"c{i}") for i in range(len(names))]
+    return scored.select(*columns, "score").toDF(*names, name)
+
+
+def score_texts(docs: DataFrame, net: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, _hash (xxhash64 of the text) and score of every row."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_score(source, net, "score").select(F.col("id").alias(id_col), F.xxhash64("text").alias("_hash"), "score")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -21,6 +21,7 @@ def odd_documents(spark):
         (11, "again " * 700, "en", "a", 1), (12, "x" * 5000, "en", "a", 1),
     ]
     extra = ["id", "hash", "bucket", "kind", "kept", "comp", "n", "slot", "_text2", "tokens", "first", "score", "sentences"]
+    extra += ["_hash", "_id", "_text", "_zip", "starts", "sizes", "row", "zip", "_i", "_slot", "_place", "place", "c0", "a.b", "x`y"]
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, SCHEMA)
