@@ -276,6 +276,25 @@ def delay_beats_mean(spark, d):
     return spark.createDataFrame([(s, f.scores["train_r2"] > 0) for s, f in fits.items()], "side string, beats_mean boolean")
 
 
+@query("SELECT * FROM (VALUES ('payables', FALSE), ('receivables', TRUE)) t(side, tells), (SELECT TRUE AS no_worse_than_mean)")
+def delay_holds_out(spark, d):
+    """On test rows: the receivables model tells delays apart, and payables, whose delays are noise, stay at their mean."""
+    fits = {"receivables": _receivables(spark, d), "payables": _payables(spark, d)}
+    rows = [(s, f.scores["test_r2"] > 0.2, f.scores["test_r2"] > -0.05) for s, f in fits.items()]
+    return spark.createDataFrame(rows, "side string, tells boolean, no_worse_than_mean boolean")
+
+
+@query(f"WITH {CHURN_SQL} SELECT count(*) AS customers, 0 AS differing FROM churners")
+def churn_flags(spark, d):
+    """A customer is flagged exactly when the model predicts it to churn."""
+    rows, model = churn_customers(spark, d), _churn(spark, d).model
+    flagged = churn.score_churn(rows, model).select("CustomerID", "churn")
+    found = model.transform(rows).groupBy("CustomerID").agg(F.max(F.col("prediction") == 1).alias("told"))
+    return flagged.join(found, "CustomerID").agg(
+        F.count("*").alias("customers"), F.count_if(F.col("churn") != F.col("told")).cast("int").alias("differing")
+    )
+
+
 @query("SELECT unnest(['payables', 'receivables']) AS side, TRUE AS shares")
 def importances_are_shares(spark, d):
     """Importances are not negative and sum to one."""

@@ -99,6 +99,43 @@ def decode_activity(spark, d):
     )
 
 
+@query(f"""
+WITH {ACTIVITY_SQL} SELECT id, campaignid, orderid, total_amount, units, activity FROM act
+""")
+def framed_activity(spark, d):
+    """Records behind a registry's frame, as they are written and as they are read."""
+    values = sources.encode_activity(activity(table(spark, d, "events")), "json", schema_id=7, framed=True)
+    decoded = flatten_struct(sources.decode_activity(values, CONSUMER_ACTIVITY, "json", framed=True), "activity")
+    return decoded.select(
+        "id", "campaignid", "orderid", "total_amount", "units", F.col("tags")["activity"].alias("activity")
+    )
+
+
+@query(f"""
+WITH {ACTIVITY_SQL.replace("FROM events", "FROM events WHERE event_id % 2 = 0")}, {DEMOGRAPHICS_SQL},
+     {ACTIVITY_SQL.replace("act AS", "later AS").replace("FROM events", "FROM events WHERE event_id % 2 = 1")}
+SELECT country, count(*) AS count FROM act JOIN demo ON id = i GROUP BY country
+UNION ALL SELECT 'NEW ' || country, count(*) FROM later JOIN demo ON id = i GROUP BY country
+""")
+def stream_fresh_side(spark, d):
+    """Counts per country of two batches; the static side changes between them and is read again."""
+    dim, out, files = scratch_path(spark, "side"), scratch_path(spark, "fresh"), scratch_path(spark, "halves")
+    events = table(spark, d, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(files)
+    people = demographics(spark, d)
+    sinks.replace_table(dim)(people, 0)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+        sinks.replace_table(dim)(people.withColumn("country", F.concat(F.lit("NEW "), "country")), batch_id + 1)
+
+    writer = sinks.fresh_side(lambda: sinks.read_newest(spark, dim), P.live_country_count, write)
+    stream = activity(sources.file_stream(spark, files, events.schema, per_batch=1))
+    _finish(sinks.write_each_batch(stream, writer, scratch_path(spark, "progress"), "append", None))
+    return spark.read.parquet(out).select("country", "count")
+
+
 _POINTS = f"""
 SELECT '{ACTIVITY_TOPIC}_1' AS measurement, event_type AS activity,
        CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute,

@@ -21,11 +21,11 @@ def _triggered(writer, trigger: str | None):
 
 def write_activity(
     df: DataFrame, servers: str, checkpoint: str, topic: str = ENRICHED_TOPIC, codec: str = "avro",
-    trigger: str | None = "0 seconds", **options: str,
+    trigger: str | None = "0 seconds", schema_id: int | None = None, **options: str,
 ) -> StreamingQuery:
-    """Append records to a Kafka topic. Needs the Kafka connector on the class path."""
+    """Append records to a Kafka topic. Needs the Kafka connector on the class path, and for Avro the schema's id."""
     writer = (
-        encode_activity(df, codec)
+        encode_activity(df, codec, schema_id=schema_id)
         .writeStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)
@@ -94,7 +94,10 @@ def replace_table(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_newest(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete result of ``replace_table``."""
-    return spark.read.parquet(f"{path}/batch_id={_complete(spark, path, 'batch_id')[-1]}")
+    found = _complete(spark, path, "batch_id")
+    if not found:
+        raise FileNotFoundError(f"no batch has written a result below {path}")
+    return spark.read.parquet(f"{path}/batch_id={found[-1]}")
 
 
 def replace_database_table(url: str, table: str, **options: str) -> Callable[[DataFrame, int], None]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.schemas import ACTIVITY_TOPIC, CONSUMER_ACTIVITY, avro_record
 
@@ -34,35 +34,59 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files: s
     )
 
 
+def framed_value(value: Column, schema_id: int) -> Column:
+    """The value behind a marker byte and the schema id, as registries frame it."""
+    return F.concat(F.lit(bytes(1) + schema_id.to_bytes(FRAME_BYTES - 1, "big")), value)
+
+
+def unframed_value(value: Column) -> Column:
+    """The value without its frame; one that has no frame ends the query."""
+    marked = F.substring(value, 1, 1) == F.lit(bytes(1))
+    cut = F.substring(value, FRAME_BYTES + 1, 2**31 - 1)
+    return F.when(value.isNull() | (marked & (F.octet_length(value) >= FRAME_BYTES)), cut).otherwise(
+        F.raise_error(F.lit("a value without marker byte and schema id"))
+    )
+
+
 def decode_activity(
-    df: DataFrame, schema: T.StructType = CONSUMER_ACTIVITY, codec: str = "avro", framed: bool = True,
+    df: DataFrame, schema: T.StructType = CONSUMER_ACTIVITY, codec: str = "avro", framed: bool | None = None,
     name: str = "activity",
 ) -> DataFrame:
     """Replace the binary ``value`` by the record it holds, as one struct column.
 
     ``avro`` needs the Avro module on the class path; ``json`` reads text values.
-    A value that cannot be read ends the query.
+    Unless ``framed`` says otherwise, Avro values have a registry's frame and
+    JSON values have none. A value that cannot be read ends the query.
     """
     rest = [c for c in df.columns if c != "value"]
+    value = unframed_value(F.col("value")) if _is_framed(codec, framed) else F.col("value")
     if codec == "json":
-        record = F.from_json(F.col("value").cast("string"), schema, {"mode": "FAILFAST"})
-    elif codec == "avro":
+        record = F.from_json(value.cast("string"), schema, {"mode": "FAILFAST"})
+    else:
         from pyspark.sql.avro.functions import from_avro
 
-        value = F.expr(f"substring(value, {FRAME_BYTES + 1})") if framed else F.col("value")
         record = from_avro(value, avro_record("ConsumerActivity", schema))
-    else:
-        raise ValueError(f"unknown codec {codec!r}")
     return df.select(*rest, record.alias(name))
 
 
-def encode_activity(df: DataFrame, codec: str = "avro", record: str = "UserActivity") -> DataFrame:
-    """All columns packed and encoded as one ``value`` column."""
+def _is_framed(codec: str, framed: bool | None) -> bool:
+    if codec not in ("avro", "json"):
+        raise ValueError(f"unknown codec {codec!r}")
+    return codec == "avro" if framed is None else framed
+
+
+def encode_activity(
+    df: DataFrame, codec: str = "avro", record: str = "UserActivity", schema_id: int | None = None, framed: bool | None = None
+) -> DataFrame:
+    """All columns packed and encoded as one ``value`` column; a framed one needs the id of its schema."""
+    frame = _is_framed(codec, framed)
+    if frame and schema_id is None:
+        raise ValueError("a framed value needs a schema_id")
     packed = F.struct(*df.columns)
     if codec == "json":
-        return df.select(F.to_json(packed).cast("binary").alias("value"))
-    if codec == "avro":
+        value = F.to_json(packed).cast("binary")
+    else:
         from pyspark.sql.avro.functions import to_avro
 
-        return df.select(to_avro(packed, avro_record(record, df.schema)).alias("value"))
-    raise ValueError(f"unknown codec {codec!r}")
+        value = to_avro(packed, avro_record(record, df.schema))
+    return df.select((framed_value(value, schema_id) if frame else value).alias("value"))

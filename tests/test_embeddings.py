@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import embeddings as E
+from ledgerloom.operators.skipgram import Block, fit_skipgram, train_cell
 from ledgerloom.operators.walks import random_walks
 
 
@@ -24,6 +25,27 @@ def test_nearest_product_is_of_the_same_group(walks, method):
     assert sum((r.pid >= 100) == (r.similar >= 100) for r in similar) >= 18
 
 
+def test_strata_train_all_pairs_of_blocks(spark, walks):
+    pairs = E.cooccurrences(walks, 4)
+    vectors = fit_skipgram(pairs, size=8, epochs=3, items_per_block=7)
+    assert vectors.count() == 20
+    similar = E.similar_items(vectors, k=1).collect()
+    assert sum((r.pid >= 100) == (r.similar >= 100) for r in similar) >= 18
+    again = {r.pid: r.embedding_vector for r in fit_skipgram(pairs.repartition(3), size=8, epochs=3, items_per_block=7).collect()}
+    assert all(np.allclose(again[r.pid], r.embedding_vector, atol=1e-4) for r in vectors.collect())
+
+
+def test_a_cell_pulls_pairs_together_and_negatives_apart():
+    draw = np.random.default_rng(1)
+    centres = Block((draw.random((4, 6), np.float32) - 0.5), np.zeros(4, np.float32))
+    contexts = Block((draw.random((4, 6), np.float32) - 0.5), np.zeros(4, np.float32))
+    pairs = np.array([0, 1], np.int32), np.array([0, 1], np.int32), np.array([5.0, 5.0])
+    for _ in range(60):
+        train_cell(centres, contexts, pairs, np.array([5.0, 5.0, 0.0, 0.0]), np.array([0.0, 0.0, 1.0, 1.0]), draw)
+    score = centres.vectors @ contexts.vectors.T
+    assert min(score[0, 0], score[1, 1]) > 1 and score[:2, 2:].max() < -1
+
+
 def test_cooccurrences_within_the_window(spark):
     one = spark.createDataFrame([(1, 1, [1, 2, 3, 1])], "start bigint, walk_no int, path array<bigint>")
     got = {(r.a, r.b): r.n for r in E.cooccurrences(one, 2).collect()}

@@ -188,3 +188,24 @@ def test_incremental_read(spark):
     mark = next_mark(df.where("id < 3"), "ts")
     assert [r.id for r in read_since(df, "ts", mark).collect()] == [3, 4]
     assert read_since(df, "ts", None).count() == 5
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    framed = sources.encode_activity(df, "json", schema_id=258, framed=True)
+    values = [bytes(r.value) for r in framed.collect()]
+    assert all(v[:5] == b"\x00\x00\x00\x01\x02" and v[5:6] == b"{" for v in values)
+    back = sources.decode_activity(framed, df.schema, "json", framed=True).select("activity.*")
+    assert sorted(map(tuple, back.collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="marker byte"):
+        sources.decode_activity(sources.encode_activity(df, "json"), df.schema, "json", framed=True).collect()
+    with pytest.raises(ValueError, match="schema_id"):
+        sources.encode_activity(df, "json", framed=True)
+    with pytest.raises(ValueError, match="schema_id"):
+        sources.encode_activity(df)  # Avro values are framed unless told otherwise
+
+
+def test_no_result_yet(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError, match="no batch"):
+        sinks.read_newest(spark, str(tmp_path / "none"))
