@@ -5,7 +5,8 @@ A byte goes if a 200-byte string that covers it also starts anywhere else.
 1. The anchor of a window of 200 bytes is its first 32-byte gram of least hash.
    Equal windows have equal anchors at equal distances, so consecutive windows
    with one anchor travel as one string to the bucket of the anchor. Equal
-   strings of a chunk are sent once, with a note that there were several.
+   strings of a chunk are sent once, with a note that there were several. Strings
+   are compressed by a dictionary trained on a bounded sample of texts.
 2. In its bucket, strings that occur twice are repeated as a whole. Different
    strings with one anchor form a collection, laid out so that their anchors
    stand in one column. Each round inserts one symbol of every string, right to
@@ -24,7 +25,8 @@ files live in a temporary folder of the task and go with it.
 Cases: a null text is empty; texts under 200 bytes lose nothing; null ids and
 repeated ids are documents like others, and repeated rows repeat each other;
 other columns are untouched, whatever their names; an empty table gives no rows.
-Removed runs may cut characters, so what is kept is bytes.
+Removed runs may cut characters, so what is kept is bytes. A text above a
+gibibyte raises; the cutter takes some sixty bytes for each byte of a text.
 """
 
 from __future__ import annotations
@@ -37,10 +39,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.spans import COLUMNS, LAST, RUNS, covered, merge_runs, pack_runs, with_runs
+from ledgerloom.llm.spans import (
+    COLUMNS, LAST, RUNS, Codec, covered, dictionary_of, first_of_each, merge_runs, pack_numbers, pack_runs, steps, unpack_numbers, with_runs,
+)
 from ledgerloom.llm.words import chunks, mix, ragged, release, runs, sliding_min
 
 WIDTH = 200
@@ -193,10 +196,6 @@ def _flag(out: np.ndarray, base: np.ndarray, windows: np.ndarray, before: np.nda
     out[(base[strings] + nth)[real]] = True
 
 
-def _zip(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
-
-
 def _digests(data: bytes, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     view = memoryview(data)
     digest = xxhash.xxh3_128_digest
@@ -214,13 +213,16 @@ def _classes(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _cutter(buckets: int, width: int):
+def _cutter(buckets: int, width: int, dictionary: bytes = b""):
     def cut(batches):
+        codec = Codec(dictionary)
         for chunk in chunks(batches, "_text", CHUNK):
             ids, hashes = chunk["_id"].fill_null(int(LAST)).to_numpy(), chunk["_hash"].to_numpy()
             texts = pc.fill_null(chunk["_text"].combine_chunks().cast(pa.large_binary()), b"")
             ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]
+            if len(raw) > _PLACE:
+                raise ValueError(f"a text is longer than {_PLACE} bytes")
             data, starts = np.frombuffer(raw, np.uint8), ends[:-1] - ends[0]
             sizes = np.diff(ends)
             codes = byte_grams(data)
@@ -239,21 +241,25 @@ def _cutter(buckets: int, width: int):
             several = np.diff(np.concatenate((edges, [len(order)]))) > 1
             twice = np.zeros(len(order), bool)
             twice[order] = np.repeat(several, np.diff(np.concatenate((edges, [len(order)]))))
-            packed = pack_runs(ids, hashes, owner[twice], (begin - starts[owner])[twice], size[twice], buckets)
+            # rows that repeat id and text have the same marks here
+            told = twice & first_of_each(ids, hashes)[owner]
+            packed = pack_runs(ids, hashes, owner[told], (begin - starts[owner])[told], size[told], buckets)
             out = [(part, 0, n, *rest) for part, n, *rest in packed]
             send = np.sort(order[edges])
             bucket = (anchor[send] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             send, bucket = send[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            pack = zstandard.ZstdCompressor(level=3)
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 own = send[a:b]
                 text = b"".join([raw[x : x + n] for x, n in zip(begin[own].tolist(), (size[own] + width - 1).tolist())])
                 docs, inside = np.unique(owner[own], return_inverse=True)
-                head = np.stack([ids[docs], hashes[docs]]).astype("<i8").tobytes()
-                table = np.stack([inside, (begin - starts[owner])[own], size[own], before[own], twice[own], (anchor[own] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF])
-                out.append((int(bucket[a]), 1, len(docs), pack.compress(text), head, _zip(table.astype("<i4"))))
+                table = pack_numbers(
+                    steps(ids[docs]), steps(inside), (begin - starts[owner])[own], size[own], before[own], twice[own],
+                    (anchor[own] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF,
+                )
+                head = np.array([len(own)], "<i8").tobytes() + hashes[docs].astype("<i8").tobytes()
+                out.append((int(bucket[a]), 1, len(docs), codec.pack(text), head, table))
             for a in range(0, len(out), 1000):
                 columns = list(zip(*out[a : a + 1000]))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -262,19 +268,19 @@ def _cutter(buckets: int, width: int):
     return cut
 
 
-def _bucket(width: int, parts: int):
+def _bucket(width: int, parts: int, dictionary: bytes = b""):
     def judge(table):
         release()
-        unpack = zstandard.ZstdDecompressor()
+        codec = Codec(dictionary)
         ids, hashes, tables, texts, docs = [], [], [], [], 0
         for n, text, head, rest in zip(*(table[c].to_pylist() for c in ("n", *COLUMNS))):
-            own = np.frombuffer(head, "<i8").reshape(2, n)
-            ids.append(own[0])
-            hashes.append(own[1])
-            columns = np.frombuffer(unpack.decompress(rest), "<i4").reshape(6, -1).astype(np.int64)
-            columns[0] += docs
-            tables.append(columns)
-            texts.append(unpack.decompress(text))
+            numbers = np.frombuffer(head, "<i8")
+            own, *columns = unpack_numbers(rest, n, *[int(numbers[0])] * 6)
+            ids.append(np.cumsum(own))
+            hashes.append(numbers[1:])
+            columns[0] = np.cumsum(columns[0]) + docs
+            tables.append(np.stack(columns))
+            texts.append(codec.unpack(text))
             docs += n
         data = b"".join(texts)
         del texts
@@ -317,12 +323,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Marks (id, hash of the text, starts, sizes): runs of windows of ``width`` bytes that also start elsewhere."""
     if width < 2 * GRAM or width > 254:
         raise ValueError(f"width must lie between {2 * GRAM} and 254")
-    total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    total, rows = docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    buckets = max(1, math.ceil((total or 0) / BUCKET_BYTES))
+    dictionary = dictionary_of(docs, rows, id_col, text_col)
     cut = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
-    ).mapInArrow(_cutter(buckets, width), _PIECES)
-    judge = _bucket(width, buckets)
+    ).mapInArrow(_cutter(buckets, width, dictionary), _PIECES)
+    judge = _bucket(width, buckets, dictionary)
 
     def marks(key, table):
         if key[1].as_py():

@@ -13,10 +13,66 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ledgerloom.llm.words import mix, ragged, runs
 
 LAST = np.iinfo(np.int64).max
+#: Texts, and characters of each, from which a compression dictionary of so many bytes is trained.
+TAUGHT, TAUGHT_CHARS, DICTIONARY = 1000, 4000, 112 << 10
+LEVEL = 6
 COLUMNS = ("first", "second", "third")
 RUNS = "id long, hash long, starts binary, sizes binary"
 
 
+def dictionary_of(docs: DataFrame, rows: int, id_col: str, text_col: str) -> bytes:
+    """A compression dictionary from at most ``TAUGHT`` texts, so that small blobs take no more bytes than large ones.
+
+    Results do not depend on it; it is empty if there is too little text.
+    """
+    every = max(1, rows // TAUGHT)
+    drawn = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0)
+    texts = drawn.select(F.substring(text_col, 1, TAUGHT_CHARS).alias("t")).where("t is not null").limit(TAUGHT).collect()
+    pieces = [piece for row in texts for piece in (row.t[i : i + 2000].encode() for i in range(0, len(row.t), 2000))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, pieces, level=LEVEL).as_bytes() if len(pieces) > 50 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+class Codec:
+    """Compression of the strings of a blob by a dictionary."""
+
+    def __init__(self, dictionary: bytes):
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if known:
+            known.precompute_compress(level=LEVEL)
+        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_dict_id=False).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=known).decompress
+
+
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, bytes of one weight together, compressed."""
+    planes = b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes)
+
+
+def unpack_numbers(data: bytes, *lengths: int) -> list[np.ndarray]:
+    planes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), [], 0
+    for n in lengths:
+        out.append(np.ascontiguousarray(planes[at : at + 8 * n].reshape(8, n).T).view("<i8").reshape(-1))
+        at += 8 * n
+    return out
+
+
+def steps(sorted_: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first number included; their running sum gives the numbers back."""
+    return np.concatenate((sorted_[:1], np.diff(sorted_)))
+
+
+def first_of_each(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which rows are the first with their id and hash."""
+    order = np.lexsort((np.arange(len(ids)), hashes, ids))
+    new = np.ones(len(ids), bool)
+    new[order[1:]] = (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0)
+    return new
+
+
 def joined_runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as runs of consecutive ones: document, first window, number of windows."""
     order = np.lexsort((start, doc))

@@ -9,7 +9,8 @@ covers it also starts in a document with a smaller id.
 2. The minimiser of a window is the least hash of its three-word grams.
    Consecutive windows with the same minimiser travel as one packed string to
    the bucket of the minimiser; a compressed blob holds those of one chunk of a
-   task for one bucket.
+   task for one bucket, by a dictionary trained on a bounded sample of texts, so
+   that the bytes sent hardly depend on the number of buckets.
 3. In its bucket every window meets all its equals. Sorting brings them
    together; equal hashes are confirmed word by word.
 4. Marks are joined to the documents by id and text hash.
@@ -28,10 +29,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.spans import COLUMNS, LAST, RUNS, covered, joined_runs, merge_runs, pack_runs, with_runs
+from ledgerloom.llm.spans import (
+    COLUMNS, LAST, RUNS, Codec, covered, dictionary_of, first_of_each, joined_runs, merge_runs, pack_numbers, pack_runs, steps, unpack_numbers, with_runs,
+)
 from ledgerloom.llm.words import chunks, grams, hash_strings, mix, ragged, release, runs, sliding_min, split_words, whole
 
 WINDOW = 13
@@ -42,24 +45,18 @@ CHUNK = 8 << 20
 _BLOB = "bucket int, kind int, id long, hash long, first binary, second binary, third binary"
 
 
-def _pack_words(vocabulary: pa.Array, ids: np.ndarray) -> tuple[bytes, bytes]:
-    """The words' bytes without gaps, and the words' lengths, both compressed."""
-    words = vocabulary.take(pa.array(ids)).cast(pa.large_binary())
+def _pack_words(spaced: pa.Array, ids: np.ndarray, codec: Codec) -> bytes:
+    """The words, a space after each, compressed."""
+    words = spaced.take(pa.array(ids))
     ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    lengths = np.diff(ends)
-    kind = "<u1" if lengths.max(initial=0) < 256 else "<i8"
-    pack = zstandard.ZstdCompressor(level=3)
-    text = memoryview(words.buffers()[2] or b"")[ends[0] : ends[-1]]
-    return pack.compress(text), kind.encode() + pack.compress(lengths.astype(kind).tobytes())
+    return codec.pack(memoryview(words.buffers()[2] or b"")[ends[0] : ends[-1]])
 
 
-def _unpack_words(text: bytes, lengths: bytes) -> pa.Array:
-    unpack = zstandard.ZstdDecompressor()
-    sizes = np.frombuffer(unpack.decompress(lengths[3:]), lengths[:3].decode())
-    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    return pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(unpack.decompress(text))]
-    )
+def _unpack_words(packed: bytes, codec: Codec) -> pa.Array:
+    """The words, each with its space."""
+    text = codec.unpack(packed)
+    ends = np.concatenate(([0], np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20) + 1)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)])
 
 
 def _marked(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
@@ -89,11 +86,14 @@ def _marked(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, ids: np.ndarr
     return marked
 
 
-def _cutter(buckets: int, window: int, gram: int):
+def _cutter(buckets: int, window: int, gram: int, dictionary: bytes = b""):
     def cut(batches):
+        codec = Codec(dictionary)
         for chunk in chunks(batches, "_text", CHUNK):
             ids = chunk["_id"].fill_null(LAST).to_numpy()
             order = np.argsort(ids, kind="stable")
+            # rows that repeat id and text get the same marks: one of them stands for all
+            order = order[first_of_each(ids, chunk["_hash"].to_numpy())[order]]
             chunk, ids = chunk.take(pa.array(order)), ids[order]
             hashes = chunk["_hash"].to_numpy()
             words = split_words(chunk["_text"])
@@ -115,12 +115,12 @@ def _cutter(buckets: int, window: int, gram: int):
             begin, size, doc, bucket = begin[order], size[order], doc[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             del own_hash, least, sent, at, coded, owner
+            spaced = pc.binary_join_element_wise(words.vocabulary.cast(pa.large_binary()), pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                text, lengths = _pack_words(words.vocabulary, words.ids[ragged(begin[a:b], size[a:b] + window - 1)])
+                text = _pack_words(spaced, words.ids[ragged(begin[a:b], size[a:b] + window - 1)], codec)
                 docs, inside = np.unique(doc[a:b], return_inverse=True)
-                table = np.stack([inside, begin[a:b] - starts[doc[a:b]], size[a:b]]).astype("<i4")
-                head = np.stack([ids[docs], hashes[docs]]).astype("<i8")
-                out.append((int(bucket[a]), 1, len(docs), b - a, text, lengths, head.tobytes() + table.tobytes()))
+                table = pack_numbers(steps(ids[docs]), steps(inside), begin[a:b] - starts[doc[a:b]], size[a:b])
+                out.append((int(bucket[a]), 1, len(docs), b - a, text, hashes[docs].astype("<i8").tobytes(), table))
             for a in range(0, len(out), 2000):
                 columns = list(zip(*out[a : a + 2000]))
                 yield pa.RecordBatch.from_arrays(
@@ -131,19 +131,18 @@ def _cutter(buckets: int, window: int, gram: int):
     return cut
 
 
-def _bucket_marks(window: int, parts: int):
+def _bucket_marks(window: int, parts: int, dictionary: bytes = b""):
     def count(table):
         release()
+        codec = Codec(dictionary)
         ids, hashes, strings, tables = [], [], [], []
         docs = 0
-        for n_docs, n_runs, text, lengths, rest in zip(*(table[c].to_pylist() for c in ("id", "hash", "first", "second", "third"))):
-            head = np.frombuffer(rest[: 16 * n_docs], "<i8").reshape(2, n_docs)
-            runs_ = np.frombuffer(rest[16 * n_docs :], "<i4").reshape(3, n_runs).astype(np.int64)
-            ids.append(head[0])
-            hashes.append(head[1])
-            runs_[0] += docs
-            tables.append(runs_)
-            strings.append(_unpack_words(text, lengths))
+        for n_docs, n_runs, text, head, rest in zip(*(table[c].to_pylist() for c in ("id", "hash", "first", "second", "third"))):
+            own, inside, start, size = unpack_numbers(rest, n_docs, n_runs, n_runs, n_runs)
+            ids.append(np.cumsum(own))
+            hashes.append(np.frombuffer(head, "<i8"))
+            tables.append(np.stack([np.cumsum(inside) + docs, start, size]))
+            strings.append(_unpack_words(text, codec))
             docs += n_docs
         ids, hashes, (doc, start, size) = np.concatenate(ids), np.concatenate(hashes), np.concatenate(tables, axis=1)
         coded = pa.concat_arrays(strings).dictionary_encode()
@@ -171,12 +170,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``starts`` and ``sizes`` are little-endian 32-bit arrays; documents without
     marks have no row.
     """
-    total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    total, rows = docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    buckets = max(1, math.ceil((total or 0) / BUCKET_BYTES))
+    dictionary = dictionary_of(docs, rows, id_col, text_col)
     cut = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
-    ).mapInArrow(_cutter(buckets, window, GRAM), _BLOB)
-    count = _bucket_marks(window, buckets)
+    ).mapInArrow(_cutter(buckets, window, GRAM, dictionary), _BLOB)
+    count = _bucket_marks(window, buckets, dictionary)
 
     def marks(key, table):
         if key[1].as_py():
