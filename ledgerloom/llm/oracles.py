@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm.license_rules import RULES, SENTENCES, known_sentences
+from ledgerloom.llm.license_rules import all_rules, known_sentences
 from ledgerloom.llm.quality_sketch import LEAST, MEASURES
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -34,27 +34,45 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def _op3() -> str:
-    numbers = {name: i for i, name in enumerate(SENTENCES)}
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(text)}, {quote(name)}, {numbers[name]})" for text, name in known_sentences().items())
-    hits = ", ".join(
-        f"CASE WHEN regexp_matches(code, {quote('.*'.join(f'<{numbers[n]}>' for n in names))}) THEN {quote(licence)} END" for licence, names in RULES
-    )
+    double = lambda s: "  ".join(["", *s.split(), ""])
+    known = ", ".join(f"({quote(double(text))}, {quote(name)}, {len(double(text))})" for text, name in known_sentences().items())
+    first = "|".join(sorted({text.split()[0] for text in known_sentences()}))
+    rules = ", ".join(f"({i}, {quote(licence)}, [{', '.join(map(quote, own))}])" for i, (licence, own) in enumerate(all_rules()))
     return f"""
-WITH known(plain, name, number) AS (VALUES {known}
-), pieces AS (
-  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
-  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\n]+', '\\1\n\n', 'g'), '\\n[ \\t\\r]*\\n') AS p FROM documents)
-), lines AS (
-  SELECT doc_id, i, unnest(l) AS line, generate_subscripts(l, 1) AS j
-  FROM (SELECT doc_id, i, CASE WHEN contains(piece, '\n') THEN list_concat([piece], string_split(piece, '\n')) ELSE [piece] END AS l FROM pieces)
+WITH RECURSIVE known(plain, name, size) AS (VALUES {known}
+), rules(rule, licence, own) AS (VALUES {rules}
+), texts AS (
+  SELECT doc_id, '  ' || replace(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ', '  ') || '  ' AS t FROM documents
+), likely AS MATERIALIZED (
+  SELECT * FROM texts WHERE regexp_matches(t, '  ({first})  ')
+), cut AS (
+  SELECT doc_id, name, size, string_split(t, plain) AS parts FROM likely JOIN known ON contains(t, plain)
+), ends AS (
+  SELECT doc_id, name, size, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * size AS start
+  FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM cut)
 ), found AS (
-  SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY i, j) AS names, string_agg('<' || number || '>', '' ORDER BY i, j) AS code
-  FROM lines JOIN known ON known.plain = trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id
+  SELECT doc_id, name, start FROM ends a WHERE NOT EXISTS (
+    SELECT 1 FROM ends b WHERE b.doc_id = a.doc_id AND b.size > a.size AND b.start <= a.start AND b.start + b.size >= a.start + a.size)
+), listed AS (
+  SELECT doc_id, list(name ORDER BY start) AS names FROM found GROUP BY doc_id
+), steps(doc_id, rule, k, place) AS (
+  SELECT doc_id, rule, 0, -1::DOUBLE FROM listed, rules WHERE list_has_any(names, own)
+  UNION ALL
+  SELECT s.doc_id, s.rule, s.k + 1, min(f.start)::DOUBLE
+  FROM steps s JOIN rules r ON r.rule = s.rule JOIN found f ON f.doc_id = s.doc_id AND f.name = r.own[s.k + 1] AND f.start > s.place
+  GROUP BY s.doc_id, s.rule, s.k
+), hits AS (
+  SELECT doc_id, s.rule, licence, own FROM steps s JOIN rules r ON r.rule = s.rule AND s.k = len(own)
+), reported AS (
+  SELECT DISTINCT doc_id, licence FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits w WHERE w.doc_id = h.doc_id AND w.licence <> h.licence AND len(w.own) > len(h.own)
+      AND list_filter(w.own, lambda x: list_contains(h.own, x)) = h.own)
+), joined AS (
+  SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM reported GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(names, '') AS sentences,
-  coalesce(array_to_string(list_sort(list_distinct([{hits}])), ','), '') AS licences
-FROM documents LEFT JOIN found USING (doc_id)
+SELECT d.doc_id, CAST(coalesce(len(names), 0) AS BIGINT) AS n_sentences, coalesce(array_to_string(names, ','), '') AS sentences, coalesce(licences, '') AS licences
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN joined USING (doc_id)
 """
 
 
