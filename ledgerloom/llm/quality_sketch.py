@@ -30,8 +30,8 @@ from ledgerloom.session import scratch_path
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 LEAST = 200
-#: Measure: lower margin (None: no lower fence) and upper margin.
-MEASURES = {"symbol_share": (None, 150), "dup_line_share": (None, 500), "repeat_share": (None, 300), "word_length": (150, 150)}
+#: Measure: lower margin (None: no lower fence) and upper margin, below the fixed rules where there is one.
+MEASURES = {"symbol_share": (None, 150), "dup_line_share": (None, 400), "repeat_share": (None, 250), "word_length": (150, 150)}
 
 
 def _let(value: Column, body) -> Column:
