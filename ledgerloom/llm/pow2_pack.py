@@ -14,6 +14,7 @@ A text of any length is cut within the memory of its own ids.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -29,6 +30,14 @@ END = 1
 #: Distinct words of a chunk are encoded once, so larger chunks cost less.
 CHUNK = 12 << 20
 
+# The steps of a tokenizer that reads words.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 
 _loaded: dict = {}  # tokenizers and their word ends, by path
 
@@ -80,6 +89,13 @@ def _ends_word(path: str) -> np.ndarray:
     return _loaded[key]
 
 
+def reads_words(path: str) -> bool:
+    """Whether the ids of a text are those of its words: the tokenizer lower-cases and drops white space before it merges."""
+    made = json.loads(_tokenizer(path).to_str())
+    known = all(token["content"].startswith("<|") for token in made["added_tokens"])
+    return known and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+
+
 def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words, one after another, and how many each has.
 
@@ -119,9 +135,13 @@ def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def document_ids(texts, path: str) -> list[np.ndarray]:
     """Token ids of every text, without the end token.
 
-    The tokenizer drops white space before it merges, so the ids of a text are
-    those of its words in order and every distinct word is encoded once.
+    Where the tokenizer drops white space before it merges, the ids of a text are
+    those of its words in order and every distinct word is encoded once; another
+    tokenizer reads whole texts.
     """
+    if not reads_words(path):
+        flat, sizes = _encode(pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, ""), path)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
     words = split_words(texts)
     if not len(words.ids):
         return [np.zeros(0, np.uint32) for _ in words.counts]
