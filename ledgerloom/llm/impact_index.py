@@ -151,7 +151,7 @@ def write_index(vectors: DataFrame, path: str, id_col: str, vector_col: str, sca
     sound.withColumn("width", F.size("v")).write.parquet(f"{path}/vectors")
     stored = spark.read.parquet(f"{path}/vectors")
     blocks = max(1, math.ceil(stored.count() / block))
-    stored.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).groupBy("block", "width").applyInArrow(
+    stored.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).groupBy("block", "width").applyInArrow(
         _index_rows(), _INDEX
     ).write.parquet(f"{path}/blocks")
 
@@ -193,7 +193,7 @@ def search(spark, path: str, k: int = 5, every: int = 50, query_block: int = QUE
     stored = spark.read.parquet(f"{path}/vectors")
     asked = stored.where(F.col("id") % every == 0)
     qblocks = max(1, math.ceil(asked.count() / query_block))
-    asked.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(qblocks))).groupBy("qblock", "width").applyInArrow(
+    asked.withColumn("qblock", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(qblocks))).groupBy("qblock", "width").applyInArrow(
         _pack_queries, "qblock long, width int, qids binary, queries binary"
     ).write.parquet(f"{path}/queries")
     packed, index = spark.read.parquet(f"{path}/queries"), spark.read.parquet(f"{path}/blocks")
