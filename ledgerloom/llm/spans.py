@@ -15,7 +15,7 @@ from ledgerloom.llm.words import mix, ragged, runs
 LAST = np.iinfo(np.int64).max
 #: Texts, and characters of each, from which a compression dictionary of so many bytes is trained.
 TAUGHT, TAUGHT_CHARS, DICTIONARY = 1000, 4000, 112 << 10
-LEVEL = 6
+LEVEL = 3
 COLUMNS = ("first", "second", "third")
 RUNS = "id long, hash long, starts binary, sizes binary"
 
