@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -203,6 +204,34 @@ def test_licence_rules_need_their_order(spark):
     assert got == {0: ["MIT"], 1: [], 2: ["MIT"], 3: ["MIT"], 4: [], 5: []}
 
 
+def test_licence_texts_and_names(spark):
+    s = license_rules.SENTENCES
+    mit = "\n".join(s[f"mit.{x}"] for x in ("grant", "notice", "warranty"))
+    bsd2 = [s[f"bsd.{x}"] for x in ("grant", "source", "binary")]
+    hashed = "\n".join("# " + line for line in ["Copyright (c) 2020 Foo", "", *mit.replace(" software", "\nsoftware").split("\n")])
+    gpl2 = "This program is free software; you can redistribute it and/or modify it " + s["gpl2.notice"].replace(" Foundation", "\n * Foundation")
+    texts = {
+        hashed: ["MIT"],
+        "Copyright (c) 2020 Foo\n" + mit: ["MIT"],
+        "\n".join(bsd2): ["BSD-2-Clause"],
+        "\n".join([*bsd2, "Neither the name of Foo nor the names of its contributors" + s["bsd.names"].split("contributors")[1]]): ["BSD-3-Clause"],
+        "the terms of the Mozilla Public License, v. 1.1.": [],
+        "is subject to the terms of the Mozilla Public License, v. 1.1.": ["MPL-1.1"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": ["MPL-2.0"],
+        gpl2: ["GPL-2.0-or-later"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: GPL-2.0-only\nSPDX-License-Identifier: MIT": ["GPL-2.0-only", "MIT"],
+        "Licensed under the Apache License, Version 2.0 and available under the MIT licence": ["Apache-2.0", "MIT"],
+        "unlicensed under mitten": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in rows(license_rules.scan_licences(df))}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert len({licence for licence, _ in license_rules.all_rules()}) >= 60
+    pattern = re.compile(license_rules.sentence_pattern(license_rules.known_sentences()))
+    assert all(pattern.fullmatch(sentence) for sentence in license_rules.known_sentences())
+
+
 def test_licences_of_odd_tables(odd_documents, no_documents):
     assert license_rules.scan_licences(odd_documents.drop("sentences")).count() == odd_documents.count()
     assert all(r["licences"] == [] for r in rows(license_rules.scan_licences(odd_documents)))
@@ -308,6 +337,19 @@ def test_fences_follow_language_and_source(spark):
     assert got[5003]["base_failed"] and got[5004]["base_failed"] and not got[5002]["base_failed"]
 
 
+@pytest.mark.parametrize("bad, words, measure", [
+    ("nine words that come again after the first nine " * 2, 45, "repeat_share"), ("one line\n" * 6, 60, "dup_line_share"), ("%" * 40 + " ", 60, "symbol_share"),
+])
+def test_every_fence_rejects_what_the_base_rule_lets_pass(spark, bad, words, measure):
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.choice([4, 5, 6])))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(n // 5)) for _ in range(5))
+    docs = [(i, text(40), "en", "a") for i in range(300)] + [(1000, bad + text(words), "en", "a")]
+    got = {r["doc_id"]: r for r in rows(quality_sketch.adaptive_quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")))}
+    assert all(got[i]["kept"] for i in range(300))
+    assert not got[1000]["base_failed"] and not got[1000]["kept"] and got[1000][measure] > 0
+
+
 def test_sketches_merge(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     half = lambda k: quality_sketch.sketches(quality_sketch.measures(docs.where(f"doc_id % 2 = {k}")))
@@ -481,6 +523,13 @@ def test_ids_are_the_tokenizers():
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_ids_of_a_tokenizer_that_reads_spaces_and_capitals():
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Hello  World. Again\n\nAGAIN it's", None, "", " a ", "Ünïcode 日本 12345"] * 3
+    for text, ids in zip(texts, pow2_pack.document_ids(pa.array(texts), path)):
+        assert ids.tolist() == pow2_pack._tokenizer(path).encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_packing_keeps_every_id_once(spark, odd_documents, no_documents):
     path = tokenizer_path()
     got = rows(pow2_pack.pack_documents(odd_documents, path))
