@@ -219,8 +219,13 @@ def covers(long: list[str], short: list[str]) -> bool:
     return len(long) > len(short) and all(name in left for name in short)
 
 
+def _map(pairs) -> Column:
+    """A constant map, as one literal."""
+    return F.str_to_map(F.lit("\n".join(f"{key}\t{value}" for key, value in dict(pairs).items())), F.lit("\n"), F.lit("\t"))
+
+
 def _identifiers(text: Column, known: dict[str, str]) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    table = _map(known.items())
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
     return F.transform(F.regexp_extract_all(plain, F.lit(sentence_pattern(known)), F.lit(0)), lambda s: F.element_at(table, s))
 
@@ -236,7 +241,7 @@ def scan_licences(
     """Id, ``sentences`` (identifiers in order) and ``licences`` (sorted, distinct) of every row."""
     found = docs.select(F.col(id_col).alias("id"), _identifiers(F.col(text_col), known_sentences(sentences, names)).alias("sentences"))
     every = all_rules(rules, names)
-    single = F.create_map(*(F.lit(x) for licence, (first, *more) in every if not more for x in (first, licence)))
+    single = _map((first, licence) for licence, (first, *more) in every if not more)
     code = F.concat(F.lit("<"), F.array_join("sentences", "><"), F.lit(">"))
     matches = lambda own: F.col("code").rlike(_rule(own))
     hits = []
