@@ -7,8 +7,8 @@ every prefix of slots each source is then less than one block away from its
 weight.
 
 Weights are whole parts of ``parts``, so the schedule repeats after ``parts``
-slots. That one period is computed on the driver, its size being a parameter
-and not the data's; the slot of any block follows from its number. Sources that
+slots. That one period is computed on the driver, its size being a
+parameter, or twice the number of sources if that is more (``SOURCES`` bounds it). Sources that
 have run out leave their slots empty, and the others keep their proportions.
 Every row is kept, once.
 
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.session import drop_path, scratch_path
 
 PARTS = 1024
+#: Sources whose totals and schedule the driver holds and sends to every task; more raise.
+SOURCES = 100_000
 BLOCK_CHARS = 1 << 16
 
 
@@ -84,7 +86,8 @@ def mix_sources(
     """(id, _hash, source, block, slot, seat) of every row; order by slot, then seat.
 
     ``weights`` are target weights by source; without them, the square root of
-    the characters of each source. ``seat`` orders the rows of a block.
+    the characters of each source. ``seat`` orders the rows of a block. More than
+    ``SOURCES`` sources raise.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix")
@@ -93,7 +96,10 @@ def mix_sources(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).cast("string").alias("source"), size.alias("chars")
     ).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    sums = {r["source"]: (r["chars"], r["rows"]) for r in rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows")).collect()}
+    totals = rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows")).limit(SOURCES + 1).collect()
+    if len(totals) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources; mix groups of them")
+    sums = {r["source"]: (r["chars"], r["rows"]) for r in totals}
     if not sums:
         plan = {None: 1}
     elif weights is None:

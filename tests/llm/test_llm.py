@@ -184,6 +184,14 @@ def test_mixed_rows_follow_the_schedule(spark, small):
             assert r["slot"] == r["block"] // len(turns) * 64 + turns[r["block"] % len(turns)]
 
 
+def test_too_many_sources_raise(odd_documents, monkeypatch):
+    monkeypatch.setattr(source_mix, "SOURCES", 3)
+    assert source_mix.mix_sources(odd_documents).count() == odd_documents.count()
+    monkeypatch.setattr(source_mix, "SOURCES", 2)
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        source_mix.mix_sources(odd_documents)
+
+
 def test_mixing_odd_tables(odd_documents, no_documents):
     got = rows(source_mix.mix_sources(odd_documents))
     assert len(got) == odd_documents.count() and all(r["slot"] is not None for r in got)
