@@ -7,8 +7,9 @@ every prefix of slots each source is then less than one block away from its
 weight.
 
 Weights are whole parts of ``parts``, so the schedule repeats after ``parts``
-slots. That one period is computed on the driver, its size being a
-parameter, or twice the number of sources if that is more (``SOURCES`` bounds it). Sources that
+slots. That one period is computed on the driver, its size being a parameter, or
+twice the number of sources if that is more (``SOURCES`` bounds it); the slot of
+any block follows from its number. Sources that
 have run out leave their slots empty, and the others keep their proportions.
 Every row is kept, once.
 
