@@ -177,18 +177,18 @@ def corr_matrix(spark, d):
     return found.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
 
 
-_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "toxic", "packed"]
+_GAPPED_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "toxic", "packed"]
 
 
 @query(_GAPPED.replace("l_discount, toxic", "l_discount, toxic, 1.2 * l_quantity + l_linenumber AS packed") + "SELECT col_a FROM (" + "\nUNION ALL ".join(
-    f"SELECT '{a}' AS col_a, corr({a}, {b}) AS c FROM g" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[:i]
+    f"SELECT '{a}' AS col_a, corr({a}, {b}) AS c FROM g" for i, a in enumerate(_GAPPED_NUMBERS) for b in _GAPPED_NUMBERS[:i]
 ) + ") WHERE abs(c) > 0.8 GROUP BY col_a")
 def correlated_columns(spark, d):
     """Later columns of pairs correlated above 0.8, the ones a training run drops; ``packed`` repeats the quantity."""
     lines, labels = table(spark, d, "lineitem"), table(spark, d, "labels")
     lines = lines.withColumn("packed", 1.2 * F.col("l_quantity") + F.col("l_linenumber"))
     gapped = lines.join(labels, lines.l_partkey == labels.doc_id, "left")
-    return _rows(spark, [(c,) for c in P.correlated_columns(gapped, _NUMBERS)], "col_a string")
+    return _rows(spark, [(c,) for c in P.correlated_columns(gapped, _GAPPED_NUMBERS)], "col_a string")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_returnflag = 'N'")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog import QUERIES
 from ledgerloom.operators import aggregates as A, features as L, joins as J, profile as P
 
 
@@ -109,3 +110,10 @@ def test_flag_every_row_of_a_repeated_key(spark):
     keys = spark.createDataFrame([(1,), (1,), (None,)], "k int")
     got = sorted(map(tuple, J.flag_members(df, keys, "k", "f").na.fill(-1).collect()))
     assert got == [(-1, False), (1, True), (1, True), (2, False)]
+
+
+def test_column_statistics_of_queries_name_own_columns(spark, small):
+    """A list of columns further down in the catalogue must not replace the one these queries and their SQL use."""
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    for name in ("medians", "quartiles", "moments"):
+        assert [r.column_name for r in QUERIES[name](spark, small).collect()] == numbers
