@@ -1,6 +1,7 @@
 """Nearest rows against brute force, oversampling."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,72 @@ def test_bounds_hold_for_the_levels(spark):
     rough = np.sqrt(((near[:, None] - near[None]) ** 2).sum(2))
     spread = off[:, None] + off[None] + 1e-6
     assert (rough - spread <= true).all() and (true <= rough + spread).all()
+
+
+class _Seen(Exception):
+    pass
+
+
+def test_points_meet_tasks_and_not_groups(spark, monkeypatch):
+    """Bytes of points dealt to tasks do not grow when the groups of queries are smaller."""
+    from ledgerloom.operators import neighbours as N
+
+    def count(*_):
+        def run(batches):
+            sent = [sum(len(c) for c in b.column("codes").to_pylist()) for b in batches]
+            yield pa.RecordBatch.from_pydict({"qid": pa.array([sum(sent)], pa.int64()), "pid": pa.array([0], pa.int64())})
+
+        return run
+
+    def look(df, label):
+        if label == "possible":
+            raise _Seen(df.agg(F.sum("qid")).first()[0])
+        return materialize(df, label)
+
+    monkeypatch.setattr(N, "_stream", count)
+    monkeypatch.setattr(N, "materialize", look)
+    rows = list(enumerate(np.random.default_rng(9).normal(size=(4000, 16))))
+    sent = {}
+    for group_rows in (4000, 40):
+        with pytest.raises(_Seen) as seen:
+            nearest(frame(spark, rows, "qid"), frame(spark, rows, "pid"), 3, small_rows=10, group_rows=group_rows)
+        sent[group_rows] = seen.value.args[0]
+    cores = spark.sparkContext.defaultParallelism
+    assert sent[40] == sent[4000] <= (cores + 1) * 4000 * 16
+
+
+def test_few_pairs_are_compared_in_full(spark, monkeypatch):
+    """In many dimensions the two bytes leave little more than the neighbours themselves."""
+    from ledgerloom.operators import neighbours as N
+
+    left = []
+
+    def look(df, label):
+        made = materialize(df, label)
+        if label == "possible":
+            left.append(made.count())
+        return made
+
+    monkeypatch.setattr(N, "materialize", look)
+    rows = list(enumerate(np.random.default_rng(10).normal(size=(3000, 64))))
+    got = nearest(frame(spark, rows, "qid"), frame(spark, rows, "pid"), 3, True, small_rows=10)
+    assert got.count() == 9000 and left[0] < 8 * 3000
+
+
+def test_near_cells_far_rows_and_copies(spark, monkeypatch):
+    """Many cells, groups that skip cells, rows far out, copies that fill a cell, queries of their own."""
+    from ledgerloom.operators import neighbours as N
+
+    monkeypatch.setattr(N, "CELL_ROWS", 40, raising=False)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.round(rng.uniform(size=(2900, 2)), 2), rng.normal(size=(60, 2)) * 1e6, np.tile([[0.5, 0.5]], (540, 1))])
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(x)), x)]
+    asked = rows[::7] + [(10**6 + i, v) for i, v in enumerate(rng.uniform(size=(50, 2)))]
+    got = nearest(frame(spark, asked, "qid"), frame(spark, rows, "pid"), 4, small_rows=10, group_rows=30)
+    ids, points = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = set()
+    for i, v in asked:
+        away = np.sqrt(((points - v) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, away)) if ids[j] != i][:4]
+        want |= {(i, int(ids[j]), r + 1) for r, j in enumerate(order)}
+    assert {(r.qid, r.pid, r["rank"]) for r in got.collect()} == want
