@@ -10,6 +10,8 @@ from ledgerloom.session import materialize
 
 # A group above this many rows is cut into ranges instead of being sorted by one task.
 HOT_ROWS = 2_000_000
+# More ranges than this are made only of rows that would not fit them: every range is a task, whose status the driver gets.
+PIECES = 1000
 
 
 def _default_past_end(nxt: Column, default) -> Column:
@@ -85,8 +87,9 @@ def next_in_session(
 
 
 def pieces_for(hot: DataFrame, size: str, hot_rows: int) -> int:
-    """Number of ranges that keeps each below ``hot_rows`` on average."""
-    return max(2, 2 * ceil(hot.agg(F.sum(size)).first()[0] / hot_rows))
+    """Number of ranges that keeps each below ``hot_rows`` on average, or below ``HOT_ROWS`` if these would be too many."""
+    rows = hot.agg(F.sum(size)).first()[0]
+    return max(2, min(2 * ceil(rows / hot_rows), max(PIECES, 2 * ceil(rows / HOT_ROWS))))
 
 
 def running_total(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:

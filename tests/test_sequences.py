@@ -78,3 +78,13 @@ def test_row_ids_and_running_total(spark):
 def test_dedup_first(spark):
     df = spark.createDataFrame([(1, 3, "c"), (1, 2, None), (2, 1, "x")], "k int, o int, v string")
     assert {tuple(r) for r in S.dedup_first(df, "k", ["o"]).collect()} == {(1, 2, None), (2, 1, "x")}
+
+
+def test_ranges_are_bounded_in_number(spark):
+    """A small ``hot_rows`` over many rows must not make a task of every few hundred rows."""
+    def pieces(rows, hot_rows):
+        return S.pieces_for(spark.createDataFrame([(rows,)], "_n bigint"), "_n", hot_rows)
+
+    assert pieces(1_000, 100) == 20 and pieces(10, 100) == 2
+    assert pieces(36_000_000, 500) == S.PIECES
+    assert pieces(10**10, 500) == 10_000  # two million rows a range at most
