@@ -218,3 +218,27 @@ def test_near_cells_far_rows_and_copies(spark, monkeypatch):
         order = [j for j in np.lexsort((ids, away)) if ids[j] != i][:4]
         want |= {(i, int(ids[j]), r + 1) for r, j in enumerate(order)}
     assert {(r.qid, r.pid, r["rank"]) for r in got.collect()} == want
+
+
+def test_pairs_in_few_dimensions_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    """Groups meet near cells only: four times the rows make far fewer than sixteen times the comparisons."""
+    from ledgerloom.operators import neighbours as N
+
+    plain, log = N._Group.meet, str(tmp_path / "met")
+
+    def meet(self, ids, *rest):
+        with open(log + str(len(self.ids) * len(ids)) + "-" + str(id(rest)) + "-" + str(ids[0]) + "-" + str(self.ids[0]), "w"):
+            pass
+        return plain(self, ids, *rest)
+
+    monkeypatch.setattr(N._Group, "meet", meet)
+    monkeypatch.setattr(N, "CELL_ROWS", 100, raising=False)
+    met = {}
+    for size in (4000, 16_000):
+        rows = list(enumerate(np.random.default_rng(size).uniform(size=(size, 2))))
+        assert nearest(frame(spark, rows, "qid"), frame(spark, rows, "pid"), 3, small_rows=10, group_rows=4096).count() == 3 * size
+        files = list(tmp_path.iterdir())
+        met[size] = sum(int(f.name[3:].split("-")[0]) for f in files)
+        for f in files:
+            f.unlink()
+    assert met[16_000] < 8 * met[4000]
