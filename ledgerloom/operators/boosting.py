@@ -5,9 +5,9 @@ Rows of equal bytes are one group with their number and the sum of their labels;
 squared error needs no more, since a tree cannot tell them apart. A level of a
 tree takes one aggregate: number and residual of every (node, feature, bin).
 
-Few groups, by count, are trained by one task. Many stay where they are: a job a
-level adds up the histograms of the tasks, and the predictions so far are
-written into the table every ``REWRITE`` trees.
+Few groups, by count, are trained by one task. Many are packed into blocks and stay
+where they are: a job a level adds up the histograms of the tasks, and the predictions
+so far are written into the table every ``REWRITE`` trees.
 
 The fitted model is a pipeline stage that is saved with its pipeline. It scores
 Arrow batches of the feature columns, a tree at a time for all rows.
@@ -34,7 +34,9 @@ from ledgerloom.session import drop_path, materialize, scratch_path
 BINS = 32
 # Groups that one task trains on: some 30 bytes each and a few arrays.
 SMALL_GROUPS = 400_000
-REWRITE = 10
+REWRITE = 4
+# Groups of a packed row, and packed rows that a task works on at a time.
+BLOCK, BLOCKS = 4096, 64
 
 
 @dataclass
@@ -178,34 +180,69 @@ def _train_here(sizes: list[int], rounds: int, depth: int, step: float):
 _TREES = "turn int, feature array<bigint>, bin array<bigint>, value array<double>, gain array<double>"
 
 
+_BLOCKS = "codes binary, n binary, s binary, p binary"
+
+
+def _packed(columns: int):
+    """Groups as rows of ``BLOCK``, made where they are read, so that a pass over them is one over few rows."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(_rows([batch], columns))
+            size += len(held[-1][0])
+            if size >= BLOCK:
+                yield from _blocks(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if size:
+            yield from _blocks(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _blocks(*arrays: np.ndarray):
+    cut = range(0, len(arrays[0]), BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array([a[at : at + BLOCK].tobytes() for at in cut], pa.binary()) for a in arrays], ["codes", "n", "s", "p"])
+
+
+def _unpacked(batches, columns: int):
+    """The same four arrays as ``_rows``, of some packed rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), BLOCKS):
+            codes, *numbers = (b"".join(c.to_pylist()) for c in batch.slice(at, BLOCKS).columns)
+            n, s, p = (np.frombuffer(x, np.float64) for x in numbers)
+            yield np.frombuffer(codes, np.uint8).reshape(-1, columns), n, s, p.copy()
+
+
 def _boost_in_jobs(groups: DataFrame, sizes: list[int], rounds: int, depth: int, step: float) -> tuple[list[Tree], list[np.ndarray]]:
     """As ``_train_here``, by one aggregate a level; what reaches the driver is (node, feature, bin) sums."""
     spark, columns = groups.sparkSession, len(sizes)
-    held: dict = {"table": groups, "path": None, "from": 0}
+    held: dict = {"table": None, "path": None, "from": 0}
+
+    def write(df: DataFrame, trees: int) -> None:
+        path = scratch_path(spark, "boosted")
+        df.write.parquet(path)
+        if held["path"]:
+            drop_path(spark, held["path"])
+        held.update({"table": spark.read.schema(_BLOCKS).parquet(path), "path": path, "from": trees})
 
     def predicted(trees):
         def run(batches):
-            for batch in batches:
-                codes, _, _, p = _rows([batch], columns)
+            for codes, n, s, p in _unpacked(batches, columns):
                 for t in trees:
                     p += t.predict(codes)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("codes", "n", "s")), pa.array(p)], ["codes", "n", "s", "p"])
+                yield from _blocks(codes, n, s, p)
 
         return run
 
     def find(trees, tree, level):
         if len(trees) - held["from"] >= REWRITE:
-            path = scratch_path(spark, "boosted")
-            held["table"].mapInArrow(predicted(trees[held["from"] :]), held["table"].schema).write.parquet(path)
-            if held["path"]:
-                drop_path(spark, held["path"])
-            held.update({"table": spark.read.schema(groups.schema).parquet(path), "path": path, "from": len(trees)})
+            write(held["table"].mapInArrow(predicted(trees[held["from"] :]), _BLOCKS), len(trees))
         since = trees[held["from"] :]
 
         def part(batches):
             out = np.zeros((2, 2**level, columns, BINS))
-            for batch in batches:
-                codes, n, s, p = _rows([batch], columns)
+            for codes, n, s, p in _unpacked(batches, columns):
                 for t in since:
                     p += t.predict(codes)
                 out += histograms(Bundles(codes, sizes), n, s - n * p, tree.nodes(codes, level) - (2**level - 1), 2**level)
@@ -220,9 +257,9 @@ def _boost_in_jobs(groups: DataFrame, sizes: list[int], rounds: int, depth: int,
             found[:, row.cell] = row.n, row.r
         return found.reshape(2, 2**level, columns, BINS)
 
+    write(groups.select("codes", "n", "s", "p").mapInArrow(_packed(columns), _BLOCKS), 0)
     made = boost(columns, rounds, depth, step, find)
-    if held["path"]:
-        drop_path(spark, held["path"])
+    drop_path(spark, held["path"])
     return made
 
 

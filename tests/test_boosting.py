@@ -81,3 +81,19 @@ def test_nothing_to_split(spark, rows):
     fit = B.fit_boosted(df, ["x"], rounds=3)
     want = sum(r[1] for r in rows) / len(rows) if rows else 0.0
     assert fit.predict([np.array([7.0])]).tolist() == [want]
+
+
+def test_passes_over_many_groups_read_few_rows(spark, monkeypatch):
+    """A job of a level reads packed rows, not one row a group."""
+    rows = table(spark, 6000).withColumn("b", F.rand(3)).withColumn("d", F.rand(4))
+    read = []
+    plain = B.drop_path
+
+    def count(session, path):
+        read.append(session.read.parquet(path).count())
+        plain(session, path)
+
+    monkeypatch.setattr(B, "drop_path", count)
+    B.fit_boosted(rows, COLUMNS, rounds=11, small_groups=0)
+    groups = rows.count() // 4
+    assert read and max(read) < groups // 20
