@@ -242,3 +242,20 @@ def test_pairs_in_few_dimensions_grow_with_the_rows(spark, monkeypatch, tmp_path
         for f in files:
             f.unlink()
     assert met[16_000] < 8 * met[4000]
+
+
+def test_loose_bounds_hold_few_pairs():
+    """A large group of one cell, whose first bound lets all pairs pass, lowers it before it holds them."""
+    from ledgerloom.operators import neighbours as N
+
+    x = np.random.default_rng(12).normal(size=(6000, 8))
+    group = N._Group(np.arange(6000), x, np.full(6000, 1e-6), 4, 1e3)
+    plain, most = group.thin, []
+    group.thin = lambda: (most.append(group.held), plain())
+    for at in range(0, 6000, 1000):
+        group.meet(np.arange(at, at + 1000), x[at : at + 1000], np.full(1000, 1e-6))
+    got = group.possible()
+    assert max(most) < 40 * 6000
+    away = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
+    pairs = set(zip(got["qid"].to_pylist(), got["pid"].to_pylist()))
+    assert {(i, int(j)) for i in range(50) for j in np.argsort(away[i])[:4]} <= pairs and len(pairs) < 6 * 6000
