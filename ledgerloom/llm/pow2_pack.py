@@ -9,11 +9,13 @@ every task cuts its own documents.
 Cases: a null or empty text is the end token alone; a null id stays null;
 repeated rows are cut like any others, each piece with its own sequence id;
 columns other than id and text are not read; an empty table gives no rows.
-A text of any length is cut within the memory of its own ids.
+A text of any length is cut within the memory of its own ids; else a task holds
+what ``CHUNK`` bytes of text take, and the ids of the words it has met.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -27,8 +29,14 @@ from ledgerloom.llm.words import chunks, ragged, split_words
 
 MAX_LENGTH = 2048
 END = 1
-#: Distinct words of a chunk are encoded once, so larger chunks cost less.
-CHUNK = 12 << 20
+#: Bytes of text that are cut at once: words, ids and pieces take many times as much.
+CHUNK = 3 << 20
+#: Bytes of distinct words whose ids a task keeps from one chunk to the next.
+KNOWN = 8 << 20
+#: Bytes and strings that go to the tokenizer at once: its encodings are many times as large as their ids.
+CALL, CALL_STRINGS = 64 << 10, 2048
+#: Pieces that are digested at once.
+DIGESTED = 1000
 
 # The steps of a tokenizer that reads words.
 NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -39,7 +47,7 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]}
 
-_loaded: dict = {}  # tokenizers and their word ends, by path
+_loaded: dict = {}  # tokenizers, their word ends and whether they read words, by path
 
 
 def _tokenizer(path: str):
@@ -60,12 +68,15 @@ def binary_pieces(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
 def _encode(strings: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all strings, one after another, and how many each has."""
     tokenizer = _tokenizer(path)
-    parts, sizes = [np.zeros(0, np.uint32)], []
-    for at in range(0, len(strings), 2048):  # encodings are many times as large as their ids
-        for e in tokenizer.encode_batch_fast(strings.slice(at, 2048).to_pylist(), add_special_tokens=False):
-            ids = e.ids
-            parts.append(np.array(ids, np.uint32))
-            sizes.append(len(ids))
+    ends = np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False), dtype=np.int64)
+    parts, sizes, at = [np.zeros(0, np.uint32)], [], 0
+    while at < len(strings):
+        before = ends[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + CALL, side="right"))), at + CALL_STRINGS)
+        ids = [e.ids for e in tokenizer.encode_batch_fast(strings.slice(at, stop - at).to_pylist(), add_special_tokens=False)]
+        parts.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        sizes.extend(map(len, ids))
+        at = stop
     return np.concatenate(parts), np.array(sizes, np.int64)
 
 
@@ -91,9 +102,12 @@ def _ends_word(path: str) -> np.ndarray:
 
 def reads_words(path: str) -> bool:
     """Whether the ids of a text are those of its words: the tokenizer lower-cases and drops white space before it merges."""
-    made = json.loads(_tokenizer(path).to_str())
-    known = all(token["content"].startswith("<|") for token in made["added_tokens"])
-    return known and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+    key = (path, "words")
+    if key not in _loaded:
+        made = json.loads(_tokenizer(path).to_str())
+        known = all(token["content"].startswith("<|") for token in made["added_tokens"])
+        _loaded[key] = known and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+    return _loaded[key]
 
 
 def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +146,35 @@ def word_ids(vocabulary: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, own + has
 
 
-def document_ids(texts, path: str) -> list[np.ndarray]:
+class KnownWords:
+    """Ids of the words of one chunk after another; a word is encoded once until ``KNOWN`` bytes are held."""
+
+    def __init__(self, path: str):
+        self.path, self.words = path, pa.array([], pa.large_string())
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def find(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids held, and where in them those of each distinct word begin and how many they are."""
+        if self.words.nbytes + vocabulary.nbytes > KNOWN:  # only these words from now on
+            self.__init__(self.path)
+        at = pc.index_in(vocabulary, value_set=self.words)
+        new = at.is_null()
+        words = vocabulary.filter(new)
+        at, new = at.fill_null(0).to_numpy().copy(), new.to_numpy(zero_copy_only=False)
+        at[new] = len(self.words) + np.arange(len(words))
+        if len(words):
+            flat, sizes = word_ids(words, self.path)
+            self.words = pa.concat_arrays([self.words, words])
+            self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes))
+        return self.flat, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+
+
+def document_ids(texts, path: str, known: KnownWords | None = None) -> list[np.ndarray]:
     """Token ids of every text, without the end token.
 
     Where the tokenizer drops white space before it merges, the ids of a text are
-    those of its words in order and every distinct word is encoded once; another
-    tokenizer reads whole texts.
+    those of its words in order and every distinct word is encoded once, in all
+    calls with the same ``known``; another tokenizer reads whole texts.
     """
     if not reads_words(path):
         flat, sizes = _encode(pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, ""), path)
@@ -145,13 +182,43 @@ def document_ids(texts, path: str) -> list[np.ndarray]:
     words = split_words(texts)
     if not len(words.ids):
         return [np.zeros(0, np.uint32) for _ in words.counts]
-    flat, sizes = word_ids(words.vocabulary, path)
-    begin, lengths = np.cumsum(sizes) - sizes, sizes[words.ids]
+    flat, begin, sizes = (known or KnownWords(path)).find(words.vocabulary)
+    lengths = sizes[words.ids]
     ids = flat[ragged(begin[words.ids], lengths)]
-    ends = np.cumsum(np.bincount(words.owner, lengths, len(words.counts)).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(words.counts)]
     return np.split(ids, ends[:-1])
 
 
+def _cutter(tokenizer: str, longest: int, end: int):
+    def laid_out(chunk: pa.Table, known: KnownWords) -> pa.RecordBatch:
+        ids = document_ids(chunk["_text"], tokenizer, known)
+        mark = np.array([end], np.uint32)
+        # pieces follow one another as the documents do
+        values = np.concatenate([part for own in ids for part in (own, mark)]).view(np.int32)
+        total = np.array([len(own) + 1 for own in ids], np.int64)
+        lengths = [binary_pieces(n, longest) for n in total.tolist()]
+        row = np.repeat(np.arange(len(total)), [len(x) for x in lengths])
+        length = np.array([n for x in lengths for n in x], np.int64)
+        ends = np.cumsum(length)
+        return pa.RecordBatch.from_arrays(
+            [
+                chunk["_id"].combine_chunks().take(pa.array(row)),
+                pa.array(ends - length - (np.cumsum(total) - total)[row]),
+                pa.array(length),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values)),
+                pa.array(total[row]),
+            ],
+            ["_id", "start", "length", "tokens", "doc_tokens"],
+        )
+
+    def cut(batches):
+        known = KnownWords(tokenizer)
+        # no chunk is held while the next is read
+        yield from map(lambda chunk: laid_out(chunk, known), chunks(batches, "_text", CHUNK))
+
+    return cut
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
     longest: int = MAX_LENGTH, end: int = END,
@@ -162,36 +229,8 @@ def pack_documents(
     partitioned by it to get the files of one sequence length together.
     """
     kind = docs.schema[id_col].dataType
-
-    def cut(batches):
-        for chunk in chunks(batches, "_text", CHUNK):
-            ids = document_ids(chunk["_text"], tokenizer)
-            row, start, length, pieces, total = [], [], [], [], []
-            for i, own in enumerate(ids):
-                own = np.append(own, np.uint32(end))
-                at = 0
-                for n in binary_pieces(len(own), longest):
-                    row.append(i)
-                    start.append(at)
-                    length.append(n)
-                    pieces.append(own[at : at + n].astype(np.int32))
-                    total.append(len(own))
-                    at += n
-            values = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    chunk["_id"].combine_chunks().take(pa.array(row, pa.int64())),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array(total, pa.int64()),
-                ],
-                ["_id", "start", "length", "tokens", "doc_tokens"],
-            )
-
     pieces = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        cut, f"_id {kind.simpleString()}, start long, length long, tokens array<int>, doc_tokens long"
+        _cutter(tokenizer, longest, end), f"_id {kind.simpleString()}, start long, length long, tokens array<int>, doc_tokens long"
     )
     return pieces.select(
         F.col("_id").alias(id_col), "start", "length", "tokens", "doc_tokens",
@@ -216,8 +255,10 @@ def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, ids_crc32(batch.column("tokens"))], [*keep, "ids_crc32"])
+            for at in range(0, len(batch), DIGESTED):
+                part = batch.slice(at, DIGESTED)
+                columns = [part.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, ids_crc32(part.column("tokens"))], [*keep, "ids_crc32"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids_crc32 long"
     return pieces.select(*keep, "tokens").mapInArrow(digest, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerloom.llm.words import mix, ragged, runs
+from ledgerloom.llm.words import mix, ragged, release, runs
 
 LAST = np.iinfo(np.int64).max
 #: Texts, and characters of each, from which a compression dictionary of so many bytes is trained.
@@ -157,8 +157,11 @@ def with_runs(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, sch
     def shrink(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            zipped = pa.array([None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "hash")), zipped], ["row", "id", "hash", "zip"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                zipped = pa.array([None if t is None else pack.compress(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "id", "hash")), zipped], ["row", "id", "hash", "zip"])
+        release()
 
     zipped = keyed.mapInArrow(
         shrink, T.StructType([row, T.StructField("id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("zip", T.BinaryType())])
@@ -177,6 +180,7 @@ def with_runs(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, sch
                     [part.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), *made],
                     ["row", "text", *(f"n{i}" for i in range(len(made)))],
                 )
+        release()
 
     done = joined.select("row", "zip", "starts", "sizes").mapInArrow(
         finish, T.StructType([row, T.StructField("text", T.StringType()), *(T.StructField(f"n{i}", kind) for i, (_, kind, _) in enumerate(added))])

@@ -5,12 +5,15 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from unittest.mock import patch
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from __spark_entry__ import oracle_sql, queries
 from check import compare
@@ -556,6 +559,67 @@ def test_packing_keeps_every_id_once(spark, odd_documents, no_documents):
     assert pow2_pack.pack_documents(no_documents, path).count() == 0
 
 
+def _many_words(n_docs: int) -> pa.RecordBatch:
+    draw = random.Random(4)
+    spelled = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(spelled, k=1000)) for _ in range(n_docs)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n_docs), pa.int64()), pa.array(texts)], ["_id", "_text"])
+
+
+def test_a_packing_task_holds_little_beside_its_batch():
+    """Twelve megabytes of text once took over 100 megabytes of arrays, and some 400 in all."""
+    path, batch = tokenizer_path(), _many_words(2000)
+    pow2_pack._ends_word(path), pow2_pack.reads_words(path)
+    task = []  # without Spark around it
+
+    class Docs:
+        schema = T.StructType([T.StructField("doc_id", T.LongType())])
+        select = lambda self, *_: self
+        mapInArrow = lambda self, fn, _: task.append(fn) or self
+
+    with patch.object(pow2_pack, "F"):
+        pow2_pack.pack_documents(Docs(), path)
+    tracemalloc.start()
+    sizes = [out.nbytes for out in task[0](iter([batch]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 12e6 and max(sizes) < 10e6 and most < 60e6, (sizes, most)
+
+
+def test_words_met_before_keep_their_ids(monkeypatch):
+    path, batch = tokenizer_path(), _many_words(200)
+    encoded = []
+    one = pow2_pack.word_ids
+    monkeypatch.setattr(pow2_pack, "word_ids", lambda words, path: encoded.append(len(words)) or one(words, path))
+    texts = batch["_text"]
+    whole = [ids.tolist() for ids in pow2_pack.document_ids(texts, path)]
+    distinct = encoded.pop()
+    for limit, again in ((pow2_pack.KNOWN, False), (1 << 18, True)):  # the second lets go of its words on the way
+        monkeypatch.setattr(pow2_pack, "KNOWN", limit)
+        known = pow2_pack.KnownWords(path)
+        parts = [ids.tolist() for at in range(0, 200, 30) for ids in pow2_pack.document_ids(texts.slice(at, 30), path, known)]
+        assert parts == whole
+        assert (sum(encoded) > distinct) == again
+        encoded.clear()
+
+
+def test_strings_of_any_length_are_encoded_in_bounded_calls(monkeypatch):
+    path = tokenizer_path()
+    texts = ["a b", "", "word " * 40_000, "x", *["some more words"] * 9000]
+    flat, sizes = pow2_pack._encode(pa.array(texts), path)
+    ids = [pow2_pack._tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts[:5]]
+    assert sizes.tolist() == [len(i) for i in ids[:4]] + [len(ids[4])] * 9000
+    assert flat.tolist() == [x for i in ids[:4] for x in i] + ids[4] * 9000
+
+
+def test_digests_of_sliced_batches(spark):
+    docs = spark.range(3500).selectExpr("id AS doc_id", "repeat('one two three ', int(id % 7)) AS text").coalesce(1)
+    pieces = pow2_pack.pack_documents(docs, tokenizer_path())
+    got, want = rows(pow2_pack.piece_digests(pieces)), rows(pieces)
+    assert len(want) > 2 * pow2_pack.DIGESTED
+    assert [g["ids_crc32"] for g in got] == [zlib.crc32(np.array(r["tokens"], "<u4").tobytes()) for r in want]
+
+
 # 10 word dedup
 
 
