@@ -6,16 +6,20 @@ impact, a quarter of a power of two of the value's size and its sign, and the
 segments are stored by descending impact. Beside each level of impact the index keeps, for
 every vector, the length of what has not been read yet.
 
-A block of queries takes segments in that order and adds query value times
-segment impact to the accumulators. After a level, a vector's score lies within
-length of the query times length of what is unread or lost by quantising
-(Cauchy-Schwarz). A vector whose upper bound is below the k-th largest lower
-bound cannot be a member. Reading stops when this proof leaves few possible
-members; those, ties included, are scored again exactly from the stored
-vectors. Where the proof never comes, the last level ends the reading.
-
-Blocks of queries meet blocks of the index by an equi-join on block numbers; a
-task reads one pair at a time. Each meeting returns at most k rows a query.
+A block's segments are read in that order into a matrix of impacts, whose
+product with a pack of queries is their accumulators. After a level, a vector's
+score lies within length of the query times length of what is unread or lost by
+quantising (Cauchy-Schwarz) of its accumulator. A vector whose upper bound is
+below the k-th largest score known of the query, or below the k-th largest lower
+bound, cannot be a member. Reading stops when this proof leaves few possible
+members; those, ties included, are scored again exactly from the stored vectors.
+Where the proof never comes, the last level ends the reading. Accumulators are
+of single precision; what they may be off by is part of the bounds.
+
+A task holds one stripe of the queries, packed, and reads a piece of the index
+block by block; it returns k rows a query. Queries go to every piece and the
+index to every stripe, and there is one stripe unless the queries take more than
+``HELD`` bytes. No join makes pairs of rows.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
 no part, as query or candidate; vectors of other lengths than the query's are
@@ -33,10 +37,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.session import scratch_path
+from ledgerloom.llm.spans import pack_numbers, steps, unpack_numbers
+from ledgerloom.session import scratch_path, small_batches
 
 BLOCK = 4096
 QUERY_BLOCK = 256
+#: Blocks of a piece of a large index.
+PIECE = 64
+#: Bytes of the queries that a task holds, with their best rows.
+HELD = 96 << 20
+#: Rows whose lower bounds stand in for a score that is not known yet, and pairs scored at once.
+SEED, PAIRS = 1024, 1 << 14
 #: Reading stops when this share of a block's vectors at most is still possible.
 POSSIBLE = 0.02
 
@@ -57,58 +68,120 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def build_index(matrix: np.ndarray) -> tuple[list, np.ndarray]:
     """Segments (level, dimension, impact, vectors) by descending impact, and unread lengths by level."""
     level, impact = quantise(matrix)
-    levels = np.unique(level[level > 0])[::-1]
-    segments, unread = [], [np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))]
+    vector, dimension = np.nonzero(level)
+    order = np.lexsort((matrix[vector, dimension] < 0, dimension, -level[vector, dimension]))
+    vector, dimension = vector[order], dimension[order]
+    at, size, value = level[vector, dimension], impact[vector, dimension], matrix[vector, dimension].astype(np.float64)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 0) | (np.diff(dimension) != 0) | (np.diff(size) != 0)
+    first = np.flatnonzero(new)
+    parts = np.split(vector.astype(np.int32), first[1:])
+    segments = [(int(at[f]), int(dimension[f]), float(size[f]), own) for f, own in zip(first, parts)]
     rest = (matrix.astype(np.float64) ** 2).sum(axis=1)
-    for at in levels:
-        here = level == at
-        for dimension in np.flatnonzero(here.any(axis=0)):
-            for sign in (1, -1):
-                own = np.flatnonzero(here[:, dimension] & (np.sign(matrix[:, dimension]) == sign))
-                if len(own):
-                    segments.append((int(at), int(dimension), float(impact[own[0], dimension]), own.astype(np.int32)))
-        rest = rest - np.where(here, matrix.astype(np.float64) ** 2 - (matrix - impact) ** 2, 0).sum(axis=1)
+    unread = [np.sqrt(rest)]
+    won = value**2 - (value - size) ** 2
+    ends = np.flatnonzero(np.diff(at, append=-1))
+    for a, b in zip([0, *(ends[:-1] + 1)], ends + 1):
+        rest = rest - np.bincount(vector[a:b], won[a:b], len(matrix))
         unread.append(np.sqrt(np.maximum(rest, 0)))
     return segments, np.array(unread)
 
 
-def search_block(segments: list, unread: np.ndarray, matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """Per query: indices of the k best rows and their scores."""
-    n = len(matrix)
-    lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    acc = np.zeros((n, len(queries)))
-    possible = np.ones((n, len(queries)), bool)
-    own = ids[:, None] == query_ids[None, :]
-    at = step = 0
-    tried = np.inf
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The numbers in the least whole type that holds them."""
+    least, most = (int(matrix.min()), int(matrix.max())) if matrix.size else (0, 0)
+    return matrix.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
+class Pack:
+    """Queries and the k best rows that each has met, best first; a row of -1 is a free place."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
+        self.queries, self.query_ids, self.k = queries, query_ids, k
+        lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        self.lengths = np.where(lengths > 0, lengths, 1.0)
+        self.scores, self.ids = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64)
+        self.rows = np.full((len(queries), k), -1, np.int64)
+
+    def settle(self, read: np.ndarray, slack: np.ndarray, matrix: np.ndarray, ids: np.ndarray, first_row: int, last: bool) -> bool:
+        """Take up the members that a block may have; False if these are too many for now.
+
+        ``read`` has impacts by dimension and, below, ``slack``, which is for a query of length one.
+        """
+        n = len(ids)
+        unit = np.ones((len(self.queries), len(read)), np.float32)
+        unit[:, :-1] = self.queries / self.lengths[:, None]
+        upper = unit @ read
+        full = self.rows[:, -1] >= 0
+        # twice the next smaller number: the division and the narrowing both round
+        bar = np.where(full, self.scores[:, -1] / self.lengths, -np.inf).astype(np.float32)
+        bar = np.nextafter(np.nextafter(bar, np.float32(-np.inf)), np.float32(-np.inf))
+        seeds = min(n, SEED)
+        if seeds > self.k and not full.all():
+            lower = upper[:, :seeds] - 2 * slack[:seeds]
+            lower[self.query_ids[:, None] == ids[None, :seeds]] = -np.inf
+            bar = np.maximum(bar, np.partition(lower, seeds - self.k, axis=1)[:, seeds - self.k])
+        hit = np.flatnonzero(upper >= bar[:, None])
+        if not last and len(hit) > max(POSSIBLE * upper.size, 4 * self.k * len(self.queries)):
+            return False
+        of, at = np.divmod(hit, n)
+        other = ids[at] != self.query_ids[of]
+        of, at = of[other], at[other]
+        for i in range(0, len(of), PAIRS):
+            q, r = of[i : i + PAIRS], at[i : i + PAIRS]
+            scores = np.einsum("ij,ij->i", matrix[r].astype(np.int64), self.queries[q].astype(np.int64))
+            self._add(q, scores, ids[r], first_row + r)
+        return True
+
+    def _add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        worst = self.scores[q, -1]
+        better = (self.rows[q, -1] < 0) | (scores > worst) | ((scores == worst) & (ids < self.ids[q, -1]))
+        if not better.any():
+            return
+        own = np.unique(q[better])
+        q = np.concatenate((np.repeat(own, self.k), q[better]))
+        scores, ids, rows = (
+            np.concatenate((held[own].ravel(), x[better])) for held, x in ((self.scores, scores), (self.ids, ids), (self.rows, rows))
+        )
+        order = np.lexsort((ids, ~scores, rows < 0, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, place = order[place < self.k], q[place < self.k], place[place < self.k]
+        self.scores[q, place], self.ids[q, place], self.rows[q, place] = scores[order], ids[order], rows[order]
+
+
+def scan_block(segments: list, unread: np.ndarray, matrix: np.ndarray, ids: np.ndarray, packs: list[Pack], first_row: int = 0, share: float = 1.0) -> float:
+    """Packs meet a block. The first proof is tried at ``share`` of the lengths unread; returns where the last one was."""
+    n, width = matrix.shape
+    if not n:
+        return share
+    read = np.zeros((width + 1, n), np.float32)
+    left = unread.mean(axis=1)
+    # covers the rounding of the accumulators, and of the unread lengths
+    rounding = 4 * (width + 8) * 2.0**-24 * unread[0]
+    waiting, at, step, due = packs, 0, 0, share * left[0] * (1 + 1e-9)
     while True:
-        left = unread[step].mean() if n else 0.0
-        if n > k and left > 0.7 * tried and at < len(segments):
-            pass  # too little was read since the last proof was tried
-        elif n > k:
-            tried = left
-            # 1e-9 of the lengths covers the rounding of the sums
-            slack = unread[step][:, None] * lengths[None, :] * (1 + 1e-9) + 1e-9 * unread[0][:, None] * lengths[None, :]
-            lower = np.where(own, -np.inf, acc - slack)
-            bar = np.partition(lower, n - k, axis=0)[n - k]
-            possible = (acc + slack >= bar[None, :]) & ~own
-            if possible.sum() <= max(POSSIBLE * possible.size, 4 * k * len(queries)):
-                break
-        else:
-            possible = ~own
-            break
-        if at == len(segments):
-            break
+        last = at == len(segments) or n <= packs[0].k
+        if last or left[step] <= due:
+            due = 0.7 * left[step]  # later proofs are tried when enough was read since
+            share = min(share, left[step] / left[0]) if left[0] else share
+            slack = read[width] = (unread[step] + rounding).astype(np.float32)
+            waiting = [p for p in waiting if not p.settle(read, slack, matrix, ids, first_row, last)]
+            if not waiting:
+                return share
         level, step = segments[at][0], step + 1
         while at < len(segments) and segments[at][0] == level:
             _, dimension, impact, vectors = segments[at]
-            acc[vectors] += impact * queries[:, dimension].astype(np.float64)[None, :]
+            read[dimension, vectors] = impact
             at += 1
-    for q in range(len(queries)):
-        rows = np.flatnonzero(possible[:, q])
-        scores = matrix[rows] @ queries[q]
-        best = np.lexsort((ids[rows], -scores))[:k]
-        yield rows[best], scores[best]
+
+
+def search_block(segments: list, unread: np.ndarray, matrix: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
+    """Per query: indices of the k best rows and their scores."""
+    pack = Pack(queries, query_ids, k)
+    scan_block(segments, unread, matrix, ids, [pack])
+    for rows, scores in zip(pack.rows, pack.scores):
+        yield rows[rows >= 0], scores[rows >= 0]
 
 
 def _numbers(vector: str, scale: int):
@@ -127,21 +200,40 @@ def _index_rows():
         order = np.argsort(ids, kind="stable")
         ids, matrix = ids[order], matrix[order]
         segments, unread = build_index(matrix)
-        sizes = np.array([len(s[3]) for s in segments], np.int64)
+        levels, dimensions, impacts, parts = zip(*segments) if segments else ((), (), (), ())
+        # unread lengths as parts of the whole ones, in 255ths, rounded up
+        share = np.ceil(255 * np.divide(unread, unread[0], out=np.ones_like(unread), where=unread[0] > 0))
+        row = {
+            "ids": pack_numbers(steps(ids)), "vectors": pack_numbers(matrix.ravel()),
+            "head": pack_numbers(steps(np.array(levels, np.int64)), np.array(dimensions, np.int64)),
+            "impacts": np.array(impacts, "<f8").tobytes(), "sizes": pack_numbers(np.array([len(p) for p in parts], np.int64)),
+            "postings": pack_numbers(steps(np.concatenate(parts).astype(np.int64)) if parts else np.zeros(0, np.int64)),
+            "lengths": unread[0].astype("<f8").tobytes(), "unread": np.clip(share, 0, 255).astype(np.uint8).tobytes(),
+        }
         return pa.table({
             "block": [key[0].as_py()], "width": pa.array([width], pa.int32()), "n": pa.array([len(ids)], pa.int64()),
-            "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-            "vectors": pa.array([matrix.astype("<i8").tobytes()], pa.binary()),
-            "head": pa.array([np.array([[s[0], s[1], s[2]] for s in segments], "<f8").tobytes()], pa.binary()),
-            "sizes": pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
-            "postings": pa.array([np.concatenate([s[3] for s in segments]).astype("<i4").tobytes() if segments else b""], pa.binary()),
-            "unread": pa.array([unread.astype("<f8").tobytes()], pa.binary()),
+            "segments": pa.array([len(segments)], pa.int64()), "entries": pa.array([sum(map(len, parts))], pa.int64()),
+            **{name: pa.array([x], pa.binary()) for name, x in row.items()},
         })
 
     return build
 
 
-_INDEX = "block long, width int, n long, ids binary, vectors binary, head binary, sizes binary, postings binary, unread binary"
+_BLOBS = ("ids", "vectors", "head", "impacts", "sizes", "postings", "lengths", "unread")
+_INDEX = "block long, width int, n long, segments long, entries long, " + ", ".join(f"{name} binary" for name in _BLOBS)
+
+
+def _index_block(row: dict) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments, unread lengths, vectors and ids of a stored row."""
+    n, width, count = row["n"], row["width"], row["segments"]
+    ids = np.cumsum(unpack_numbers(row["ids"], n)[0])
+    matrix = unpack_numbers(row["vectors"], n * width)[0].reshape(n, width)
+    levels, dimensions = unpack_numbers(row["head"], count, count)
+    postings = np.cumsum(unpack_numbers(row["postings"], row["entries"])[0])
+    parts = np.split(postings, np.cumsum(unpack_numbers(row["sizes"], count)[0])[:-1])
+    segments = list(zip(np.cumsum(levels).tolist(), dimensions.tolist(), np.frombuffer(row["impacts"], "<f8").tolist(), parts))
+    lengths = np.frombuffer(row["lengths"], "<f8")
+    return segments, np.frombuffer(row["unread"], np.uint8).reshape(-1, n) / 255 * lengths, matrix, ids
 
 
 def write_index(vectors: DataFrame, path: str, id_col: str, vector_col: str, scale: int = 256, block: int = BLOCK) -> None:
@@ -157,50 +249,63 @@ def write_index(vectors: DataFrame, path: str, id_col: str, vector_col: str, sca
 
 
 def _pack_queries(key, table):
+    width = key[1].as_py()
+    ids, numbers = table["id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy()
     return pa.table({
-        "qblock": [key[0].as_py()], "width": pa.array([key[1].as_py()], pa.int32()),
-        "qids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary()),
-        "queries": pa.array([table["v"].combine_chunks().flatten().to_numpy().astype("<i8").tobytes()], pa.binary()),
+        "qblock": [key[0].as_py()], "width": pa.array([width], pa.int32()), "n": pa.array([len(ids)], pa.int64()),
+        "bytes": pa.array([_narrow(numbers).nbytes], pa.int64()),
+        "ids": pa.array([pack_numbers(ids)], pa.binary()), "vectors": pa.array([pack_numbers(numbers)], pa.binary()),
     })
 
 
 def _meet(k: int):
+    def answers(packs):
+        for pack in (p for own in packs.values() for p in own):
+            query, place = np.nonzero(pack.rows >= 0)
+            columns = (pack.query_ids[query], pack.ids[query, place], pack.scores[query, place])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["query_id", "id", "score"])
+
     def search(batches):
+        cell, packs, share = None, {}, {}
         for batch in batches:
             for at in range(len(batch)):
                 row = batch.slice(at, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    yield from answers(packs)
+                    cell, packs, share = row["cell"], {}, {}
                 width, n = row["width"], row["n"]
-                ids = np.frombuffer(row["ids"], "<i8")
-                matrix = np.frombuffer(row["vectors"], "<i8").reshape(n, width)
-                head = np.frombuffer(row["head"], "<f8").reshape(-1, 3)
-                parts = np.split(np.frombuffer(row["postings"], "<i4"), np.cumsum(np.frombuffer(row["sizes"], "<i8"))[:-1]) if len(head) else []
-                segments = [(int(h[0]), int(h[1]), h[2], p) for h, p in zip(head, parts)]
-                unread = np.frombuffer(row["unread"], "<f8").reshape(-1, n)
-                qids = np.frombuffer(row["qids"], "<i8")
-                queries = np.frombuffer(row["queries"], "<i8").reshape(len(qids), width)
-                out = ([], [], [])
-                for q, (rows, scores) in zip(qids, search_block(segments, unread, matrix, ids, queries, qids, k)):
-                    out[0].append(np.full(len(rows), q))
-                    out[1].append(ids[rows])
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["query_id", "id", "score"])
+                if not row["kind"]:
+                    queries = _narrow(unpack_numbers(row["vectors"], n * width)[0].reshape(n, width))
+                    packs.setdefault(width, []).append(Pack(queries, unpack_numbers(row["ids"], n)[0], k))
+                elif width in packs:
+                    share[width] = scan_block(*_index_block(row), packs[width], share=share.get(width, 1.0))
+        yield from answers(packs)
 
     return search
 
 
 def search(spark, path: str, k: int = 5, every: int = 50, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, id, score): the k best rows of each query; queries are rows whose id ``every`` divides."""
+    small_batches(spark)
     stored = spark.read.parquet(f"{path}/vectors")
     asked = stored.where(F.col("id") % every == 0)
     qblocks = max(1, math.ceil(asked.count() / query_block))
     asked.withColumn("qblock", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(qblocks))).groupBy("qblock", "width").applyInArrow(
-        _pack_queries, "qblock long, width int, qids binary, queries binary"
+        _pack_queries, "qblock long, width int, n long, bytes long, ids binary, vectors binary"
     ).write.parquet(f"{path}/queries")
     packed, index = spark.read.parquet(f"{path}/queries"), spark.read.parquet(f"{path}/blocks")
-    last = index.agg(F.max("block")).first()[0] or 0
-    # queries are the smaller side: they go to every block of the index, which is moved once
-    asked = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    found = asked.join(index, ["block", "width"]).mapInArrow(_meet(k), "query_id long, id long, score long")
+    blocks = (index.agg(F.max("block")).first()[0] or 0) + 1
+    held = packed.agg(F.sum(F.col("bytes") + F.col("n") * (24 * k + 16))).first()[0] or 0
+    stripes = min(qblocks, max(1, math.ceil(held / HELD)))
+    pieces = min(blocks, max(math.ceil(blocks / PIECE), 2 * spark.sparkContext.defaultParallelism))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = packed.select("width", "n", "ids", "vectors", "qblock", every_one(pieces).alias("piece")).withColumn("stripe", F.pmod("qblock", F.lit(stripes)))
+    told = index.select("*", every_one(stripes).alias("stripe")).withColumn("piece", F.pmod("block", F.lit(pieces)))
+    cell = (F.col("stripe") * pieces + F.col("piece")).cast("int").alias("cell")
+    asks, told = (df.select(cell, F.lit(kind).alias("kind"), *(c for c in df.columns if c not in ("block", "qblock", "stripe", "piece"))) for kind, df in ((0, asks), (1, told)))
+    # a task gets the queries of its cell, then the blocks
+    dealt = asks.unionByName(told, allowMissingColumns=True).repartitionById(stripes * pieces, "cell").sortWithinPartitions("cell", "kind")
+    found = dealt.mapInArrow(_meet(k), "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -332,6 +332,45 @@ def test_unsound_vectors_take_no_part(spark):
     assert impact_index.exact_top_k(df.where("false")).count() == 0
 
 
+def test_packs_keep_the_best_of_many_blocks():
+    draw = np.random.default_rng(6)
+    for high, width, k in ((40, 16, 5), (1 << 27, 6, 3), (1, 3, 4), (0, 2, 2)):
+        m = draw.integers(-high, high + 1, (900, width))
+        m[500:520] = m[0]  # ties
+        m[7] = 0
+        ids = draw.permutation(900)
+        ids[100:110] = ids[90:100]  # repeated ids
+        ask = np.concatenate(([0, 7, 95], draw.integers(0, 900, 40)))
+        packs = [impact_index.Pack(impact_index._narrow(m[part]), ids[part], k) for part in (ask[:20], ask[20:])]
+        share = 1.0
+        for a, b in ((0, 3), (3, 300), (300, 301), (301, 900)):
+            share = impact_index.scan_block(*impact_index.build_index(m[a:b]), m[a:b], ids[a:b], packs, a, share)
+        for pack in packs:
+            for row, own, at, scores in zip(pack.queries.astype(np.int64), pack.query_ids, pack.rows, pack.scores):
+                s = m @ row
+                want = [j for j in np.lexsort((ids, -s)) if ids[j] != own][:k]
+                assert ids[at].tolist() == ids[want].tolist() and scores.tolist() == s[want].tolist()
+
+
+@pytest.mark.parametrize("held", [1, 96 << 20])
+def test_queries_meet_every_block_without_a_join(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(impact_index, "HELD", held)
+    monkeypatch.setattr(impact_index, "PIECE", 4)
+    draw = np.random.default_rng(8)
+    m = draw.standard_normal((1500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    impact_index.write_index(df, str(tmp_path / "index"), "vec_id", "embedding", block=30)
+    found = impact_index.search(spark, str(tmp_path / "index"), k=3, every=10, query_block=40)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    whole = np.floor(256 * m).astype(np.int64)
+    want = []
+    for q in range(0, 1500, 10):
+        s = whole @ whole[q]
+        best = [j for j in np.lexsort((np.arange(1500), -s)) if j != q][:3]
+        want += [(q, n + 1, int(j), int(s[j])) for n, j in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in rows(found)) == want
+
+
 # 6 quality
 
 
