@@ -20,7 +20,8 @@ A byte goes if a 200-byte string that covers it also starts anywhere else.
 3. A suffix with a neighbour that shares 200 bytes starts a repeated window.
 
 Memory is that of one bucket, its strings being at most 368 bytes long; the
-files live in a temporary folder of the task and go with it.
+files live in a temporary folder of the task and go with it. A collection of at
+most ``BLOCK_ROWS`` strings needs no files.
 
 Cases: a null text is empty; texts under 200 bytes lose nothing; null ids and
 repeated ids are documents like others, and repeated rows repeat each other;
@@ -31,6 +32,7 @@ gibibyte raises; the cutter takes some sixty bytes for each byte of a text.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
@@ -39,10 +41,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.spans import (
-    COLUMNS, LAST, RUNS, Codec, covered, dictionary_of, first_of_each, merge_runs, pack_numbers, pack_runs, steps, unpack_numbers, with_runs,
+    COLUMNS, LAST, RUNS, Codec, covered, dictionary_of, first_of_each, merge_runs, pack_runs, planes, unpacked, with_runs,
 )
 from ledgerloom.llm.words import chunks, mix, ragged, release, runs, sliding_min
 
@@ -68,10 +71,13 @@ def byte_grams(data: np.ndarray, width: int = GRAM) -> np.ndarray:
 
 
 class _Files:
-    """The strings in the order of their suffixes, and the common prefixes of neighbours, read and written in sequence."""
+    """The strings in the order of their suffixes, and the common prefixes of neighbours, read and written in sequence.
+
+    Up to ``BLOCK_ROWS`` rows stay in memory: opening files for every column takes longer than the rest.
+    """
 
     def __init__(self, folder: str):
-        self.folder, self.turn, self.rows = folder, 0, 0
+        self.folder, self.turn, self.rows, self.held = folder, 0, 0, ()
 
     def _open(self, name: str, turn: int, mode: str):
         return open(os.path.join(self.folder, f"{name}.{turn % 2}"), mode)
@@ -80,19 +86,33 @@ class _Files:
         """(start, strings, prefixes) of consecutive rows."""
         if not self.rows:
             return
+        if self.rows <= BLOCK_ROWS:
+            yield 0, *self.held
+            return
         with self._open("order", self.turn, "rb") as order, self._open("prefix", self.turn, "rb") as prefix:
             for start in range(0, self.rows, BLOCK_ROWS):
                 yield start, np.fromfile(order, np.int32, BLOCK_ROWS), np.fromfile(prefix, np.uint8, BLOCK_ROWS)
 
     def write(self, parts) -> None:
-        with self._open("order", self.turn + 1, "wb") as order, self._open("prefix", self.turn + 1, "wb") as prefix:
-            rows = 0
+        waiting, length, rows, files = [], 0, 0, ()
+        with contextlib.ExitStack() as opened:
             for strings, prefixes in parts:
-                strings.astype(np.int32).tofile(order)
-                prefixes.astype(np.uint8).tofile(prefix)
-                rows += len(strings)
+                waiting.append((strings.astype(np.int32), prefixes.astype(np.uint8)))
+                length, rows = length + len(strings), rows + len(strings)
+                if length > BLOCK_ROWS:
+                    files = files or [opened.enter_context(self._open(name, self.turn + 1, "wb")) for name in ("order", "prefix")]
+                    self._put(files, waiting)
+                    waiting, length = [], 0
+            if files:
+                self._put(files, waiting)
+        self.held = () if files or not rows else waiting[0] if len(waiting) == 1 else tuple(map(np.concatenate, zip(*waiting)))
         self.turn, self.rows = self.turn + 1, rows
 
+    @staticmethod
+    def _put(files, waiting: list) -> None:
+        for file, parts in zip(files, zip(*waiting)):
+            np.concatenate(parts).tofile(file)
+
 
 class _Column:
     """One round: takes blocks of the old order and holds the new one by symbol."""
@@ -127,12 +147,27 @@ class _Column:
         self.parts.append((strings[order], value, np.concatenate(([0], np.cumsum(count)))))
 
     def sorted(self):
+        if len(self.parts) == 1:
+            yield self.parts[0][:2]
+            return
         for c in np.flatnonzero(self.seen):
             for strings, prefixes, at in self.parts:
                 if at[c + 1] > at[c]:
                     yield strings[at[c] : at[c + 1]], prefixes[at[c] : at[c + 1]]
 
 
+def _joined(new: np.ndarray, blocks):
+    """Blocks of rows; the empty suffixes of strings that end here come first and share nothing."""
+    for at, strings, prefixes in blocks:
+        if at == 0 and len(new):
+            strings, prefixes = np.concatenate((new, strings)), np.concatenate((np.zeros(len(new), np.uint8), prefixes))
+            prefixes[len(new)] = 0
+            new = new[:0]
+        yield strings, prefixes
+    if len(new):
+        yield new, np.zeros(len(new), np.uint8)
+
+
 def _without(blocks, leaves: np.ndarray):
     """The rows whose string does not leave; a prefix becomes the least of those it now spans."""
     carry = 255
@@ -163,18 +198,14 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, length: np.ndarray, bef
     entering = np.argsort(-right, kind="stable")
     right_sorted = -right[entering]
     leaving = np.bincount(left - left.min()) > 0
+    anchors = begin + before
     with tempfile.TemporaryDirectory() as folder:
         files = _Files(folder)
         for column in range(int(right.max()), int(left.min()) - 1, -1):
             a, b = np.searchsorted(right_sorted, (-column, -column + 1))
             round_ = _Column(width)
-            if b > a:  # the empty suffixes of strings that end here come first and share nothing
-                new = entering[a:b].astype(np.int32)
-                round_.add(new, np.zeros(b - a, np.uint8), data[(begin + before + column)[new]])
-            for at, strings, prefixes in files.blocks():
-                if at == 0 and b > a:
-                    prefixes[:1] = 0
-                round_.add(strings, prefixes, data[(begin + before)[strings] + column])
+            for strings, prefixes in _joined(entering[a:b].astype(np.int32), files.blocks()):
+                round_.add(strings, prefixes, data[anchors[strings] + column])
             files.write(round_.sorted())
             last = None
             for _, strings, prefixes in files.blocks():
@@ -215,7 +246,7 @@ def _classes(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _cutter(buckets: int, width: int, dictionary: bytes = b""):
     def cut(batches):
-        codec = Codec(dictionary)
+        codec, numbers_of = Codec(dictionary), zstandard.ZstdCompressor(level=3, write_checksum=False)
         for chunk in chunks(batches, "_text", CHUNK):
             ids, hashes = chunk["_id"].fill_null(int(LAST)).to_numpy(), chunk["_hash"].to_numpy()
             texts = pc.fill_null(chunk["_text"].combine_chunks().cast(pa.large_binary()), b"")
@@ -250,16 +281,27 @@ def _cutter(buckets: int, width: int, dictionary: bytes = b""):
             order = np.argsort(bucket, kind="stable")
             send, bucket = send[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                own = send[a:b]
-                text = b"".join([raw[x : x + n] for x, n in zip(begin[own].tolist(), (size[own] + width - 1).tolist())])
-                docs, inside = np.unique(owner[own], return_inverse=True)
-                table = pack_numbers(
-                    steps(ids[docs]), steps(inside), (begin - starts[owner])[own], size[own], before[own], twice[own],
-                    (anchor[own] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF,
-                )
-                head = np.array([len(own)], "<i8").tobytes() + hashes[docs].astype("<i8").tobytes()
-                out.append((int(bucket[a]), 1, len(docs), codec.pack(text), head, table))
+            # the tables of all buckets at once, since there are many small ones
+            of = owner[send]
+            fresh = np.ones(len(send), bool)
+            fresh[1:] = of[1:] != of[:-1]
+            fresh[cuts] = True
+            table = np.empty((len(send), 6), "<i8")
+            table[:, 0] = fresh
+            table[cuts, 0] = 0
+            for i, column in enumerate((begin[send] - starts[of], size[send], before[send], twice[send], (anchor[send] >> np.uint64(32)) & np.uint64(0x7FFFFFFF))):
+                table[:, i + 1] = column
+            docs = of[fresh]
+            first_doc = np.searchsorted(np.flatnonzero(fresh), cuts)
+            id_steps = np.diff(ids[docs], prepend=0).astype("<i8")
+            id_steps[first_doc] = ids[docs[first_doc]]
+            of_docs = hashes[docs].astype("<i8")
+            begins, lengths = begin[send].tolist(), (size[send] + width - 1).tolist()
+            for a, b, i, j in zip(cuts, [*cuts[1:], len(send)], first_doc, [*first_doc[1:], len(docs)]):
+                numbers = numbers_of.compress(planes(id_steps[i:j]) + planes(table[a:b]))
+                head = np.array([b - a], "<i8").tobytes() + of_docs[i:j].tobytes()
+                text = b"".join([raw[x : x + n] for x, n in zip(begins[a:b], lengths[a:b])])
+                out.append((int(bucket[a]), 1, int(j - i), codec.pack(text), head, numbers))
             for a in range(0, len(out), 1000):
                 columns = list(zip(*out[a : a + 1000]))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -273,13 +315,15 @@ def _bucket(width: int, parts: int, dictionary: bytes = b""):
         release()
         codec = Codec(dictionary)
         ids, hashes, tables, texts, docs = [], [], [], [], 0
+        open_numbers = zstandard.ZstdDecompressor().decompress
         for n, text, head, rest in zip(*(table[c].to_pylist() for c in ("n", *COLUMNS))):
             numbers = np.frombuffer(head, "<i8")
-            own, *columns = unpack_numbers(rest, n, *[int(numbers[0])] * 6)
-            ids.append(np.cumsum(own))
+            packed = np.frombuffer(open_numbers(rest), np.uint8)
+            ids.append(np.cumsum(unpacked(packed[: 8 * n], 1)[0]))
             hashes.append(numbers[1:])
+            columns = unpacked(packed[8 * n :], 6)
             columns[0] = np.cumsum(columns[0]) + docs
-            tables.append(np.stack(columns))
+            tables.append(columns)
             texts.append(codec.unpack(text))
             docs += n
         data = b"".join(texts)

@@ -5,6 +5,8 @@ A document is known by its id (``LAST`` for null) and the hash of its text.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -48,8 +50,7 @@ class Codec:
 
 def pack_numbers(*columns: np.ndarray) -> bytes:
     """Columns of whole numbers, bytes of one weight together, compressed."""
-    planes = b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(planes)
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(b"".join(planes(c) for c in columns))
 
 
 def unpack_numbers(data: bytes, *lengths: int) -> list[np.ndarray]:
@@ -60,6 +61,16 @@ def unpack_numbers(data: bytes, *lengths: int) -> list[np.ndarray]:
     return out
 
 
+def planes(table: np.ndarray) -> bytes:
+    """The bytes of a column of whole numbers, or of the columns of a table one after another, those of one weight together."""
+    return np.ascontiguousarray(table, "<i8").view(np.uint8).reshape(len(table), math.prod(table.shape[1:]) * 8).T.tobytes()
+
+
+def unpacked(data: np.ndarray, columns: int) -> np.ndarray:
+    """The columns of a table from the bytes of its planes."""
+    return np.ascontiguousarray(data.reshape(columns, 8, -1).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+
+
 def steps(sorted_: np.ndarray) -> np.ndarray:
     """Differences of neighbours, the first number included; their running sum gives the numbers back."""
     return np.concatenate((sorted_[:1], np.diff(sorted_)))

@@ -531,6 +531,24 @@ def _bytes_brute(texts):
     return out
 
 
+def test_short_columns_open_no_files(monkeypatch):
+    def refuse(*args):
+        raise AssertionError("a file was opened")
+
+    monkeypatch.setattr(column_bwt._Files, "_open", refuse)
+    strings = [b"abcabd", b"xbcabd", b"abcabd", b"zzzzzz"]
+    length = np.array([len(x) for x in strings])
+    flags = column_bwt.repeated_starts(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length, length, np.full(4, 2), 4)
+    assert flags.reshape(4, 3).tolist() == [[True, True, True], [False, True, True], [True, True, True], [False, False, False]]
+
+
+def test_a_table_has_the_planes_of_its_columns():
+    table = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, (17, 3))
+    assert spans.planes(table) == b"".join(spans.planes(table[:, i]) for i in range(3))
+    assert spans.unpacked(np.frombuffer(spans.planes(table), np.uint8), 3).tolist() == table.T.tolist()
+    assert spans.unpack_numbers(spans.pack_numbers(table[:, 0], table[:3, 1]), 17, 3)[1].tolist() == table[:3, 1].tolist()
+
+
 def test_byte_dedup_by_brute_force(spark, small):
     docs = rows(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(QUERIES["op8_column_bwt_dedup"](spark, small))}
