@@ -68,7 +68,8 @@ def planes(table: np.ndarray) -> bytes:
 
 def unpacked(data: np.ndarray, columns: int) -> np.ndarray:
     """The columns of a table from the bytes of its planes."""
-    return np.ascontiguousarray(data.reshape(columns, 8, -1).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    # always a copy: the planes of one row are in place already, and cannot be written to
+    return np.array(data.reshape(columns, 8, -1).transpose(0, 2, 1), order="C").view("<i8")[:, :, 0]
 
 
 def steps(sorted_: np.ndarray) -> np.ndarray:

@@ -545,7 +545,9 @@ def test_short_columns_open_no_files(monkeypatch):
 def test_a_table_has_the_planes_of_its_columns():
     table = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, (17, 3))
     assert spans.planes(table) == b"".join(spans.planes(table[:, i]) for i in range(3))
-    assert spans.unpacked(np.frombuffer(spans.planes(table), np.uint8), 3).tolist() == table.T.tolist()
+    for some in (table, table[:1], table[:0]):
+        got = spans.unpacked(np.frombuffer(spans.planes(some), np.uint8), 3)
+        assert got.tolist() == some.T.tolist() and got.flags.writeable
     assert spans.unpack_numbers(spans.pack_numbers(table[:, 0], table[:3, 1]), 17, 3)[1].tolist() == table[:3, 1].tolist()
 
 
